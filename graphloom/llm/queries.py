@@ -7,17 +7,33 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import line_dedup, packing, quality_classifier, quality_rules, token_binary
+from graphloom.llm import decontaminate, html_extract, license_scan, line_dedup, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup, token_binary
 from graphloom.llm.common import shared_dir, table
 from graphloom.llm.word_ids import vocabulary
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_extract.extract(table(spark, sf_dir, "pages"))
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "page.title", "page.text", F.length("page.text").cast("long").alias("n_chars"))
+
+
 def op2_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     token_binary.write_tokens(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"), 2)
     return token_binary.read_tokens(spark, path).drop("ids")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each match in a document."""
+    docs = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.inline("licenses"))
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "repeats.n_bytes", "repeats.n_removed", "repeats.n_spans", F.sha2("repeats.kept", 256).alias("kept_sha256"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lines.n_lines", "lines.n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -28,6 +44,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lost_lines", "lost_chars")))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(table(spark, sf_dir, "documents"), words=3, threshold=90)
+
+
 def held_out(doc_id) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
@@ -41,6 +61,11 @@ def op9_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 0).drop("ids")
 
 
+def op10_lsa_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each leak: the document, the benchmark item, and the evidence."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP5_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
@@ -95,5 +120,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_w
 FROM base
 """
 
-QUERIES = {f.__name__: f for f in (op2_simple8b, op5_line_dedup, op6_quality_rules, op8_rff_quality, op9_kk_packing)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_simple8b, op3_license_scan, op4_suffix_dedup, op5_line_dedup, op6_quality_rules, op7_ngram_join, op8_rff_quality, op9_kk_packing, op10_lsa_decontamination)}
 ORACLES = {"op5_line_dedup": OP5_SQL, "op6_quality_rules": OP6_SQL}

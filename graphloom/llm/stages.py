@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.dist import ship
-from graphloom.llm import line_dedup, packing, quality_classifier
-from graphloom.llm.common import table
+from graphloom.llm import decontaminate, line_dedup, ngram_join, packing, quality_classifier
+from graphloom.llm.common import staged, table
 from graphloom.llm.word_ids import vocabulary
 
 
@@ -25,10 +25,24 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by 0.8 of their 5-word n-grams the least doc_id stays."""
+    ship(spark)
+    found = ngram_join.similar(docs, words=5, threshold=80)
+    return decontaminate.without(docs, found.filter("doc_id <> component_id").select("doc_id"))
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    ship(spark)
+    found = staged(decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")))
+    return decontaminate.without(docs, found)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token windows of what is left, a row for each piece."""
     ship(spark)
     return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), 0)
 
 
-STAGES = [("quality classifier", quality), ("line dedup", lines), ("packing", pack)]
+STAGES = [("quality classifier", quality), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", benchmark), ("packing", pack)]
