@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.errors import BindError
-from graphloom.types import HUGE, INTERVAL, is_int, is_time, type_name
+from graphloom.types import HUGE, is_int, is_interval, is_time, type_name
 
 MISSING = object()
 SCALARS: dict[str, Callable] = {}
@@ -105,12 +105,12 @@ def plus(c, t, v):
         return F.concat(*c)
     if isinstance(a, T.StringType) or isinstance(b, T.StringType):
         return F.concat(*(x.cast("string") for x in c))
-    if b == INTERVAL and (is_time(a) or isinstance(a, T.DateType)):
+    if is_interval(b) and (is_time(a) or isinstance(a, T.DateType)):
         moved = plus_interval(c[0], c[1])
         return moved.cast("date") if isinstance(a, T.DateType) else moved
-    if a == INTERVAL and (is_time(b) or isinstance(b, T.DateType)):
+    if is_interval(a) and (is_time(b) or isinstance(b, T.DateType)):
         return plus(c[::-1], t[::-1], v[::-1])
-    if a == b == INTERVAL:
+    if is_interval(a) and is_interval(b):
         return F.when(c[0].isNotNull() & c[1].isNotNull(), interval(c[0]["months"] + c[1]["months"], c[0]["days"] + c[1]["days"], c[0]["micros"] + c[1]["micros"]))
     if isinstance(a, T.DateType) and is_int(b):
         return F.date_add(c[0], c[1].cast("int"))
@@ -124,14 +124,14 @@ def minus(c, t, v):
     a, b = t
     if isinstance(a, T.DateType) and isinstance(b, T.DateType):
         return F.datediff(*c).cast("long")
-    if b == INTERVAL and (is_time(a) or isinstance(a, T.DateType)):
+    if is_interval(b) and (is_time(a) or isinstance(a, T.DateType)):
         moved = plus_interval(c[0], c[1], -1)
         return moved.cast("date") if isinstance(a, T.DateType) else moved
     if is_time(a) and is_time(b):
         micros = F.unix_micros(c[0].cast("timestamp")) - F.unix_micros(c[1].cast("timestamp"))
         day = F.lit(86_400_000_000)
         return F.when(micros.isNotNull(), interval(0, call("div", micros, day), micros % day))
-    if a == b == INTERVAL:
+    if is_interval(a) and is_interval(b):
         return F.when(c[0].isNotNull() & c[1].isNotNull(), interval(c[0]["months"] - c[1]["months"], c[0]["days"] - c[1]["days"], c[0]["micros"] - c[1]["micros"]))
     if isinstance(a, T.DateType) and is_int(b):
         return F.date_sub(c[0], c[1].cast("int"))
@@ -140,14 +140,14 @@ def minus(c, t, v):
 
 @scalar("*", "multiply")
 def times(c, t, v):
-    if t[0] == INTERVAL:
+    if is_interval(t[0]):
         return F.when(c[0].isNotNull() & c[1].isNotNull(), interval(c[0]["months"] * c[1], c[0]["days"] * c[1], c[0]["micros"] * c[1]))
     return c[0] * c[1]
 
 
 @scalar("/", "divide")
 def divide(c, t, v):
-    if t[0] == INTERVAL:
+    if is_interval(t[0]):
         d = lambda x: x / c[1]
         return F.when(c[0].isNotNull() & c[1].isNotNull(), interval(F.floor(d(c[0]["months"])), F.floor(d(c[0]["days"])), F.floor(d(c[0]["micros"]))))
     if is_int(t[0]) and is_int(t[1]):
@@ -168,14 +168,14 @@ simple(">> bitshift_right", lambda a, b: call("shiftright", a.cast("long"), b.ca
 
 @scalar("neg", "negate")
 def negate(c, t, v):
-    if t[0] == INTERVAL:
+    if is_interval(t[0]):
         return F.when(c[0].isNotNull(), interval(-c[0]["months"], -c[0]["days"], -c[0]["micros"]))
     return -c[0]
 
 
 def _comparable(c, t):
-    if t[0] == INTERVAL or t[1] == INTERVAL:
-        return tuple(interval_micros(x) if k == INTERVAL else x for x, k in zip(c, t, strict=True))
+    if is_interval(t[0]) or is_interval(t[1]):
+        return tuple(interval_micros(x) if is_interval(k) else x for x, k in zip(c, t, strict=True))
     if any(isinstance(x, T.MapType) for x in t):
         return tuple(F.array_sort(F.map_entries(x)) for x in c)
     date = [isinstance(x, T.DateType) for x in t]
@@ -450,8 +450,8 @@ def array_cross_product(c, t, v):
 def cast(c: Column, t: T.DataType, to: T.DataType, name: str = "") -> Column:
     from graphloom.types import BOUNDS
 
-    if to == INTERVAL:
-        return c if t == INTERVAL else parse_interval(c.cast("string"))
+    if is_interval(to):
+        return c if is_interval(t) else parse_interval(c.cast("string"))
     if isinstance(to, T.StringType):
         return to_text(c, t)
     if isinstance(to, T.NumericType) and isinstance(t, (T.FloatType, T.DoubleType)) and is_int(to):
@@ -477,7 +477,7 @@ def to_text(c: Column, t: T.DataType) -> Column:
     if isinstance(t, T.ArrayType):
         inner = F.transform(c, lambda x: F.coalesce(to_text(x, t.elementType), F.lit("")))
         return F.when(c.isNotNull(), F.concat(F.lit("["), F.array_join(inner, ","), F.lit("]")))
-    if t == INTERVAL:
+    if is_interval(t):
         return interval_text(c)
     if isinstance(t, T.MapType):
         inner = F.transform(F.map_entries(c), lambda e: F.concat(F.coalesce(to_text(e["key"], t.keyType), F.lit("")), F.lit("="), F.coalesce(to_text(e["value"], t.valueType), F.lit(""))))
@@ -521,7 +521,7 @@ PARTS = {"year": "YEAR", "years": "YEAR", "yr": "YEAR", "y": "YEAR", "month": "M
 @scalar("date_part", "datepart")
 def date_part(c, t, v):
     word, at = str(v[0]).lower(), c[1]
-    if t[1] == INTERVAL:
+    if is_interval(t[1]):
         m, d, u = at["months"].cast("long"), at["days"].cast("long"), at["micros"]
         year = call("div", m, F.lit(12))
         found = {"YEAR": year, "MONTH": m % 12, "DAY": d, "QUARTER": call("div", m % 12, F.lit(3)) + 1, "HOUR": call("div", u, F.lit(3_600_000_000)), "MINUTE": call("div", u, F.lit(60_000_000)) % 60, "SECOND": call("div", u, F.lit(1_000_000)) % 60}

@@ -12,7 +12,7 @@ from graphloom.plans.expressions import AGGREGATES, Compiler, children, has_aggr
 from graphloom.plans.matching import Matcher
 from graphloom.plans.scope import Binding, State, fresh
 from graphloom.plans.subqueries import with_subqueries
-from graphloom.types import HUGE, INTERVAL, can_order, is_int
+from graphloom.types import HUGE, can_order, is_int, is_interval
 
 UPDATES = (A.Create, A.Merge, A.SetProps, A.Delete)
 
@@ -65,7 +65,7 @@ class Runner:
             if len(df.columns) != len(out.columns):
                 raise BindError("the number of columns to union must be the same")
             for a, b in zip(out.schema, df.schema, strict=True):
-                if a.dataType != b.dataType and not isinstance(a.dataType, T.NullType) and not isinstance(b.dataType, T.NullType):
+                if a.dataType.simpleString() != b.dataType.simpleString() and not isinstance(a.dataType, T.NullType) and not isinstance(b.dataType, T.NullType):
                     raise BindError(f"{a.name} has data type {a.dataType.simpleString()} but {b.dataType.simpleString()} was expected")
             out = out.union(df)
         return out.distinct() if q.all and not q.all[0] else out
@@ -240,7 +240,7 @@ class Runner:
             if not can_order(found.type):
                 raise BindError("cannot order by a list, struct, map, node or relationship")
             col = found.col
-            if found.type == INTERVAL:
+            if is_interval(found.type):
                 from graphloom.functions.registry import interval_micros
 
                 col = interval_micros(col)

@@ -74,7 +74,7 @@ NAMES = {T.BooleanType: "BOOL", T.ByteType: "INT8", T.ShortType: "INT16", T.Inte
 
 
 def type_name(t: T.DataType) -> str:
-    if t == INTERVAL:
+    if is_interval(t):
         return "INTERVAL"
     if isinstance(t, T.DecimalType):
         return "INT128" if t == HUGE else "UINT64" if (t.precision, t.scale) == (20, 0) else f"DECIMAL({t.precision}, {t.scale})"
@@ -95,6 +95,10 @@ def type_name(t: T.DataType) -> str:
     return NAMES.get(type(t), t.simpleString().upper())
 
 
+def is_interval(t: T.DataType) -> bool:
+    return isinstance(t, T.StructType) and t.fieldNames() == INTERVAL.fieldNames()
+
+
 def is_int(t: T.DataType) -> bool:
     return isinstance(t, T.IntegralType) or isinstance(t, T.DecimalType) and t.scale == 0 and t.precision in (20, 38)
 
@@ -108,4 +112,4 @@ def is_time(t: T.DataType) -> bool:
 
 
 def can_order(t: T.DataType) -> bool:
-    return t == INTERVAL or not isinstance(t, (T.ArrayType, T.StructType, T.MapType))
+    return is_interval(t) or not isinstance(t, (T.ArrayType, T.StructType, T.MapType))
