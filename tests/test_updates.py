@@ -180,7 +180,7 @@ def test_python_api(spark, tmp_path):
     assert [r["id"] for r in db.search("NODE", ["N"])] == [0, 1]
     assert db.delete_node("N", 2) and len(db.get_nodes_by_type("N")) == 2
     assert [r["action"] for r in db.log.get_history("N:2")] == ["create_node", "update_node", "delete_node"]
-    assert db.log.count() == 7 and isinstance(db.log, AuditLog)
+    assert db.log.count() == 6 and isinstance(db.log, AuditLog)
     a = GraphAlgorithms(db)
     assert a.shortest_path("N", "E", 0, 1) == [0, 1]
     assert {r["id"]: r["degree"] for r in a.degree_centrality("N", "E").collect()} == {0: 1, 1: 1}
