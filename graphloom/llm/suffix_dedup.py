@@ -34,8 +34,7 @@ from pyspark.sql import types as T
 
 from graphloom.llm.common import as_bytes, mix, staged
 
-LENGTH, K, CHUNK, BLOCK, HOT = 200, 40, 1 << 19, 1 << 20, 20_000
-BROADCAST_BYTES = 48 << 20
+LENGTH, K, CHUNK, BLOCK, HOT = 200, 40, 1 << 19, 900_000, 20_000
 U64 = np.uint64
 _draw = np.random.default_rng(20240607)
 BYTES = _draw.integers(1, 1 << 63, 256).astype(U64) * U64(2) + U64(1)
@@ -116,48 +115,56 @@ def contexts(texts: list[bytes], length: int, k: int) -> Iterator[tuple[np.ndarr
 # ---- the transform
 
 
+def _sorted(key: np.ndarray, index: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """key and index in the order of key. Where both fit in one word, the words are sorted as they are."""
+    if int(key.max()) >> (64 - bits):
+        order = np.argsort(key)
+        return key[order], index[order]
+    packed = np.sort(key << U64(bits) | index.astype(U64))
+    return packed >> U64(bits), (packed & U64((1 << bits) - 1)).astype(np.int64)
+
+
 def suffix_order(text: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
     """Positions by their suffix, to `depth` symbols at least. Symbols are 1 and more, 0 closes a context: at the
-    positions `ends`, each less than all symbols and ordered among each other."""
-    n = len(text)
-    context = np.repeat(np.arange(len(ends)), np.diff(np.append(-1, ends)))
-    end, at = ends[context], np.arange(n)
+    positions `ends`, each less than all symbols and ordered among each other. A suffix's rank is the first place of
+    its group; each round doubles the symbols that ranks stand for and sorts only what is still tied."""
+    n, m = len(text), len(ends)
+    bits, at = n.bit_length(), np.arange(n)
+    context = np.repeat(np.arange(m), np.diff(np.append(-1, ends)))
+    end = ends[context]
     key = np.zeros(n, U64)
-    for i in range(7):
+    for i in range(4):
         shifted = np.zeros(n, U64)
-        shifted[: n - i] = text[i:]
+        shifted[: max(n - i, 0)] = text[i:]
         shifted[at + i >= end] = 0
         key = key << U64(9) | shifted
-    key[ends] = 0
-    order = np.argsort(key, kind="stable")
-    ranked = key[order]
-    rank = np.zeros(n, np.int64)
-    rank[order] = np.cumsum(np.append(True, ranked[1:] != ranked[:-1])) - 1
-    rank[ends] = 0
-    h = 7
-    while h < depth:
-        then = at + h
-        inside = then < end
-        second = np.where(inside, 0, context)
-        second[inside] = rank[then[inside]] + len(ends)
-        key = rank.astype(U64) << U64(32) | second.astype(U64)
-        order = np.argsort(key, kind="stable")
-        ranked = key[order]
-        rank = np.zeros(n, np.int64)
-        rank[order] = np.cumsum(np.append(True, ranked[1:] != ranked[:-1])) - 1
-        if rank[order[-1]] == n - 1:
-            break
+    order, rank, slots = at.copy(), np.zeros(n, np.int64), at
+    h, held = 4, key
+    while True:
+        held, found = _sorted(held, order[slots], bits)
+        order[slots] = found
+        first = np.append(True, held[1:] != held[:-1])
+        rank[found] = np.maximum.accumulate(np.where(first, slots, 0))
+        tied = ~(first & np.append(first[1:], True))
+        slots = slots[tied]
+        if h >= depth or not len(slots):
+            return order
+        own = order[slots]
+        then = own + h
+        inside = then < end[own]
+        second = context[own]
+        second[inside] = rank[then[inside]] + m
+        held = rank[own].astype(U64) * U64(n + m) + second.astype(U64)
         h *= 2
-    return order
 
 
 def open_bounds(bwt: np.ndarray, closers: int, stop: int) -> np.ndarray:
     """For each row of the sorted suffixes: whether it shares `stop` symbols or more with the row before.
     bwt 0 marks rows without a symbol before; the first `closers` rows start with a closing symbol."""
     n = len(bwt)
-    by_symbol = np.argsort(bwt, kind="stable")
+    by_symbol = np.argsort(bwt.astype(np.uint16), kind="stable")
     none = int((bwt == 0).sum())
-    step = np.full(n, -1, np.int64)  # the row of the suffix one symbol longer
+    step = np.full(n, -1, np.int32)  # the row of the suffix one symbol longer
     step[by_symbol[none:]] = np.arange(closers, closers + n - none)
     unset = np.ones(n + 1, bool)
     unset[: closers + 1] = False
@@ -165,22 +172,31 @@ def open_bounds(bwt: np.ndarray, closers: int, stop: int) -> np.ndarray:
     symbols = bwt[by_symbol[none:]]
     heads = closers + np.flatnonzero(np.append(True, symbols[1:] != symbols[:-1])) if len(symbols) else np.zeros(0, np.int64)
     unset[heads] = False
-    lo = np.concatenate([np.arange(closers), heads])
-    hi = np.concatenate([np.arange(closers), np.append(heads[1:], n) - 1 if len(heads) else heads])
+    head = np.zeros(n + 1, bool)
+    head[heads] = True
+    lo = np.concatenate([np.arange(closers), heads]).astype(np.int32)
+    hi = np.concatenate([np.arange(closers), np.append(heads[1:], n) - 1 if len(heads) else heads]).astype(np.int32)
+    whole = np.full(n, -1, np.int32)
     for _ in range(1, stop):
-        if not len(lo) or not unset.any():
+        if not len(lo):
             break
         sizes = hi - lo + 1
-        owner = np.repeat(np.arange(len(lo)), sizes)
-        rows = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + lo[owner]
+        owner = np.repeat(np.arange(len(lo), dtype=np.int32), sizes)
+        rows = np.arange(len(owner), dtype=np.int32) + np.repeat(lo - (np.cumsum(sizes, dtype=np.int32) - sizes), sizes)
         to = step[rows]
         live = to >= 0
-        rows, owner, to = rows[live], owner[live], to[live]
+        owner, to = owner[live], to[live]
         if not len(to):
             break
-        order = np.argsort(to)
-        to, owner, symbol = to[order], owner[order], bwt[rows[order]]
-        cut = np.flatnonzero(np.append(True, (to[1:] != to[:-1] + 1) | (owner[1:] != owner[:-1]) | (symbol[1:] != symbol[:-1])))
+        if 16 * len(to) > n:  # places in order by marking them
+            whole[to] = owner
+            to = np.flatnonzero(whole >= 0).astype(np.int32)
+            owner = whole[to]
+            whole[to] = -1
+        else:
+            order = np.argsort(to)
+            to, owner = to[order], owner[order]
+        cut = np.flatnonzero(np.append(True, (to[1:] != to[:-1] + 1) | (owner[1:] != owner[:-1]) | head[to[1:]]))
         lo, hi = to[cut], to[np.append(cut[1:], len(to)) - 1]
         fresh = unset[hi + 1]
         lo, hi = lo[fresh], hi[fresh]
@@ -280,7 +296,7 @@ def _hot_repeats(found: DataFrame, length: int) -> DataFrame:
 SPANS = T.StructType([T.StructField(f, T.LongType()) for f in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept", T.BinaryType())])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT) -> DataFrame:
     """docs with struct column `repeats`: n_bytes, n_removed, n_spans and kept, the bytes that stay."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     keyed = docs.withColumns({"_text": text, "_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_th": F.xxhash64(text)})
@@ -290,9 +306,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int =
     found = staged(again.groupBy("a", "c", "size").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "th", "first")).alias("at")))
     wanted = found.groupBy(F.col("at.doc").alias("_doc"), F.col("at.th").alias("_th")).agg(F.collect_list(F.struct("a", "c", "n", F.col("at.first").alias("first"), "size")).alias("_wanted"))  # at most a document's contexts
     wanted = staged(wanted)
-    side = lambda df, rows, each: F.broadcast(df) if rows * each <= broadcast_bytes else df
     once = keyed.select("_doc", "_th", "_text")
-    bodies = once.join(side(wanted, found.count(), 48), ["_doc", "_th"]).select("_text", F.explode("_wanted").alias("w"))
+    bodies = once.join(wanted, ["_doc", "_th"]).select("_text", F.explode("_wanted").alias("w"))
     bodies = bodies.select("w.a", "w.c", "w.n", F.expr("substring(_text, cast(w.first + 1 as int), w.size)").alias("body")).dropDuplicates(["a", "c"])
     common = staged(found.groupBy("a").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > hot).select("a"))
     if common.isEmpty():
@@ -319,6 +334,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int =
         columns = list(zip(*rows, strict=True)) or [[]] * 4
         return pa.StructArray.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], names=SPANS.fieldNames())
 
-    size = spans.agg(F.sum(F.size("_spans"))).first()[0] or 0
-    joined = keyed.join(side(spans, size, 64), ["_doc", "_th"], "left")
+    joined = keyed.join(spans, ["_doc", "_th"], "left")
     return joined.withColumn("repeats", cut("_text", "_spans")).select(*docs.columns, "repeats")
