@@ -26,7 +26,7 @@ def mentioned(clauses: list) -> set[str]:
                 out.add(x.name)
             elif isinstance(x, A.Star):
                 out.add(x.of or "*")
-    if "*" in out:
+    if "*" in out or any(isinstance(x, A.Func) and x.name in ("start_node", "end_node") for c in clauses for x in walk(c)):
         out |= {p.var for c in clauses for x in walk(c) if isinstance(x, (A.NodePat, A.RelPat, A.Path)) for p in [x] if p.var}
     return out
 
