@@ -1,19 +1,16 @@
-"""What the operators of this subpackage share: table access, staged tables, word caches."""
+"""What the operators of this subpackage share: table access, word caches, hashes; staged tables are the library's."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.dist import ship
+from graphloom.storage import shared_dir, staged
 
-_OWN: dict[str, str] = {}
+__all__ = ["Memo", "as_bytes", "mix", "shared_dir", "staged", "substring_hasher", "table", "texts"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,30 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only in local mode."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        import shutil
-
-        _OWN[app] = tempfile.mkdtemp(prefix="graphloom-")
-        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
-    return f"file://{_OWN[app]}"
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """df as a written table of the shared folder: its lineage ends there and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id as long and text, null as empty; other columns go."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -73,3 +46,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
+
+
+_DRAW = np.random.default_rng(20240607)
+_BYTES = _DRAW.integers(1, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = int(_DRAW.integers(1 << 40, 1 << 62)) * 2 + 1
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def substring_hasher(data: np.ndarray):
+    """hash(starts, ends): 64-bit hashes of any substrings of the bytes, by prefix sums of a polynomial modulo 2^64."""
+    n = len(data) + 1
+    if len(_POWERS.get("up", ())) < n:
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            powers = np.full(max(n, 1 << 20), base, np.uint64)
+            powers[0] = 1
+            _POWERS[name] = np.multiply.accumulate(powers)
+    sums = np.zeros(n, np.uint64)
+    np.cumsum(_BYTES[data] * _POWERS["up"][: n - 1], out=sums[1:])
+    return lambda a, b: mix((sums[b] - sums[a]) * _POWERS["down"][a])

@@ -32,34 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import as_bytes, mix, staged
+from graphloom.llm.common import as_bytes, mix, staged, substring_hasher
 
 LENGTH, K, CHUNK, BLOCK, HOT = 200, 40, 1 << 19, 900_000, 20_000
 U64 = np.uint64
-_draw = np.random.default_rng(20240607)
-BYTES = _draw.integers(1, 1 << 63, 256).astype(U64) * U64(2) + U64(1)
-BASE = int(_draw.integers(1 << 40, 1 << 62)) * 2 + 1
-INVERSE = pow(BASE, -1, 1 << 64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, U64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_TABLES: dict[str, np.ndarray] = {}
-
-
-def _hasher(data: np.ndarray):
-    """hash(starts, ends): of any substrings, by prefix sums of a polynomial modulo 2^64."""
-    n = len(data) + 1
-    if len(_TABLES.get("up", ())) < n:
-        size = max(n, CHUNK + 4 * LENGTH)
-        _TABLES["up"], _TABLES["down"] = _powers(BASE, size), _powers(INVERSE, size)
-    sums = np.zeros(n, U64)
-    np.cumsum(BYTES[data] * _TABLES["up"][: n - 1], out=sums[1:])
-    return lambda a, b: mix((sums[b] - sums[a]) * _TABLES["down"][a])
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -80,7 +56,7 @@ def contexts(texts: list[bytes], length: int, k: int) -> Iterator[tuple[np.ndarr
         sizes = np.array([len(p) for _, _, p in parts])
         ends = np.cumsum(sizes)
         of = np.repeat(np.arange(len(parts)), sizes)
-        hash_ = _hasher(data)
+        hash_ = substring_hasher(data)
         at = np.arange(len(data) - k + 1)
         grams = hash_(at, at + k)
         best = _least((grams & U64(0xFFFFFFFFFFE00000)) | at.astype(U64), length - k + 1)  # CHUNK and more fit in 21 bits
