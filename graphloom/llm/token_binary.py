@@ -47,9 +47,10 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ends = np.full(blocks, BLOCK)
     ends[-1] = n - (blocks - 1) * BLOCK
     best = np.full((blocks, BLOCK), ESCAPE, np.int8)
+    width = np.frexp(grid.astype(np.float64))[1].astype(np.uint8)  # bits of each id; rounding up from 2^53 on keeps it an escape
     for s in range(len(PACKS) - 1, -1, -1):
         count, bits = PACKS[s]
-        wide = grid >> np.uint64(bits) != 0
+        wide = width > bits
         if wide[:, :BLOCK].all():
             break
         seen = np.zeros((blocks, BLOCK + tail + 1), np.int32)

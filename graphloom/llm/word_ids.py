@@ -25,7 +25,7 @@ SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 class WordIds:
     """ids(text) -> little-endian unsigned 32-bit ids as bytes. spaced: a word's leading space belongs to it."""
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most_words: int = 450_000, most_stems: int = 1_100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -35,7 +35,7 @@ class WordIds:
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in visible]
         self.shown = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.words, self.stems = Memo(self._word, most), Memo(self._stem, most)
+        self.words, self.stems = Memo(self._word, most_words), Memo(self._stem, most_stems)  # a stem costs a BPE call, a word a lookup of its stem
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, END).tobytes()
