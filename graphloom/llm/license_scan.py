@@ -2,8 +2,9 @@
 
 Normal form: words are runs of letters and digits (inner points stay), in lower case; marks
 go. A text is cut into units at line feeds and sentence ends. Units of which two of three bigrams are out of the templates,
-one after the other, form a run; every stretch of whole units of a run whose count of distinct bigrams lies within a
-template's bounds is compared to it. 2 |A and B| / (|A| + |B|) >= t asks for |A| from |B| t / (2 - t) to
+one after the other, form a run; every stretch of whole units of a run that begins with
+such a unit (one of a word or none can follow it) and has no more words than the largest bound, whose
+count of distinct bigrams lies within a template's bounds is compared to it. 2 |A and B| / (|A| + |B|) >= t asks for |A| from |B| t / (2 - t) to
 |B| (2 - t) / t: other templates are pruned by size alone. Of overlapping matches the best stays (longest of equals).
 
 Defined cases: null or empty text has no match and gives an empty list; a unit of one word has no bigram and ends no
@@ -44,6 +45,11 @@ class Scanner:
         self.known = np.zeros(self.size * self.size, bool)
         self.known[list(set().union(*self.sets.values()))] = True
         self.most = int(max((n for n, _ in self.sizes), default=0) * (2 - dice) / dice)
+        self.homes: dict[int, list[str]] = {}
+        for name, found in self.sets.items():
+            for code in found:
+                self.homes.setdefault(code, []).append(name)
+        self.by_size = [[name for m, name in self.sizes if 2 * min(n, m) >= dice * (n + m)] for n in range(self.most + 1)]
         self.memo = Memo(lambda w: tuple(self.vocabulary.get(x, 0) for x in words(w)))
 
     def bigrams(self, ids: list[int]) -> set[int]:
@@ -51,7 +57,7 @@ class Scanner:
 
     def near(self, n: int) -> list[str]:
         """Templates that a set of n bigrams can match."""
-        return [name for m, name in self.sizes if 2 * min(n, m) >= self.dice * (n + m)]
+        return self.by_size[n] if n <= self.most else []
 
     def scan(self, text: str) -> list[dict]:
         memo = self.memo
@@ -70,7 +76,7 @@ class Scanner:
             end = at
             while end < len(units) and (inside[end] or len(units[end]) < 2):
                 end += 1
-            found += self.run(units, at, end)
+            found += self.run(units, inside, at, end)
             at = end
         found.sort(key=lambda m: (-m[1], -m[4], m[2], m[0]))
         taken, out = set(), []
@@ -86,19 +92,29 @@ class Scanner:
         hit[hit] = self.known[ids[:-1][hit] * self.size + ids[1:][hit]]
         return bool((hit[1:] & hit[:-1]).any() or (hit[2:] & hit[:-2]).any()) or bool(hit.all())
 
-    def run(self, units: list[list[int]], at: int, end: int) -> list[tuple]:
+    def run(self, units: list[list[int]], inside: list[bool], at: int, end: int) -> list[tuple]:
+        """Matches of a run's stretches. Common bigrams are counted by template as units join a stretch, so a stretch
+        costs no more than its last unit and the templates of its size."""
         out = []
-        for i in range(at, end):
-            ids: list[int] = []
+        for i in (k for k in range(at, end) if inside[k]):
+            own: set[int] = set()
+            common: dict[str, int] = {}
+            last, n = 0, 0
             for j in range(i, end):
-                ids += units[j]
-                own = self.bigrams(ids)
-                if len(own) > self.most:
+                unit = units[j]
+                n += len(unit)
+                if n - 1 > self.most:
                     break
+                for a, b in zip([last, *unit] if last else unit, unit if last else unit[1:], strict=False):
+                    if (code := a * self.size + b) not in own:
+                        own.add(code)
+                        for name in self.homes.get(code, ()):
+                            common[name] = common.get(name, 0) + 1
+                last = unit[-1] if unit else last
                 for name in self.near(len(own)) if own else ():
-                    dice = 2 * len(own & self.sets[name]) / (len(own) + len(self.sets[name]))
+                    dice = 2 * common.get(name, 0) / (len(own) + len(self.sets[name]))
                     if dice >= self.dice:
-                        out.append((name, dice, i, j - i + 1, len(ids)))
+                        out.append((name, dice, i, j - i + 1, n))
         return out
 
 
