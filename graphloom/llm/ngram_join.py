@@ -8,8 +8,9 @@ Two documents link when their n-gram sets A, B have 100 |A and B| >= threshold |
    candidates.
 3. Candidates: linked sets share an n-gram among the first |A| - ceil(threshold |A|) + 1 of each, and their sizes are
    within the threshold of each other. The members of such a group (n-gram, size band) aren't paired with each other:
-   first each meets the least member alone. Only groups that the links found so far leave in several components are
-   paired, and only across components, so a group of thousands of near copies costs a pair a member.
+   in ROUNDS rounds each meets one member alone, unless they are in one component already. Only groups that the links
+   found so far leave in several components are paired, only across components, and only where parity sketches of the
+   sets, which bound their difference from below, allow a link.
 4. Verification: the global order is cut at FRAGMENTS - 1 pivots of equal weight. Each fragment counts the overlap of
    a pair's segments there, and the counts are summed by pair.
 5. Components by alternating large-star and small-star steps; every step's edges are a written table.
@@ -24,6 +25,7 @@ isn't null, null if it has none; an empty table gives an empty result; extra col
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,28 +35,73 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Memo, as_bytes, mix, staged, texts
+from graphloom.llm.common import as_bytes, mix, staged, substring_hasher, texts
 
 CELLS, CHUNKS, FRAGMENTS, MOST_BROADCAST = 1 << 20, 64, 4, 2_000_000
+#: 64-bit words of a set's parity sketch, and rounds in which groups meet one member each.
+SKETCH, ROUNDS = 8, 3
 U64 = np.uint64
 ODD = U64(0x9E3779B97F4A7C15)
 
 
-def shingles(text: bytes, words: int, memo: Memo) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's n-grams."""
-    own = text.lower().split()
-    if not own:
-        return np.zeros(0, U64)
-    h = np.frombuffer(b"".join([memo[w] for w in own]), "<u8")
-    span = min(words, len(h))
-    total = h[: len(h) - span + 1] + U64(span)
-    for j in range(1, span):
-        total = total * ODD + h[j : len(h) - span + 1 + j]
-    return np.unique(mix(total))
-
-
-def word_memo() -> Memo:
-    return Memo(lambda w: xxhash.xxh3_64_intdigest(w).to_bytes(8, "little"))
+#: Bytes whose words are hashed at once: little enough for a core's cache.
+CHUNK = 1 << 18
+SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+CUT = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
+    """64-bit hashes of each text's words, in order. Texts are hashed together, long ones in pieces cut at white space."""
+    out: list[list[np.ndarray]] = [[] for _ in texts]
+    pieces: list[bytes] = []
+    owners: list[int] = []
+    held = 0
+
+    def flush() -> None:
+        data = np.frombuffer(b"\n".join(pieces) + b"\n", np.uint8)
+        space = SPACE[data]
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        if not space[0]:
+            edge = np.append(0, edge)
+        starts, ends = edge[::2], edge[1::2]
+        h = substring_hasher(data)(starts, ends)
+        bounds = np.searchsorted(starts, np.cumsum([len(p) + 1 for p in pieces]))
+        for owner, lo, hi in zip(owners, np.append(0, bounds[:-1]).tolist(), bounds.tolist(), strict=True):
+            out[owner].append(h[lo:hi])
+
+    for i, text in enumerate(texts):
+        text, at = text.lower(), 0
+        while at < len(text):
+            cut = CUT.search(text, at + CHUNK) if len(text) - at > CHUNK else None
+            piece = text[at : cut.start() if cut else len(text)]
+            at += len(piece) + 1
+            if held and held + len(piece) > CHUNK:
+                flush()
+                pieces.clear()
+                owners.clear()
+                held = 0
+            pieces.append(piece)
+            owners.append(i)
+            held += len(piece) + 1
+    if pieces:
+        flush()
+    return [x[0] if len(x) == 1 else np.concatenate(x) if x else np.zeros(0, U64) for x in out]
+
+
+def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's n-grams."""
+    out = []
+    for h in word_hashes(texts):
+        if not len(h):
+            out.append(h)
+            continue
+        span = min(words, len(h))
+        total = h[: len(h) - span + 1] + U64(span)
+        for j in range(1, span):
+            total = total * ODD + h[j : len(h) - span + 1 + j]
+        total = np.sort(mix(total))
+        out.append(total[np.append(True, total[1:] != total[:-1])])
+    return out
 
 
 def class_of(tokens: np.ndarray) -> int:
@@ -65,6 +112,12 @@ def prefix(n: int, threshold: int) -> int:
     return n - -(-threshold * n // 100) + 1
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parities of the n-grams in 64 SKETCH cells. Two sketches differ in no more bits than their sets in n-grams."""
+    odd = np.bincount((tokens & U64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 class Order:
     """The global order as 64-bit keys: rank of the n-gram's counter, then its hash; and the pivots that cut it."""
 
@@ -85,21 +138,21 @@ class Order:
 
 
 def _survey(docs: DataFrame, words: int) -> DataFrame:
-    """Rows of documents (doc_id, n, c), and of counters (chunk, counts)."""
+    """Rows of documents (doc_id, n, c, sketch), and of counters (chunk, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, counts = word_memo(), np.zeros(CELLS, np.uint32)
+        counts = np.zeros(CELLS, np.uint32)
         for batch in batches:
-            sets = [shingles(x, words, memo) for x in as_bytes(batch.column("text"))]
+            sets = shingle_sets(as_bytes(batch.column("text")), words)
             if sets:
                 counts += np.bincount((np.concatenate(sets) >> U64(44)).astype(np.int64), minlength=CELLS).astype(np.uint32)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()), "c": pa.array([class_of(s) for s in sets], pa.int64()), "chunk": pa.nulls(len(sets), pa.int32()), "counts": pa.nulls(len(sets), pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()), "c": pa.array([class_of(s) for s in sets], pa.int64()), "sketch": pa.array([sketch(s) for s in sets], pa.list_(pa.int64())), "chunk": pa.nulls(len(sets), pa.int32()), "counts": pa.nulls(len(sets), pa.binary())})
         parts = [(i, zlib.compress(p.tobytes(), 1)) for i, p in enumerate(counts.reshape(CHUNKS, -1)) if p.any()]
         if parts:
             none = pa.nulls(len(parts), pa.int64())
-            yield pa.RecordBatch.from_pydict({"doc_id": none, "n": none, "c": none, "chunk": pa.array([i for i, _ in parts], pa.int32()), "counts": pa.array([p for _, p in parts], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": none, "n": none, "c": none, "sketch": pa.nulls(len(parts), pa.list_(pa.int64())), "chunk": pa.array([i for i, _ in parts], pa.int32()), "counts": pa.array([p for _, p in parts], pa.binary())})
 
-    return docs.mapInArrow(run, "doc_id long, n long, c long, chunk int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, n long, c long, sketch array<long>, chunk int, counts binary")
 
 
 def _order(survey: DataFrame) -> Order:
@@ -122,11 +175,9 @@ def _postings(docs: DataFrame, words: int, threshold: int, order) -> DataFrame:
     """(t, n, c): each class and the first n-grams of its set; a class of copies may come more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = word_memo()
         for batch in batches:
             seen, first, sizes, classes = set(), [], [], []
-            for text in as_bytes(batch.column("text")):
-                tokens = shingles(text, words, memo)
+            for tokens in shingle_sets(as_bytes(batch.column("text")), words):
                 if not len(tokens) or (c := class_of(tokens)) in seen:
                     continue
                 seen.add(c)
@@ -141,23 +192,26 @@ def _postings(docs: DataFrame, words: int, threshold: int, order) -> DataFrame:
     return docs.select("text").mapInArrow(run, "t long, n long, c long")
 
 
-def _segments(docs: DataFrame, words: int, order) -> DataFrame:
-    """(c, f, tokens): the n-grams of a class that are in fragment f."""
+def _segments(docs: DataFrame, words: int, order, leads: bool) -> DataFrame:
+    """(a, f, c, tokens): the n-grams of class c that are in fragment f, for its pairs of least class a: of a itself if
+    leads, else of each other member of its pairs. docs: text, and the wanted c, lead, partners."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = word_memo()
         for batch in batches:
-            classes, fragments, parts = [], [], []
-            for text in as_bytes(batch.column("text")):
-                tokens = shingles(text, words, memo)
+            rows = []
+            for tokens, c, partners in zip(shingle_sets(as_bytes(batch.column("text")), words), batch.column("c").to_pylist(), batch.column("partners").to_pylist(), strict=True):
+                if class_of(tokens) != c:  # another text of the same doc_id
+                    continue
                 at = np.searchsorted(order.value.pivots, order.value.keys(tokens), side="right")
-                for f in np.unique(at):
-                    classes.append(class_of(tokens))
-                    fragments.append(f)
-                    parts.append(tokens[at == f].view(np.int64))
-            yield pa.RecordBatch.from_pydict({"c": pa.array(classes, pa.int64()), "f": pa.array(fragments, pa.int32()), "tokens": pa.array(parts, pa.list_(pa.int64()))})
+                for f in np.unique(at).tolist():
+                    own = tokens[at == f].view(np.int64)
+                    rows += [(a, f, c, own) for a in ([c] if leads else partners or ())]
+            for i in range(0, len(rows), 2000):
+                a, f, c, own = zip(*rows[i : i + 2000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(f, pa.int32()), pa.array(c, pa.int64()), pa.array(own, pa.list_(pa.int64()))], names=["a", "f", "c", "tokens"])
 
-    return docs.select("text").mapInArrow(run, "c long, f int, tokens array<long>")
+    chosen = docs.filter("lead") if leads else docs.filter("partners is not null")
+    return chosen.select("text", "c", "partners").mapInArrow(run, "a long, f int, c long, tokens array<long>")
 
 
 def _close(a: Column, b: Column, threshold: int) -> Column:
@@ -170,6 +224,7 @@ class Join:
         self.docs = texts(docs)
         survey = staged(_survey(self.docs, words))
         self.sets = survey.filter("n is not null").select("doc_id", "n", "c")
+        self.sketches = survey.filter("n > 0").groupBy("c").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")).select("c", "n", *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)))
         self.order = docs.sparkSession.sparkContext.broadcast(_order(survey))  # a megabyte
 
     def groups(self) -> DataFrame:
@@ -183,44 +238,75 @@ class Join:
         several = members.groupBy("t", "b").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("t", "b")
         return members.join(several, ["t", "b"], "left_semi")
 
-    def stars(self, members: DataFrame) -> DataFrame:
-        """Candidates (a, b): each member with the least of its group."""
-        least = members.groupBy("t", "b").agg(F.min(F.struct("c", "n")).alias("lead"))
-        pairs = members.join(least, ["t", "b"]).filter((F.col("c") != F.col("lead.c")) & _close(F.col("n"), F.col("lead.n"), self.threshold))
-        return pairs.select(F.col("lead.c").alias("a"), F.col("c").alias("b")).distinct()
+    def may_link(self, n: str, m: str, other: str) -> Column:
+        """Whether sizes and sketches allow a link: linked sets differ in (n + m) (100 - threshold) / (100 + threshold)
+        n-grams at most, and their sketches in no more bits."""
+        bits = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"s{i}{other}"))) for i in range(SKETCH)), F.lit(0))
+        return _close(F.col(n), F.col(m), self.threshold) & (bits * (100 + self.threshold) <= (F.col(n) + F.col(m)) * (100 - self.threshold))
 
-    def across(self, members: DataFrame, labels: DataFrame) -> DataFrame:
-        """Candidates (a, b): members of one group that are in different components so far."""
+    def split(self, members: DataFrame, labels: DataFrame) -> DataFrame:
+        """Members of the groups that are in several components so far, with their labels."""
         known = members.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
-        split = known.groupBy("t", "b").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("t", "b")
-        left = staged(known.join(split, ["t", "b"], "left_semi"))
-        other = left.select("t", "b", *(F.col(c).alias(f"{c}_") for c in ("n", "c", "label")))
-        pairs = left.join(other, ["t", "b"]).filter((F.col("c") < F.col("c_")) & (F.col("label") != F.col("label_")) & _close(F.col("n"), F.col("n_"), self.threshold))
-        return pairs.select(F.col("c").alias("a"), F.col("c_").alias("b")).distinct()
+        several = known.groupBy("t", "b").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("t", "b")
+        return staged(known.join(several, ["t", "b"], "left_semi"))
+
+    def stars(self, members: DataFrame, seed: int) -> DataFrame:
+        """Candidates (a, b): each member with one of its group, the least by a hash of the round, if it is in another
+        component. (members: t, b, n, c, label.)"""
+        least = members.groupBy("t", "b").agg(F.min(F.struct(F.xxhash64("c", F.lit(seed)).alias("h"), "c", "label")).alias("lead"))
+        pairs = members.join(least, ["t", "b"]).filter(F.col("label") != F.col("lead.label"))
+        pairs = pairs.select(F.least("c", "lead.c").alias("a"), F.greatest("c", "lead.c").alias("b")).distinct()
+        other = self.sketches.withColumnsRenamed({"c": "b", "n": "m"} | {f"s{i}": f"s{i}_" for i in range(SKETCH)})
+        return pairs.join(self.sketches.withColumnRenamed("c", "a"), "a").join(other, "b").filter(self.may_link("n", "m", "_")).select("a", "b")
+
+    def across(self, members: DataFrame) -> DataFrame:
+        """Candidates (a, b): members of one group that are in different components so far. The test of their sketches
+        is part of the join, so pairs that can't link are never made."""
+        left = members.join(self.sketches.drop("n"), "c")
+        names = ["n", "c", "label", *(f"s{i}" for i in range(SKETCH))]
+        other = left.select("t", "b", *(F.col(x).alias(f"{x}_") for x in names))
+        test = (left["t"] == other["t"]) & (left["b"] == other["b"]) & (F.col("c") < F.col("c_")) & (F.col("label") != F.col("label_")) & self.may_link("n", "n_", "_")
+        return left.join(other, test).select(F.col("c").alias("a"), F.col("c_").alias("b")).distinct()
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs whose overlaps, counted fragment by fragment, sum to a link."""
-        classes = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-        wanted = self.sets.join(classes, "c").groupBy("c", "n").agg(F.min("doc_id").alias("doc_id"))
-        wanted = staged(wanted)
-        ids = wanted.select("doc_id").distinct()
-        ids = F.broadcast(ids) if wanted.count() <= MOST_BROADCAST else ids
-        chosen = self.docs.join(ids, self.docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-        segments = staged(_segments(chosen, self.words, self.order).dropDuplicates(["c", "f"]))
-        left, right = (segments.select(F.col("c").alias(x), "f", F.col("tokens").alias(f"{x}_tokens")) for x in "ab")
-        partial = pairs.join(left, "a").join(right, ["b", "f"]).select("a", "b", F.size(F.array_intersect("a_tokens", "b_tokens")).alias("k"))
+        """Those of the pairs whose overlaps, counted fragment by fragment, sum to a link. The segments of b go to the
+        fragments of a at once: a text's n-grams are shuffled once for each of its pairs, and never written besides."""
+        partners = pairs.groupBy(F.col("b").alias("c")).agg(F.collect_list("a").alias("partners"))
+        heads = pairs.select(F.col("a").alias("c")).distinct().withColumn("lead", F.lit(True))
+        both = partners.join(heads, "c", "full")
+        wanted = staged(self.sets.groupBy("c", "n").agg(F.min("doc_id").alias("_id")).join(both, "c").withColumn("lead", F.coalesce("lead", F.lit(False))))
+        side = wanted.select("_id", "c", "lead", "partners")
+        size = wanted.agg(F.sum(F.lit(4) + F.coalesce(F.size("partners"), F.lit(0)))).first()[0] or 0
+        side = F.broadcast(side) if size <= MOST_BROADCAST else side
+        chosen = self.docs.join(side, F.col("doc_id").eqNullSafe(F.col("_id")))
+        left = _segments(chosen, self.words, self.order, True).select("a", "f", F.col("tokens").alias("a_tokens"))
+        right = _segments(chosen, self.words, self.order, False).select("a", "f", F.col("c").alias("b"), F.col("tokens").alias("b_tokens"))
+        partial = left.join(right, ["a", "f"]).select("a", "b", "f", F.size(F.array_intersect("a_tokens", "b_tokens")).alias("k"))
+        total = partial.groupBy("a", "b", "f").agg(F.max("k").alias("k")).groupBy("a", "b").agg(F.sum("k").alias("k"))
         sizes = wanted.select("c", "n")
-        total = partial.groupBy("a", "b").agg(F.sum("k").alias("k"))
         total = total.join(sizes.withColumnsRenamed({"c": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"c": "b", "n": "nb"}), "b")
         return total.filter(F.col("k") * 100 >= (F.col("na") + F.col("nb") - F.col("k")) * self.threshold).select("a", "b")
 
     def run(self) -> DataFrame:
-        members = staged(self.groups())
-        tried = staged(self.stars(members))
-        links = staged(self.links(tried))
-        more = staged(self.across(members, components(links)).join(tried, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            links = links.unionByName(staged(self.links(more)))
+        left = members = staged(self.groups().withColumn("label", F.col("c")))
+        links = tried = None
+        for seed in range(ROUNDS):
+            pairs = self.stars(left, seed)
+            pairs = staged(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+            tried = pairs if tried is None else tried.unionByName(pairs)
+            if not pairs.isEmpty():
+                new = staged(self.links(pairs))
+                links = new if links is None else links.unionByName(new)
+                left = self.split(members.drop("label"), components(links))
+            if left.isEmpty():
+                break
+        if not left.isEmpty():
+            more = staged(self.across(left).join(tried, ["a", "b"], "left_anti"))
+            if not more.isEmpty():
+                new = staged(self.links(more))
+                links = new if links is None else links.unionByName(new)
+        if links is None:
+            links = tried
         labelled = self.sets.filter("n > 0").join(components(links), "c", "left").withColumn("label", F.coalesce("label", "c"))
         least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
         whole = labelled.join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
