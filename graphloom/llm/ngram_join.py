@@ -104,6 +104,13 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     return out
 
 
+def few(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that a worker holds the sets of few texts at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def class_of(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
 
@@ -142,7 +149,7 @@ def _survey(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, np.uint32)
-        for batch in batches:
+        for batch in few(batches):
             sets = shingle_sets(as_bytes(batch.column("text")), words)
             if sets:
                 counts += np.bincount((np.concatenate(sets) >> U64(44)).astype(np.int64), minlength=CELLS).astype(np.uint32)
@@ -175,7 +182,7 @@ def _postings(docs: DataFrame, words: int, threshold: int, order) -> DataFrame:
     """(t, n, c): each class and the first n-grams of its set; a class of copies may come more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             seen, first, sizes, classes = set(), [], [], []
             for tokens in shingle_sets(as_bytes(batch.column("text")), words):
                 if not len(tokens) or (c := class_of(tokens)) in seen:
@@ -197,7 +204,7 @@ def _segments(docs: DataFrame, words: int, order, leads: bool) -> DataFrame:
     leads, else of each other member of its pairs. docs: text, and the wanted c, lead, partners."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             rows = []
             for tokens, c, partners in zip(shingle_sets(as_bytes(batch.column("text")), words), batch.column("c").to_pylist(), batch.column("partners").to_pylist(), strict=True):
                 if class_of(tokens) != c:  # another text of the same doc_id
