@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from graphloom.llm import decontaminate
@@ -49,6 +50,37 @@ def test_leaks(frame, spark, corpus, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in leaks(docs, benchmark).collect()} == found
 
 
+def test_leaks_dense_and_mixed(frame, spark, corpus):
+    """Items one after another, and short ones between long ones: none is lost, and the candidates lose no window that
+    the check would take."""
+    r = random.Random(8)
+    words = ["".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(3)) for _ in range(1500)] + "the of and to in a".split() * 100
+    items = [(i, " ".join(r.choice(words) for _ in range(r.choice((15, 18, 20, 47, 59))))) for i in range(40)]
+    short, long = ([x for x in items if (len(x[1].split()) > 20) == k] for k in (False, True))
+    rows, want = [], set()
+    for d in range(60):
+        held = r.sample(items, 8) if d % 2 else [r.choice(long), r.choice(short), r.choice(long)]
+        rows.append((d, " ".join(t for _, t in held)))
+        want |= {(d, i) for i, _ in held}
+    rows += [(1000 + d, " ".join(r.choice(words) for _ in range(r.randint(5, 300)))) for d in range(200)]
+    found = {(x["doc_id"], x["item_id"]) for x in leaks(frame(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert want <= found
+    block = decontaminate.Block(items)
+    decontaminate.fit(decontaminate.word_streams(frame(rows), block), block)
+    every = set()
+    for d, text in rows:
+        known = [(block.vocabulary[w], k) for k, w in enumerate(map(decontaminate.normal, text.split())) if w in block.vocabulary]
+        ids, at = (np.array([x[k] for x in known], int) for k in (0, 1))
+        for w in range(len(text.split()) // block.stride + 1):
+            lo, hi = np.searchsorted(at, (w * block.stride, (w + 2) * block.stride))
+            counts = np.bincount(ids[lo:hi], minlength=len(block.vocabulary))
+            for k, (i, _) in enumerate(block.items):
+                lcs, answers, _ = decontaminate._check(block, k, ids[lo:hi], at[lo:hi], counts)
+                if lcs >= decontaminate.SURE or lcs >= decontaminate.LIKELY and answers >= decontaminate.ANSWERS:
+                    every.add((d, i))
+    assert found == every
+
+
 def test_leaks_empty(frame, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert leaks(frame([(1, "x y z")]), none).count() == 0
