@@ -64,8 +64,9 @@ class Scanner:
         ids = np.array([i for w in text.split() for i in memo[w]], np.int64)
         if len(ids) < 2 or not self.dense(ids):
             return []
-        units = [[i for w in part.split() for i in memo[w]] for part in UNIT.split(text)]
-        hits = [[bool(self.known[a * self.size + b]) for a, b in zip(u, u[1:], strict=False)] for u in units]
+        others: dict[str, int] = {}  # a word out of the templates has an id of its own in each text
+        units = [[self.vocabulary.get(x) or others.setdefault(x, self.size + len(others)) for x in words(part)] for part in UNIT.split(text)]
+        hits = [[a < self.size and b < self.size and bool(self.known[a * self.size + b]) for a, b in zip(u, u[1:], strict=False)] for u in units]
         inside = [bool(h) and 3 * sum(h) >= 2 * len(h) for h in hits]
         found: list[tuple] = []
         at = 0
@@ -97,7 +98,7 @@ class Scanner:
         costs no more than its last unit and the templates of its size."""
         out = []
         for i in (k for k in range(at, end) if inside[k]):
-            own: set[int] = set()
+            own: set[tuple[int, int]] = set()
             common: dict[str, int] = {}
             last, n = 0, 0
             for j in range(i, end):
@@ -106,9 +107,9 @@ class Scanner:
                 if n - 1 > self.most:
                     break
                 for a, b in zip([last, *unit] if last else unit, unit if last else unit[1:], strict=False):
-                    if (code := a * self.size + b) not in own:
-                        own.add(code)
-                        for name in self.homes.get(code, ()):
+                    if (a, b) not in own:
+                        own.add((a, b))
+                        for name in self.homes.get(a * self.size + b, ()) if a < self.size and b < self.size else ():
                             common[name] = common.get(name, 0) + 1
                 last = unit[-1] if unit else last
                 for name in self.near(len(own)) if own else ():

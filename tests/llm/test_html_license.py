@@ -57,6 +57,12 @@ def test_dice_against_brute_force():
     assert s.scan("a b c x y z") == []
 
 
+def test_unknown_words_count_each():
+    s = Scanner({"t": "a b c d e f g h i j"}, 0.5)
+    assert s.scan("a b c d e f g h i j u v w x")[0]["dice"] == pytest.approx(2 * 9 / (9 + 13))
+    assert s.scan("a b c d e u\nf g h i j")[0]["dice"] == pytest.approx(2 * 8 / (9 + 10))  # u f is a bigram, too
+
+
 def test_scan_frame(frame):
     got = scan(frame([(1, "All rights reserved.", 5), (None, None, 6), (2, "", 7)], "doc_id long, text string, c int")).collect()
     assert [[m["license"] for m in r["licenses"]] for r in got] == [["proprietary"], [], []]
