@@ -1,14 +1,14 @@
 """Licence scans: stretches of a text against licence templates by the Dice coefficient of word bigrams.
 
 Normal form: words are runs of letters and digits (inner points stay), in lower case; marks
-go. A text is cut into units at line feeds and sentence ends. Units of which two of three bigrams are out of the templates,
-one after the other, form a run; every stretch of whole units of a run that begins with
-such a unit (one of a word or none can follow it) and has no more words than the largest bound, whose
-count of distinct bigrams lies within a template's bounds is compared to it. 2 |A and B| / (|A| + |B|) >= t asks for |A| from |B| t / (2 - t) to
-|B| (2 - t) / t: other templates are pruned by size alone. Of overlapping matches the best stays (longest of equals).
-
-Defined cases: null or empty text has no match and gives an empty list; a unit of one word has no bigram and ends no
-run; a text's repeated notices are reported each; ids aren't read; other columns are kept; an empty table gives an
+go. A text is cut into units at line feeds and sentence ends. Every stretch of whole units is compared as a set of
+distinct bigrams to every template, but for those that can't be the best where they lie: a stretch begins with a unit
+that has a bigram of the template (of its own or with the next word), ends with one that adds such a bigram, and is left
+once it has more bigrams out of the template than Dice allows (2 |B| (1 - t) / t) or its first units lower its Dice, so
+that the stretch without them is better. 2 |A and B| / (|A| + |B|) >= t asks for |A and B| of at least |B| t / (2 - t):
+templates of which the text has fewer bigrams are pruned. Of overlapping matches the best stays (longest of equals).
+
+Defined cases: null or empty text has no match and gives an empty list; a unit of one word has no bigram of its own; a text's repeated notices are reported each; ids aren't read; other columns are kept; an empty table gives an
 empty result.
 """
 
@@ -44,6 +44,7 @@ class Scanner:
         self.sizes = sorted((len(s), name) for name, s in self.sets.items())
         self.known = np.zeros(self.size * self.size, bool)
         self.known[list(set().union(*self.sets.values()))] = True
+        self.codes = {name: np.array(sorted(found), np.int64) for name, found in self.sets.items()}
         self.most = int(max((n for n, _ in self.sizes), default=0) * (2 - dice) / dice)
         self.homes: dict[int, list[str]] = {}
         for name, found in self.sets.items():
@@ -62,23 +63,25 @@ class Scanner:
     def scan(self, text: str) -> list[dict]:
         memo = self.memo
         ids = np.array([i for w in text.split() for i in memo[w]], np.int64)
-        if len(ids) < 2 or not self.dense(ids):
+        names = self.likely(ids)
+        if not names:
             return []
         others: dict[str, int] = {}  # a word out of the templates has an id of its own in each text
         units = [[self.vocabulary.get(x) or others.setdefault(x, self.size + len(others)) for x in words(part)] for part in UNIT.split(text)]
-        hits = [[a < self.size and b < self.size and bool(self.known[a * self.size + b]) for a, b in zip(u, u[1:], strict=False)] for u in units]
-        inside = [bool(h) and 3 * sum(h) >= 2 * len(h) for h in hits]
+        ids = np.array([i for u in units for i in u], np.int64)
+        starts = np.cumsum([0, *map(len, units)])
+        left, right = ids[:-1], ids[1:]
+        _, code = np.unique(left * (self.size + len(others)) + right, return_inverse=True)
+        order = np.argsort(code, kind="stable")
+        same = np.flatnonzero(code[order][1:] == code[order][:-1])
+        before = np.full(len(code), -1)  # where a bigram was last
+        before[order[same + 1]] = order[same]
+        final = np.ones(len(code), bool)
+        final[order[same]] = False
+        both = np.where((left < self.size) & (right < self.size), left * self.size + right, -1)
         found: list[tuple] = []
-        at = 0
-        while at < len(units):
-            if not inside[at]:
-                at += 1
-                continue
-            end = at
-            while end < len(units) and (inside[end] or len(units[end]) < 2):
-                end += 1
-            found += self.run(units, inside, at, end)
-            at = end
+        for name in names:
+            found += self.stretches(name, np.isin(both, self.codes[name]), before, final, starts)
         found.sort(key=lambda m: (-m[1], -m[4], m[2], m[0]))
         taken, out = set(), []
         for name, dice, first, count, n in found:
@@ -87,35 +90,47 @@ class Scanner:
                 out.append({"license": name, "dice": dice, "first_unit": first, "units": count, "words": n})
         return sorted(out, key=lambda m: m["first_unit"])
 
-    def dense(self, ids: np.ndarray) -> bool:
-        """Whether the text has a bigram of the templates with another in the next two places; no run is without."""
+    def likely(self, ids: np.ndarray) -> list[str]:
+        """Templates of which the text has as many distinct bigrams as the least match."""
         hit = (ids[:-1] > 0) & (ids[1:] > 0)
-        hit[hit] = self.known[ids[:-1][hit] * self.size + ids[1:][hit]]
-        return bool((hit[1:] & hit[:-1]).any() or (hit[2:] & hit[:-2]).any()) or bool(hit.all())
-
-    def run(self, units: list[list[int]], inside: list[bool], at: int, end: int) -> list[tuple]:
-        """Matches of a run's stretches. Common bigrams are counted by template as units join a stretch, so a stretch
-        costs no more than its last unit and the templates of its size."""
-        out = []
-        for i in (k for k in range(at, end) if inside[k]):
-            own: set[tuple[int, int]] = set()
-            common: dict[str, int] = {}
-            last, n = 0, 0
-            for j in range(i, end):
-                unit = units[j]
-                n += len(unit)
-                if n - 1 > self.most:
+        codes = (ids[:-1] * self.size + ids[1:])[hit]
+        common: dict[str, int] = {}
+        for code in np.unique(codes[self.known[codes]]).tolist():
+            for name in self.homes[code]:
+                common[name] = common.get(name, 0) + 1
+        return [name for n, name in self.sizes if common.get(name, 0) >= max(1, n * self.dice / (2 - self.dice) - 1e-9)]
+
+    def stretches(self, name: str, inside: np.ndarray, before: np.ndarray, final: np.ndarray, starts: np.ndarray) -> list[tuple]:
+        """Matches of one template. Of each bigram of the text: whether the template has it, where it was before, and
+        whether it is its last; bigram p is of words p and p + 1. `starts` has each unit's first word, and the end."""
+        out, size = [], len(self.sets[name])
+        excess = 2 * size * (1 - self.dice) / self.dice + 1e-9
+        hits = np.unique(np.searchsorted(starts, np.flatnonzero(inside), "right") - 1)
+        for i in hits.tolist():
+            s, reach = int(starts[i]), 64
+            while True:
+                e = min(len(inside), s + reach)
+                fresh = before[s:e] < s
+                own = np.cumsum(fresh)
+                common = np.cumsum(fresh & inside[s:e])
+                # ends of units whose bigrams, and the one to the next word, are seen
+                lo, hi = np.searchsorted(starts, (s + 1, e + (e == len(inside))), "right")
+                ends = np.unique(starts[max(lo - (starts[lo - 1] > s), i + 1) : hi])
+                ends = ends[ends - s >= 2]
+                c, n = common[ends - s - 2], own[ends - s - 2]
+                # what the units up to an end alone have, with the bigram to the next word
+                past = np.minimum(ends - s - 1, len(own) - 1)
+                poor = common[past] < self.dice / 2 * np.cumsum(final[s:e])[past] - 1e-9
+                over = (n - c > excess) | np.append(False, (poor | (c == size))[:-1])
+                stop = int(np.argmax(over)) if over.any() else len(ends)
+                if stop < len(ends) or e == len(inside) or (len(ends) and bool(poor[-1] | (c[-1] == size))) or int(own[-1] - common[-1]) > excess + 1:
                     break
-                for a, b in zip([last, *unit] if last else unit, unit if last else unit[1:], strict=False):
-                    if (a, b) not in own:
-                        own.add((a, b))
-                        for name in self.homes.get(a * self.size + b, ()) if a < self.size and b < self.size else ():
-                            common[name] = common.get(name, 0) + 1
-                last = unit[-1] if unit else last
-                for name in self.near(len(own)) if own else ():
-                    dice = 2 * common.get(name, 0) / (len(own) + len(self.sets[name]))
-                    if dice >= self.dice:
-                        out.append((name, dice, i, j - i + 1, n))
+                reach *= 2
+            dice = 2 * c / (n + size)
+            grown = np.diff(c, prepend=0) > 0
+            for k in np.flatnonzero((dice >= self.dice) & grown & (np.arange(len(ends)) < stop)).tolist():
+                j = int(np.searchsorted(starts, ends[k], "left"))  # the first unit that ends there
+                out.append((name, float(dice[k]), i, j - i, int(ends[k]) - s))
         return out
 
 

@@ -1,7 +1,10 @@
+import random
+from itertools import pairwise
+
 import pytest
 
 from graphloom.llm.html_extract import extract, parse, render
-from graphloom.llm.license_scan import DICE, Scanner, scan
+from graphloom.llm.license_scan import DICE, UNIT, Scanner, scan, words
 from graphloom.llm.license_templates import TEMPLATES
 
 
@@ -63,6 +66,37 @@ def test_unknown_words_count_each():
     assert s.scan("a b c d e u\nf g h i j")[0]["dice"] == pytest.approx(2 * 8 / (9 + 10))  # u f is a bigram, too
 
 
+def test_notices_with_insertions():
+    s, tokens = Scanner(TEMPLATES, DICE), TEMPLATES["MIT"].split()
+    lines = TEMPLATES["MIT"].split("\n")
+    for text in ("\n".join([lines[0], "Page 3 of the printed manual of 2011", *lines[1:]]), " ".join([*tokens[:60], "quux.", *tokens[60:]])):
+        assert [m["license"] for m in s.scan(f"Some prose first.\n{text}\nAnd prose after it.")] == ["MIT"]
+
+
+def brute_force(templates: dict[str, str], text: str) -> float:
+    """The best Dice over all stretches of units and all templates."""
+    units, best = [words(x) for x in UNIT.split(text)], 0.0
+    sets = [set(pairwise(words(t))) for t in templates.values()]
+    for i in range(len(units)):
+        for j in range(i + 1, len(units) + 1):
+            w = [x for u in units[i:j] for x in u]
+            own = set(pairwise(w))
+            best = max([best, *(2 * len(own & t) / (len(own) + len(t)) for t in sets)])
+    return best
+
+
+def test_best_stretch_against_brute_force():
+    r = random.Random(5)
+    templates = {"t": "a b c d e f g h i j k l", "u": "c d a f b", "v": "x a"}
+    for dice in (0.5, 0.8):
+        s = Scanner(templates, dice)
+        for _ in range(1500):
+            parts = [r.choice(("a b c", "d e f g", "h i j k l", "c d a", "f b", "x a", "q", "q r", "q r s t", "", "a", "e f", "the a b")) for _ in range(r.randint(1, 12))]
+            text = "\n".join(parts) if r.random() < 0.7 else "\n".join(["a b c d e", *r.sample(parts, len(parts) // 3), "f g h i j k l", *parts])
+            found, best = s.scan(text), brute_force(templates, text)
+            assert max((m["dice"] for m in found), default=0) == pytest.approx(best if best >= dice else 0), text
+
+
 def test_scan_frame(frame):
     got = scan(frame([(1, "All rights reserved.", 5), (None, None, 6), (2, "", 7)], "doc_id long, text string, c int")).collect()
     assert [[m["license"] for m in r["licenses"]] for r in got] == [["proprietary"], [], []]
