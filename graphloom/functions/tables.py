@@ -290,7 +290,7 @@ def wcc(session, graph, maxiterations=100):
 
 
 @table_function("strongly_connected_components", "scc", "strongly_connected_components_kosaraju", "scc_ko")
-def scc(session, graph, maxiterations=1000):
+def scc(session, graph, maxiterations=None):
     return _shown(session, graph, algorithms.strongly_connected_components(*graph_frames(session, graph), maxiterations), "component", "group_id")
 
 

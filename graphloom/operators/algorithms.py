@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.errors import RunError
 from graphloom.storage import staged
 
 
@@ -31,15 +32,26 @@ def weakly_connected_components(nodes: DataFrame, edges: DataFrame, rounds: int
     return labels
 
 
-def strongly_connected_components(nodes: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame:
-    """(id, component): forward-backward colouring. Each round every node gets the least id that reaches it; from
-    each colour's root the nodes of the colour that reach the root form a component and leave."""
+def strongly_connected_components(nodes: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(id, component): forward-backward colouring. Each round nodes without in- or out-edges leave, components of
+    their own; of the others every node gets the least id that reaches it; from each colour's root the nodes of the
+    colour that reach the root form a component and leave. Rounds go on until no node is left; a caller's own cap of
+    rounds raises if it is reached before."""
     left = staged(nodes.select("id"))
     arcs = staged(edges.select("src", "dst").filter("src <> dst").distinct())
-    done = None
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
+    done, count = None, 0
+    while not left.isEmpty():
+        if rounds is not None and count >= rounds:
+            raise RunError(f"strongly connected components aren't complete after {rounds} rounds")
+        count += 1
+        inner = arcs.select(F.col("src").alias("id")).intersect(arcs.select(F.col("dst").alias("id")))
+        lone = staged(left.join(inner, "id", "left_anti"))
+        if not lone.isEmpty():
+            found = lone.select("id", F.col("id").alias("component"))
+            done = found if done is None else staged(done.unionByName(found))
+            left = staged(left.join(lone, "id", "left_anti"))
+            arcs = staged(arcs.join(lone.withColumnRenamed("id", "src"), "src", "left_anti").join(lone.withColumnRenamed("id", "dst"), "dst", "left_anti"))
+            continue
         colour = staged(left.withColumn("c", F.col("id")))
         while True:  # forward: the least ancestor
             near = arcs.join(colour, F.col("src") == F.col("id")).groupBy("dst").agg(F.min("c").alias("near"))

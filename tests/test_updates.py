@@ -221,3 +221,15 @@ def test_algorithms_against_small_graphs(spark):
     sim = {(r["a"], r["b"]): r["similarity"] for r in al.node_similarity(edges).collect()}
     assert sim[(0, 1)] == pytest.approx(1 / 3)
     assert al.shortest_path(edges, 0, 4) == [0, 2, 3, 4] and al.shortest_path(edges, 0, 6) == []
+
+
+def test_strong_components_lose_no_node(spark):
+    from graphloom.errors import RunError
+    from graphloom.operators import algorithms as al
+
+    chain = spark.createDataFrame([(i, i + 1) for i in range(6)], "src long, dst long")
+    assert {r["id"]: r["component"] for r in al.strongly_connected_components(spark.range(7), chain, 4).collect()} == {i: i for i in range(7)}
+    with pytest.raises(RunError):
+        al.strongly_connected_components(spark.range(7), chain, 2)
+    deep = spark.createDataFrame([(i, j) for i in range(6) for j in range(i + 1, 6)] + [(5, 6), (6, 7), (7, 6)], "src long, dst long")
+    assert {r["id"]: r["component"] for r in al.strongly_connected_components(spark.range(8), deep).collect()} == {i: min(i, 6) for i in range(8)}
