@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 from graphloom.dist import ship
 from graphloom.storage import shared_dir, staged
 
-__all__ = ["Memo", "as_bytes", "mix", "shared_dir", "staged", "substring_hasher", "table", "texts"]
+__all__ = ["Memo", "as_bytes", "mix", "shared_dir", "slices", "small_batches", "staged", "substring_hasher", "table", "texts"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +30,24 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def slices(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batch in slices, so that a worker holds what it makes of few texts at a time."""
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """While jobs run inside, Arrow batches have so many rows: both sides of a Python worker hold whole batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Memo(dict):
     """word -> value, made when first asked for; emptied when it holds `most` words, so its memory is bounded."""
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from graphloom.llm.common import texts
+from graphloom.llm.common import as_bytes, slices, texts
 from graphloom.llm.word_ids import word_ids
 
 GROUP = 640
@@ -100,8 +100,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, capacity: int
 
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = ids_of(text) + end
+            for doc_id, ids in ((d, x.tobytes() + end) for some in slices(batch) for d, x in zip(some.column("doc_id").to_pylist(), ids_of(as_bytes(some.column("text"))), strict=True)):
                 n = len(ids) // 4
                 full = n - n % capacity
                 for start in range(0, full, capacity):

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import texts
+from graphloom.llm.common import as_bytes, slices, texts
 from graphloom.llm.word_ids import word_ids
 
 MAGIC, BLOCK, SEGMENT = b"S8B1", 1024, 1 << 19
@@ -121,22 +121,24 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> No
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, part = word_ids(vocabulary).ids, TaskContext.get().partitionId()
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4")
         seq = start = held = 0
-        doc_ids, pieces = [], []
+        doc_ids, lengths, pieces = [], [], []
 
         def segment() -> pa.RecordBatch:
-            image = to_image(doc_ids, [len(p) // 4 for p in pieces], np.frombuffer(b"".join(pieces), "<u4"))
+            image = to_image(doc_ids, lengths, np.concatenate(pieces))
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "start": [start], "n_ids": [held], "image": pa.array([image], pa.binary())})
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                doc_ids.append(doc_id)
-                pieces.append(ids_of(text) + end)
-                held += len(pieces[-1]) // 4
-                if held >= SEGMENT:
-                    yield segment()
-                    seq, start, held, doc_ids, pieces = seq + 1, start + held, 0, [], []
+            for some in slices(batch):
+                for doc_id, ids in zip(some.column("doc_id").to_pylist(), ids_of(as_bytes(some.column("text"))), strict=True):
+                    doc_ids.append(doc_id)
+                    lengths.append(len(ids) + 1)
+                    pieces += (ids, end)
+                    held += lengths[-1]
+                    if held >= SEGMENT:
+                        yield segment()
+                        seq, start, held, doc_ids, lengths, pieces = seq + 1, start + held, 0, [], [], []
         if doc_ids:
             yield segment()
 

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
+from graphloom.llm import word_ids
 from graphloom.llm.packing import differencing, near_equal, pack_documents
 from graphloom.llm.token_binary import from_image, pack, read_tokens, to_image, unpack, write_tokens
 from graphloom.llm.word_ids import WordIds, vocabulary
@@ -15,18 +16,33 @@ TEXTS = ["", "a", "  a  b ", "\n\n x", "a\tb", "x\r\ny", " a", "a ", "it's don't
 
 
 @pytest.mark.parametrize("file", FILES)
-def test_ids_equal_the_library(file):
-    w, t = WordIds(vocabulary(file), 50, 50), Tokenizer.from_file(vocabulary(file))
-    for x in TEXTS * 2:
-        assert np.frombuffer(w.ids(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
+@pytest.mark.parametrize("slot_bits, arena, chunk", [(21, 1 << 23, 1 << 19), (3, 10, 16)])
+def test_ids_equal_the_library(file, slot_bits, arena, chunk, monkeypatch):
+    """Whole texts at once; with a table of 8 places, ids dropped after each flush and texts cut into pieces."""
+    monkeypatch.setattr(word_ids, "CHUNK", chunk)
+    w, t = WordIds(vocabulary(file), slot_bits, arena), Tokenizer.from_file(vocabulary(file))
+    for _ in range(2):
+        for x, ids in zip(TEXTS, w.ids([x.encode() for x in TEXTS]), strict=True):
+            assert ids.tolist() == t.encode(x, add_special_tokens=False).ids, x
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.text(alphabet="ab Zé.,'\n\t1<|", max_size=40))
-def test_ids_of_any_text(text):
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    t = Tokenizer.from_file(vocabulary(FILES[1]))
+    t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    t.save(f"{tmp_path}/other.json")
+    w = WordIds(f"{tmp_path}/other.json")
+    assert not w.cuts
+    for x, ids in zip(TEXTS, w.ids([x.encode() for x in TEXTS]), strict=True):
+        assert ids.tolist() == t.encode(x, add_special_tokens=False).ids
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="abH Zé.É,'\n\t\r1<|ΣŸ\u0331\u0301\u0307\u3000\u00a0\u2003’日😀\x1c", max_size=40), max_size=4))
+def test_ids_of_any_text(texts):
     for file in FILES:
         w = _WORDS.setdefault(file, WordIds(vocabulary(file)))
-        assert np.frombuffer(w.ids(text), "<u4").tolist() == w.tokenizer.encode(text, add_special_tokens=False).ids
+        for x, ids in zip(texts, w.ids([x.encode() for x in texts]), strict=True):
+            assert ids.tolist() == w.tokenizer.encode(x, add_special_tokens=False).ids
 
 
 _WORDS: dict = {}
