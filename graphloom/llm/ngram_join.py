@@ -6,11 +6,12 @@ Two documents link when their n-gram sets A, B have 100 |A and B| >= threshold |
 2. Global order: n-grams ascend by frequency, taken from CELLS counters of all n-grams of all documents (added up by
    partition, one byte a counter when sent), then by hash. Any order gives the same links; rare ones first gives few
    candidates.
-3. Candidates: linked sets share an n-gram among the first |A| - ceil(threshold |A|) + 1 of each, and their sizes are
-   within the threshold of each other. The members of such a group (n-gram, size band) aren't paired with each other:
-   in ROUNDS rounds each meets one member alone, unless they are in one component already. Only groups that the links
-   found so far leave in several components are paired, only across components, and only where parity sketches of the
-   sets, which bound their difference from below, allow a link.
+3. Candidates: linked sets share an n-gram among the first |A| - ceil(threshold |A|) + 1 of each. The place of the
+   first that they share bounds the size of their overlap, and so the size of the other set. The members of such a
+   group (n-gram, size band) aren't paired with each other: in rounds each meets one member alone, unless they are in
+   one component already, as long as a round links one in a hundred, ROUNDS times at most. Only groups that the links
+   found so far leave in several components are paired, only across components, and only where sizes, places and
+   parity sketches of the sets, which bound their difference from below, allow a link.
 4. Verification: the global order is cut at FRAGMENTS - 1 pivots of equal weight. Each fragment counts the overlap of
    a pair's segments there, and the counts are summed by pair.
 5. Components by alternating large-star and small-star steps; every step's edges are a written table.
@@ -35,11 +36,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import as_bytes, mix, staged, substring_hasher, texts
+from graphloom.llm.common import as_bytes, mix, slices, small_batches, staged, substring_hasher, texts
 
 CELLS, CHUNKS, FRAGMENTS, MOST_BROADCAST = 1 << 20, 64, 4, 2_000_000
-#: 64-bit words of a set's parity sketch, and rounds in which groups meet one member each.
-SKETCH, ROUNDS = 8, 3
+#: 64-bit words of a set's parity sketch, and the most rounds in which groups meet one member each.
+SKETCH, ROUNDS = 8, 4
 U64 = np.uint64
 ODD = U64(0x9E3779B97F4A7C15)
 
@@ -104,11 +105,9 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     return out
 
 
-def few(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The batches in slices, so that a worker holds the sets of few texts at a time."""
+def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
+        yield from slices(batch)
 
 
 def class_of(tokens: np.ndarray) -> int:
@@ -179,24 +178,30 @@ def _order(survey: DataFrame) -> Order:
 
 
 def _postings(docs: DataFrame, words: int, threshold: int, order) -> DataFrame:
-    """(t, n, c): each class and the first n-grams of its set; a class of copies may come more than once."""
+    """(t, n, most, c): each class and the first n-grams of its set; a class of copies may come more than once. A set
+    of over `most` n-grams can't link with this one if t is the first n-gram that they share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few(batches):
-            seen, first, sizes, classes = set(), [], [], []
+            seen, first, most, sizes, classes = set(), [], [], [], []
             for tokens in shingle_sets(as_bytes(batch.column("text")), words):
                 if not len(tokens) or (c := class_of(tokens)) in seen:
                     continue
                 seen.add(c)
-                p = prefix(len(tokens), threshold)
-                first.append(tokens[np.argpartition(order.value.keys(tokens), p - 1)[:p]] if p < len(tokens) else tokens)
-                sizes.append(len(tokens))
+                n = len(tokens)
+                p = prefix(n, threshold)
+                keys = order.value.keys(tokens)
+                at = np.argpartition(keys, p - 1)[:p] if p < n else np.arange(n)
+                before = np.searchsorted(np.sort(keys[at]), keys[at])  # n-grams of the set that come earlier
+                first.append(tokens[at])
+                most.append((100 + threshold) * (n - before) // threshold - n)
+                sizes.append(n)
                 classes.append(c)
             if first:
                 each = [len(x) for x in first]
-                yield pa.RecordBatch.from_pydict({"t": np.concatenate(first).view(np.int64), "n": np.repeat(np.array(sizes, np.int64), each), "c": np.repeat(np.array(classes, np.int64), each)})
+                yield pa.RecordBatch.from_pydict({"t": np.concatenate(first).view(np.int64), "n": np.repeat(np.array(sizes, np.int32), each), "most": np.concatenate(most).astype(np.int32), "c": np.repeat(np.array(classes, np.int64), each)})
 
-    return docs.select("text").mapInArrow(run, "t long, n long, c long")
+    return docs.select("text").mapInArrow(run, "t long, n int, most int, c long")
 
 
 def _segments(docs: DataFrame, words: int, order, leads: bool) -> DataFrame:
@@ -221,10 +226,6 @@ def _segments(docs: DataFrame, words: int, order, leads: bool) -> DataFrame:
     return chosen.select("text", "c", "partners").mapInArrow(run, "a long, f int, c long, tokens array<long>")
 
 
-def _close(a: Column, b: Column, threshold: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * threshold
-
-
 class Join:
     def __init__(self, docs: DataFrame, words: int, threshold: int):
         self.words, self.threshold = words, threshold
@@ -234,46 +235,43 @@ class Join:
         self.sketches = survey.filter("n > 0").groupBy("c").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")).select("c", "n", *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)))
         self.order = docs.sparkSession.sparkContext.broadcast(_order(survey))  # a megabyte
 
+    def meeting(self, members: DataFrame, by: list[str]) -> DataFrame:
+        """Members of the groups that hold several labels, without those that none of their group may link with."""
+        group = members.groupBy(*by).agg(F.min("n").alias("least"), F.max("most").alias("largest"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y")
+        return members.join(group, by).filter("most >= least and n <= largest").drop("least", "largest", "x", "y")
+
     def groups(self) -> DataFrame:
-        """(t, b, n, c): members of the groups, n-gram and size band, that have two classes or more."""
-        rows = _postings(self.docs, self.words, self.threshold, self.order)
-        twice = rows.groupBy("t").agg(F.count(F.lit(1)).alias("k")).filter("k >= 2").select("t")
-        rows = rows.join(twice, "t", "left_semi").dropDuplicates(["t", "c"])
+        """(t, b, n, most, c, label): members of the groups, n-gram and size band; each class has its own label."""
+        rows = staged(_postings(self.docs, self.words, self.threshold, self.order)).withColumn("label", F.col("c"))
+        rows = self.meeting(rows, ["t"]).dropDuplicates(["t", "c"])
         band = F.floor(F.log(F.col("n").cast("double")) / -math.log(self.threshold / 100)) if self.threshold < 100 else F.col("n")
-        bands = F.array(band.cast("long"), band.cast("long") + 1) if self.threshold < 100 else F.array(band)
-        members = staged(rows.withColumn("b", F.explode(bands)).select("t", "b", "n", "c"))
-        several = members.groupBy("t", "b").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("t", "b")
-        return members.join(several, ["t", "b"], "left_semi")
-
-    def may_link(self, n: str, m: str, other: str) -> Column:
-        """Whether sizes and sketches allow a link: linked sets differ in (n + m) (100 - threshold) / (100 + threshold)
-        n-grams at most, and their sketches in no more bits."""
-        bits = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"s{i}{other}"))) for i in range(SKETCH)), F.lit(0))
-        return _close(F.col(n), F.col(m), self.threshold) & (bits * (100 + self.threshold) <= (F.col(n) + F.col(m)) * (100 - self.threshold))
+        bands = F.array(band.cast("int"), band.cast("int") + 1) if self.threshold < 100 else F.array(band)
+        return staged(self.meeting(rows.withColumn("b", F.explode(bands)), ["t", "b"]).select("t", "b", "n", "most", "c", "label"))
 
-    def split(self, members: DataFrame, labels: DataFrame) -> DataFrame:
-        """Members of the groups that are in several components so far, with their labels."""
-        known = members.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
-        several = known.groupBy("t", "b").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("t", "b")
-        return staged(known.join(several, ["t", "b"], "left_semi"))
+    def may_link(self, other: str) -> Column:
+        """Whether sizes, places and sketches allow a link: linked sets of n and m n-grams differ in
+        (n + m) (100 - threshold) / (100 + threshold) at most, and their sketches in no more bits."""
+        n, m = F.col("n"), F.col(f"n{other}")
+        bits = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"s{i}{other}"))) for i in range(SKETCH)), F.lit(0))
+        return (F.col("label") != F.col(f"label{other}")) & (n <= F.col(f"most{other}")) & (m <= F.col("most")) & (bits * (100 + self.threshold) <= (n + m) * (100 - self.threshold))
 
     def stars(self, members: DataFrame, seed: int) -> DataFrame:
-        """Candidates (a, b): each member with one of its group, the least by a hash of the round, if it is in another
-        component. (members: t, b, n, c, label.)"""
-        least = members.groupBy("t", "b").agg(F.min(F.struct(F.xxhash64("c", F.lit(seed)).alias("h"), "c", "label")).alias("lead"))
-        pairs = members.join(least, ["t", "b"]).filter(F.col("label") != F.col("lead.label"))
-        pairs = pairs.select(F.least("c", "lead.c").alias("a"), F.greatest("c", "lead.c").alias("b")).distinct()
-        other = self.sketches.withColumnsRenamed({"c": "b", "n": "m"} | {f"s{i}": f"s{i}_" for i in range(SKETCH)})
-        return pairs.join(self.sketches.withColumnRenamed("c", "a"), "a").join(other, "b").filter(self.may_link("n", "m", "_")).select("a", "b")
+        """Candidates (a, b): each member with one of its group, the least by a hash of the round, if they may link."""
+        names = ["n", "most", "c", "label", *(f"s{i}" for i in range(SKETCH))]
+        lead = members.groupBy("t", "b").agg(F.min(F.struct(F.xxhash64("c", F.lit(seed)).alias("h"), *names)).alias("lead"))
+        pairs = members.join(lead.select("t", "b", *(F.col(f"lead.{x}").alias(f"{x}_") for x in names)), ["t", "b"])
+        return pairs.filter(self.may_link("_")).select(F.least("c", "c_").alias("a"), F.greatest("c", "c_").alias("b")).distinct()
 
     def across(self, members: DataFrame) -> DataFrame:
-        """Candidates (a, b): members of one group that are in different components so far. The test of their sketches
-        is part of the join, so pairs that can't link are never made."""
-        left = members.join(self.sketches.drop("n"), "c")
-        names = ["n", "c", "label", *(f"s{i}" for i in range(SKETCH))]
-        other = left.select("t", "b", *(F.col(x).alias(f"{x}_") for x in names))
-        test = (left["t"] == other["t"]) & (left["b"] == other["b"]) & (F.col("c") < F.col("c_")) & (F.col("label") != F.col("label_")) & self.may_link("n", "n_", "_")
-        return left.join(other, test).select(F.col("c").alias("a"), F.col("c_").alias("b")).distinct()
+        """Candidates (a, b): members of one group that are in different components so far. The tests are part of the
+        join, so pairs that can't link are never made."""
+        other = members.select("t", "b", *(F.col(x).alias(f"{x}_") for x in members.columns if x not in ("t", "b")))
+        test = (members["t"] == other["t"]) & (members["b"] == other["b"]) & (F.col("c") < F.col("c_")) & self.may_link("_")
+        return members.join(other, test).select(F.col("c").alias("a"), F.col("c_").alias("b")).distinct()
+
+    def relabelled(self, members: DataFrame, links: DataFrame) -> DataFrame:
+        known = members.drop("label").join(components(links), "c", "left").withColumn("label", F.coalesce("label", "c"))
+        return staged(self.meeting(known, ["t", "b"]))
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs whose overlaps, counted fragment by fragment, sum to a link. The segments of b go to the
@@ -295,26 +293,25 @@ class Join:
         return total.filter(F.col("k") * 100 >= (F.col("na") + F.col("nb") - F.col("k")) * self.threshold).select("a", "b")
 
     def run(self) -> DataFrame:
-        left = members = staged(self.groups().withColumn("label", F.col("c")))
+        members = staged(self.groups().join(self.sketches.drop("n"), "c"))
         links = tried = None
-        for seed in range(ROUNDS):
-            pairs = self.stars(left, seed)
+        paired = members.isEmpty()
+        seed = 0
+        while not paired:
+            paired = seed == ROUNDS
+            pairs = self.across(members) if paired else self.stars(members, seed)
             pairs = staged(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
             tried = pairs if tried is None else tried.unionByName(pairs)
-            if not pairs.isEmpty():
-                new = staged(self.links(pairs))
-                links = new if links is None else links.unionByName(new)
-                left = self.split(members.drop("label"), components(links))
-            if left.isEmpty():
-                break
-        if not left.isEmpty():
-            more = staged(self.across(left).join(tried, ["a", "b"], "left_anti"))
-            if not more.isEmpty():
-                new = staged(self.links(more))
-                links = new if links is None else links.unionByName(new)
-        if links is None:
-            links = tried
-        labelled = self.sets.filter("n > 0").join(components(links), "c", "left").withColumn("label", F.coalesce("label", "c"))
+            new = staged(self.links(pairs))
+            links = new if links is None else links.unionByName(new)
+            if not paired:
+                waiting = members.agg(F.approx_count_distinct("c")).first()[0]
+                members = self.relabelled(members, links)
+                paired = members.isEmpty()
+                seed = seed + 1 if new.count() * 100 > waiting else ROUNDS
+        labelled = self.sets.filter("n > 0").withColumn("label", F.col("c"))
+        if links is not None:
+            labelled = labelled.drop("label").join(components(links), "c", "left").withColumn("label", F.coalesce("label", "c"))
         least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
         whole = labelled.join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
         return whole.unionByName(self.sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
@@ -345,4 +342,5 @@ def components(links: DataFrame) -> DataFrame:
 
 def similar(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of docs."""
-    return Join(docs, words, threshold).run()
+    with small_batches(docs.sparkSession):
+        return Join(docs, words, threshold).run()
