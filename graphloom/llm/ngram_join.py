@@ -242,32 +242,40 @@ class Join:
 
     def groups(self) -> DataFrame:
         """(t, b, n, most, c, label): members of the groups, n-gram and size band; each class has its own label."""
-        rows = staged(_postings(self.docs, self.words, self.threshold, self.order)).withColumn("label", F.col("c"))
-        rows = self.meeting(rows, ["t"]).dropDuplicates(["t", "c"])
+        rows = staged(_postings(self.docs, self.words, self.threshold, self.order))
+        twice = rows.groupBy("t").agg(F.count(F.lit(1)).alias("k")).filter("k >= 2").select("t")
+        rows = staged(rows.join(twice, "t", "left_semi").dropDuplicates(["t", "c"]))
         band = F.floor(F.log(F.col("n").cast("double")) / -math.log(self.threshold / 100)) if self.threshold < 100 else F.col("n")
         bands = F.array(band.cast("int"), band.cast("int") + 1) if self.threshold < 100 else F.array(band)
-        return staged(self.meeting(rows.withColumn("b", F.explode(bands)), ["t", "b"]).select("t", "b", "n", "most", "c", "label"))
+        members = self.meeting(rows.withColumn("label", F.col("c")), ["t"]).withColumn("b", F.explode(bands))
+        return staged(self.meeting(members, ["t", "b"]).select("t", "b", "n", "most", "c", "label"))
 
-    def may_link(self, other: str) -> Column:
-        """Whether sizes, places and sketches allow a link: linked sets of n and m n-grams differ in
-        (n + m) (100 - threshold) / (100 + threshold) at most, and their sketches in no more bits."""
-        n, m = F.col("n"), F.col(f"n{other}")
-        bits = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"s{i}{other}"))) for i in range(SKETCH)), F.lit(0))
-        return (F.col("label") != F.col(f"label{other}")) & (n <= F.col(f"most{other}")) & (m <= F.col("most")) & (bits * (100 + self.threshold) <= (n + m) * (100 - self.threshold))
+    def fitting(self, a: str, b: str) -> Column:
+        """Whether sizes and places allow a link, between components."""
+        return (F.col(f"{a}.label") != F.col(f"{b}.label")) & (F.col(f"{a}.n") <= F.col(f"{b}.most")) & (F.col(f"{b}.n") <= F.col(f"{a}.most"))
+
+    def near(self, a: str, b: str) -> Column:
+        """Whether sketches allow a link: linked sets of n and m n-grams differ in (n + m) (100 - threshold) /
+        (100 + threshold) at most, and their sketches in no more bits."""
+        bits = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(SKETCH)), F.lit(0))
+        return bits * (100 + self.threshold) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (100 - self.threshold)
 
     def stars(self, members: DataFrame, seed: int) -> DataFrame:
         """Candidates (a, b): each member with one of its group, the least by a hash of the round, if they may link."""
-        names = ["n", "most", "c", "label", *(f"s{i}" for i in range(SKETCH))]
-        lead = members.groupBy("t", "b").agg(F.min(F.struct(F.xxhash64("c", F.lit(seed)).alias("h"), *names)).alias("lead"))
-        pairs = members.join(lead.select("t", "b", *(F.col(f"lead.{x}").alias(f"{x}_") for x in names)), ["t", "b"])
-        return pairs.filter(self.may_link("_")).select(F.least("c", "c_").alias("a"), F.greatest("c", "c_").alias("b")).distinct()
+        lead = members.groupBy("t", "b").agg(F.min(F.struct(F.xxhash64("c", F.lit(seed)).alias("h"), "c", "label", "n", "most")).alias("lead"))
+        lead = lead.select("t", "b", "lead.c", "lead.label", "lead.n", "lead.most").alias("y")
+        same = (F.col("x.t") == F.col("y.t")) & (F.col("x.b") == F.col("y.b"))
+        pairs = members.alias("x").join(lead, same & self.fitting("x", "y")).select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
+        x, y = self.sketches.alias("x"), self.sketches.alias("y")
+        return pairs.join(x, F.col("a") == F.col("x.c")).join(y, F.col("b") == F.col("y.c")).filter(self.near("x", "y")).select("a", "b")
 
     def across(self, members: DataFrame) -> DataFrame:
         """Candidates (a, b): members of one group that are in different components so far. The tests are part of the
         join, so pairs that can't link are never made."""
-        other = members.select("t", "b", *(F.col(x).alias(f"{x}_") for x in members.columns if x not in ("t", "b")))
-        test = (members["t"] == other["t"]) & (members["b"] == other["b"]) & (F.col("c") < F.col("c_")) & self.may_link("_")
-        return members.join(other, test).select(F.col("c").alias("a"), F.col("c_").alias("b")).distinct()
+        members = staged(members.join(self.sketches.drop("n"), "c"))
+        same = (F.col("x.t") == F.col("y.t")) & (F.col("x.b") == F.col("y.b")) & (F.col("x.c") < F.col("y.c"))
+        pairs = members.alias("x").join(members.alias("y"), same & self.fitting("x", "y") & self.near("x", "y"))
+        return pairs.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
 
     def relabelled(self, members: DataFrame, links: DataFrame) -> DataFrame:
         known = members.drop("label").join(components(links), "c", "left").withColumn("label", F.coalesce("label", "c"))
@@ -293,7 +301,8 @@ class Join:
         return total.filter(F.col("k") * 100 >= (F.col("na") + F.col("nb") - F.col("k")) * self.threshold).select("a", "b")
 
     def run(self) -> DataFrame:
-        members = staged(self.groups().join(self.sketches.drop("n"), "c"))
+        members = self.groups()
+        self.sketches = staged(self.sketches.join(members.select("c").distinct(), "c"))
         links = tried = None
         paired = members.isEmpty()
         seed = 0
