@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from graphloom.dist import ship
 from graphloom.storage import shared_dir, staged
 
-__all__ = ["Memo", "as_bytes", "mix", "shared_dir", "slices", "small_batches", "staged", "substring_hasher", "table", "texts"]
+__all__ = ["Memo", "as_bytes", "free", "mix", "shared_dir", "slices", "small_batches", "spare", "staged", "substring_hasher", "table", "texts"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,29 @@ def slices(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
         yield batch.slice(i, rows)
 
 
+def free(docs: DataFrame, *names: str) -> list[str]:
+    """Names for columns of an operator's own, like the given ones and none of the columns'."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def spare(docs: DataFrame, *names: str) -> DataFrame:
+    """docs with columns that are named like an operator's output renamed: `x` becomes `x_in`."""
+    for c in docs.columns:
+        if c.lower() in names:
+            new = f"{c}_in"
+            while new.lower() in {x.lower() for x in docs.columns}:
+                new += "_in"
+            docs = docs.withColumnRenamed(c, new)
+    return docs
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
     """While jobs run inside, Arrow batches have so many rows: both sides of a Python worker hold whole batches."""

@@ -13,7 +13,7 @@ are padded to the width of their column and parted by " | ", a cell's own lines
 
 Defined cases: null or empty html gives an empty title and text; broken markup is read as text where it isn't a tag; depth
 isn't bounded, for neither step recurses; repeated rows and ids are rendered each; an empty table gives an empty
-result; other columns are kept.
+result; other columns are kept, one named `page` as `page_in`.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.llm.common import spare
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 NO_DISPLAY = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
@@ -275,4 +277,4 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
         trees = [parse(x or "") for x in source.to_pylist()]
         return pa.StructArray.from_arrays([pa.array([title(t) for t in trees], pa.string()), pa.array([render(t) for t in trees], pa.string())], names=["title", "text"])
 
-    return pages.withColumn("page", run(F.col(html).cast("string")))
+    return spare(pages, "page").withColumn("page", run(F.col(html).cast("string")))

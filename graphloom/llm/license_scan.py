@@ -8,8 +8,8 @@ once it has more bigrams out of the template than Dice allows (2 |B| (1 - t) / t
 that the stretch without them is better. 2 |A and B| / (|A| + |B|) >= t asks for |A and B| of at least |B| t / (2 - t):
 templates of which the text has fewer bigrams are pruned. Of overlapping matches the best stays (longest of equals).
 
-Defined cases: null or empty text has no match and gives an empty list; a unit of one word has no bigram of its own; a text's repeated notices are reported each; ids aren't read; other columns are kept; an empty table gives an
-empty result.
+Defined cases: null or empty text has no match and gives an empty list; a unit of one word has no bigram of its own; a text's repeated notices are reported each; ids aren't read; other columns are kept, one named
+`licenses` as `licenses_in`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Memo
+from graphloom.llm.common import Memo, spare
 from graphloom.llm.license_templates import TEMPLATES
 
 DICE = 0.8
@@ -145,4 +145,4 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] | None =
         kind = pa.list_(pa.struct([("license", pa.string()), ("dice", pa.float64()), ("first_unit", pa.int32()), ("units", pa.int32()), ("words", pa.int32())]))
         return pa.array([held[0].scan(x or "") for x in column.to_pylist()], kind)
 
-    return docs.withColumn("licenses", run(F.col(text).cast("string")))
+    return spare(docs, "licenses").withColumn("licenses", run(F.col(text).cast("string")))

@@ -1,8 +1,9 @@
 """Line dedup over a sharded minimal perfect hash.
 
-1. Each document gives the 128-bit hashes of its distinct keys of MIN_CHARS code points and more; a map-side
-   combined count gives each hash its documents and largest doc_id. Hashes of one document can never be dropped
-   and stay out of the index.
+1. Each document gives the 128-bit hashes of its distinct keys of MIN_CHARS code points and more. They are made
+   distinct with their doc_id, so that a common line's documents spread over all tasks, and a map-side combined
+   count gives each hash its documents and largest doc_id. Hashes of one document can never be dropped and stay
+   out of the index.
 2. Hashes are dealt to shards; each shard's minimal perfect hash (levels of bit arrays: a hash alone in its slot
    of a level stays there, the others go on; a slot's rank is its index) addresses three arrays: 64-bit
    fingerprints, counts, largest doc_ids.
@@ -12,9 +13,9 @@
 
 A key is the line with all of ``\\x20\\x09-\\x0D`` stripped at both ends and A-Z lower-cased.
 
-Defined cases: null or empty text is one empty line, which no key covers; each row counts as a document; a null
-doc_id counts and is less than any other, and a line that only such rows hold stays; rows that share the largest
-doc_id all keep the line; an empty table gives an empty result; other columns are kept as they are.
+Defined cases: null or empty text is one empty line, which no key covers; rows that share a doc_id count as one
+document, and where it is the largest they all keep the line; rows without a doc_id don't count but lose the lines
+that repeat in others; an empty table gives an empty result; other columns are kept, one named `lines` as `lines_in`.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import as_bytes, mix, staged
+from graphloom.llm.common import as_bytes, free, mix, spare, staged
 
 MIN_CHARS, MIN_DOCS = 40, 5
 SHARD_KEYS, BROADCAST_BYTES = 1 << 16, 48 << 20
@@ -147,7 +148,7 @@ def _hashes(texts: list[bytes], min_chars: int) -> tuple[list[list[bytes]], list
 
 
 def repeated_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
-    """h1, h2, n (documents), last (largest doc_id) of keys that at least two documents have."""
+    """h1, h2, n (distinct doc_ids), last (largest doc_id) of keys that at least two documents have."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,8 +161,9 @@ def repeated_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
             rows = rows[np.append(True, (rows[1:] != rows[:-1]).any(axis=1))]
             yield pa.RecordBatch.from_pydict({"h1": rows[:, 0].view(np.int64).copy(), "h2": rows[:, 1].view(np.int64).copy(), "doc_id": pa.array([doc_ids[i] for i in rows[:, 2].tolist()], pa.int64())})
 
-    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(hashes, "h1 long, h2 long, doc_id long")
-    return found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")).filter("n >= 2 and last is not null")
+    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null").mapInArrow(hashes, "h1 long, h2 long, doc_id long")
+    found = found.distinct()  # spreads a common line's documents over all tasks
+    return found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")).filter("n >= 2")
 
 
 def build_index(hashes: DataFrame, shards: int) -> DataFrame:
@@ -195,7 +197,8 @@ def build_index(hashes: DataFrame, shards: int) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """docs with `text` rid of repeated lines, and struct column `lines`: n_lines before, n_dropped."""
-    hashes = staged(repeated_hashes(docs, min_chars).filter(F.col("n") >= min_docs) if min_docs > 2 else repeated_hashes(docs, min_chars))
+    docs = spare(docs, "lines")
+    hashes = staged(repeated_hashes(docs, min_chars))
     shards = max(1, math.ceil(hashes.count() / SHARD_KEYS))
     index = staged(build_index(hashes, shards))
     size = index.agg(F.sum(F.length("image"))).first()[0] or 0
@@ -280,6 +283,7 @@ def _probe_by_shard(docs: DataFrame, index: DataFrame, shards: int, min_chars: i
                 out.setdefault(i, set()).add(j)
         return _result([_without(own, out.get(i, set())) for i, own in enumerate(lines)])
 
-    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
-    joined = keyed.join(gone.withColumnRenamed("key", "_key").withColumnRenamed("gone", "_gone"), "_key", "left")
-    return _put(joined, drop(F.col("text").cast("string"), F.col("_gone"))).select(*docs.columns, "lines")
+    key, lost = free(docs, "key", "gone")
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
+    joined = keyed.join(gone.withColumnsRenamed({"key": key, "gone": lost}), key, "left")
+    return _put(joined, drop(F.col("text").cast("string"), F.col(lost))).select(*docs.columns, "lines")

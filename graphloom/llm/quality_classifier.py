@@ -11,7 +11,8 @@ Nothing here is sampled: figures, sums and bins cover all rows, and what the dri
 
 Defined cases: null text is empty, whose figures are 0, and is scored like any other; null or repeated doc_ids are
 scored row by row; a doc_id with several labels counts once with their mean; labels without a document or value are
-left out; with no label at all every score is 0.5; an empty table gives an empty result; other columns are kept.
+left out; with no label at all every score is 0.5; an empty table gives an empty result; other columns are
+kept, those named `score` and `predicted` as `score_in` and `predicted_in`.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import as_bytes, staged
+from graphloom.llm.common import as_bytes, free, spare, staged
 from graphloom.llm.quality_rules import CLOSING, CONTINUATION, SEPARATORS, repeated_words, symbols
 
 STATS = ("log_words", "word_len", "symbol_rate", "separator_rate", "dup_line_rate", "repeat_rate", "upper_rate", "digit_rate", "punct_rate", "closed_rate", "line_words", "distinct_rate", "long_rate", "top_rate", "high_rate", "symbol_word_rate")
@@ -62,12 +63,12 @@ def figures(text: bytes) -> list[float]:
     ]
 
 
-def with_figures(docs: DataFrame) -> DataFrame:
+def with_figures(docs: DataFrame, name: str) -> DataFrame:
     @F.arrow_udf("array<float>")
     def run(text: pa.Array) -> pa.Array:
         return pa.array([figures(x) for x in as_bytes(text)], pa.list_(pa.float32()))
 
-    return docs.withColumn("_figures", run(F.col("text").cast("string")))
+    return docs.withColumn(name, run(F.col("text").cast("string")))
 
 
 class Model:
@@ -155,23 +156,25 @@ def fit(rows: DataFrame) -> Model:
 
 def learned(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[DataFrame, Model]:
     """Staged (doc_id, _figures) of all docs, and the model of those labelled rows for whose doc_id `learn` holds."""
-    figured = staged(with_figures(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "_figures"))
+    figured = staged(with_figures(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "_figures").select("doc_id", "_figures"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality")).filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).filter(learn)
     known = known.groupBy("doc_id").agg(F.avg("quality").alias("y"))
     return figured, fit(staged(figured.join(known, "doc_id").select(F.col("_figures").alias("figures"), "y")))
 
 
-def scored(figured: DataFrame, model: Model) -> DataFrame:
-    """`score` and `predicted` from _figures, which goes."""
+def scored(figured: DataFrame, model: Model, name: str = "_figures") -> DataFrame:
+    """`score` and `predicted` from the column of figures, which goes."""
     sent = figured.sparkSession.sparkContext.broadcast(model)  # DIM x 16 numbers
 
     @F.arrow_udf("double")
     def score(x: pa.Array) -> pa.Array:
         return pa.array(sent.value.score(_matrix(x)))
 
-    return figured.withColumn("score", score("_figures")).drop("_figures").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return figured.withColumn("score", score(name)).drop(name).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
     """docs with `score` and `predicted`; texts are read once for the model and once for the scores, never shuffled."""
-    return scored(with_figures(docs), learned(docs, labels, learn)[1])
+    docs = spare(docs, "score", "predicted")
+    (name,) = free(docs, "figures")
+    return scored(with_figures(docs, name), learned(docs, labels, learn)[1], name)

@@ -11,7 +11,8 @@ A line with a word fails where one of these holds:
 * boilerplate: it holds one of BOILERPLATE, ASCII letters compared without case.
 
 Defined cases: null or empty text has no words and fails the base rules; a null doc_id stays null; repeated
-rows are judged alike, each for itself; an empty table gives an empty result; other columns are left as they are.
+rows are judged alike, each for itself; an empty table gives an empty result; other columns are left as they are, one
+named `quality` as `quality_in`.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import as_bytes
+from graphloom.llm.common import as_bytes, spare
 
 SYMBOLS = b"#*$%&|<>"
 SEPARATORS = frozenset((b"|", b">", b"<", b"/", b"*", b"-"))
@@ -100,4 +101,4 @@ def apply_rules(docs: DataFrame, text: str = "text") -> DataFrame:
         kinds = [pa.int64()] * len(FIELDS) + [pa.bool_(), pa.bool_(), pa.string()]
         return pa.StructArray.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)], names=SCHEMA.fieldNames())
 
-    return docs.withColumn("quality", rules(F.col(text).cast("string")))
+    return spare(docs, "quality").withColumn("quality", rules(F.col(text).cast("string")))

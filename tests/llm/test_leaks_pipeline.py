@@ -115,7 +115,26 @@ def test_pipeline(spark, tmp_path):
         docs = spark.read.parquet(f"{tmp_path}/{name}")
         left.append({x[0] for x in docs.select("doc_id").collect()})
     good = set(range(120))
-    assert left[0] == left[1] == good and left[2] == good - {40} and left[3] == left[4] == good - {40, 50}
+    assert left[0] == left[1] == good and left[2] in (good - {20}, good - {40}) and left[3] == left[4] == left[2] - {50}
     kept = spark.read.parquet(f"{tmp_path}/line dedup").filter(f"text like '%{line}%'").collect()
     assert [x["doc_id"] for x in kept] == [5] and all(x["n_chars"] == len(x["text"]) for x in kept)
     assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == 118
+
+
+def test_stages_judge_rows_not_doc_ids(spark, tmp_path):
+    """Repeated rows, rows that share a doc_id, and rows without one."""
+    from graphloom.llm import stages
+
+    r = random.Random(4)
+    words = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("alo", "emi", "oru", "ina")]
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n))
+    a, b, c, d = (prose(80) for _ in range(4))
+    rows = [(1, a), (1, a), (1, b), (2, a + " end"), (None, b + " end"), (None, c), (None, c), (3, d), (4, None), (4, None), (5, " ")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, _row string")
+    left = [tuple(x) for x in stages.near_duplicates(spark, docs, "").collect()]
+    texts = [t for _, t, _ in left]
+    assert len(left) == 7 and sum(t in (a, a + " end") for t in texts) == sum(t in (b, b + " end") for t in texts) == texts.count(c) == 1
+    assert (3, d, "x") in left and texts.count(None) == 2 and texts.count(" ") == 1
+    spark.createDataFrame([(1, " ".join(c.split()[10:50]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = [tuple(x)[1] for x in stages.benchmark(spark, docs, str(tmp_path)).collect()]
+    assert c not in left and len(left) == len(rows) - 2
