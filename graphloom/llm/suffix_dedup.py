@@ -13,17 +13,17 @@ their anchor, and an anchor's starts in a text are consecutive: one context of b
 4. Suffixes between two set bounds share LENGTH bytes. Those which start a string of their context count with its
    multiplicity, and from two on all are repeats. Starts go back to every place of the context and become spans.
 
-An anchor with over HOT contexts isn't given to one task: its strings are counted by a 128-bit hash each, dealt out by
-that hash, which gives the same starts.
+An anchor with over HOT contexts isn't given to one task: its contexts are cut again by anchors of a length nearer to
+LENGTH, and so on. An anchor of LENGTH bytes is the string itself, and its contexts are all equal, so one.
 
 Defined cases: null text is empty; texts of under LENGTH bytes lose nothing; matches never cross rows; repeated rows
 (same doc_id and text) count as occurrences each and lose the same bytes; a null doc_id is kept as null; very long
-texts are read in overlapping chunks; an empty table gives an empty result; other columns are kept.
+texts are read in overlapping chunks; an empty table gives an empty result; other columns are kept, one named `repeats`
+as `repeats_in`.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import as_bytes, mix, staged, substring_hasher
+from graphloom.llm.common import as_bytes, free, mix, slices, small_batches, spare, staged, substring_hasher
 
 LENGTH, K, CHUNK, BLOCK, HOT = 200, 40, 1 << 19, 900_000, 20_000
 U64 = np.uint64
@@ -214,14 +214,16 @@ def _ranges(starts: np.ndarray) -> bytes:
 
 
 def _places(docs: DataFrame, length: int, k: int) -> DataFrame:
+    """docs: doc, th, text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, th = batch.column("_doc").to_numpy(), batch.column("_th").to_numpy()
-            for text, first, size, anchor, own in contexts(as_bytes(batch.column("_text")), length, k):
+            doc, th = batch.column("doc").to_numpy(), batch.column("th").to_numpy()
+            for text, first, size, anchor, own in contexts(as_bytes(batch.column("text")), length, k):
                 if len(text):
                     yield pa.RecordBatch.from_pydict({"a": anchor.view(np.int64), "c": own.view(np.int64), "doc": doc[text], "th": th[text], "first": pa.array(first, pa.int64()), "size": pa.array(size, pa.int32())})
 
-    return docs.select("_doc", "_th", "_text").mapInArrow(run, "a long, c long, doc long, th long, first long, size int")
+    return docs.select("doc", "th", "text").mapInArrow(run, "a long, c long, doc long, th long, first long, size int")
 
 
 def _repeats(found: DataFrame, length: int) -> DataFrame:
@@ -249,24 +251,48 @@ def _repeats(found: DataFrame, length: int) -> DataFrame:
     return found.repartition("a").sortWithinPartitions("a").select("a", "c", "n", "body").mapInArrow(run, "a long, c long, ranges binary")
 
 
-def _hot_repeats(found: DataFrame, length: int) -> DataFrame:
-    """The same of contexts whose anchors are too common for a task: each string is counted by its own hash."""
+def _parts(found: DataFrame, length: int, k: int) -> DataFrame:
+    """Contexts (a, c, n, body) cut into those of longer anchors: (a, c, n, body) of the part, and of = (a, c) of the
+    whole and first, the part's place in it."""
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, c, n, body in zip(*(batch.column(x).to_pylist() for x in ("a", "c", "n", "body")), strict=True):
-                digests = np.frombuffer(b"".join(hashlib.blake2b(body[i : i + length], digest_size=16).digest() for i in range(len(body) - length + 1)), "<i8").reshape(-1, 2)
-                m = len(digests)
-                yield pa.RecordBatch.from_pydict({"h1": digests[:, 0].copy(), "h2": digests[:, 1].copy(), "a": np.full(m, a), "c": np.full(m, c), "n": np.full(m, n), "i": pa.array(np.arange(m), pa.int32())})
-
-    rows = staged(found.select("a", "c", "n", "body").mapInArrow(strings, "h1 long, h2 long, a long, c long, n long, i int"))
-    again = rows.groupBy("h1", "h2").agg(F.sum("n").alias("t")).filter("t >= 2").select("h1", "h2")
-
-    @F.arrow_udf("binary")
-    def ranges(starts: pa.Array) -> pa.Array:
-        return pa.array([_ranges(np.sort(np.array(x))) for x in starts.to_pylist()], pa.binary())
-
-    return rows.join(again, ["h1", "h2"]).groupBy("a", "c").agg(F.collect_list("i").alias("s")).select("a", "c", ranges("s").alias("ranges"))
+            for some in slices(batch):
+                bodies = as_bytes(some.column("body"))
+                whole = {x: some.column(x).to_numpy() for x in ("a", "c", "n")}
+                for text, first, size, anchor, own in contexts(bodies, length, k):
+                    if len(text):
+                        body = [bodies[t][f : f + n] for t, f, n in zip(text.tolist(), first.tolist(), size.tolist(), strict=True)]
+                        yield pa.RecordBatch.from_pydict({"a": anchor.view(np.int64), "c": own.view(np.int64), "n": whole["n"][text], "body": pa.array(body, pa.binary()), "of_a": whole["a"][text], "of_c": whole["c"][text], "first": pa.array(first, pa.int64())})
+
+    return found.select("a", "c", "n", "body").mapInArrow(run, "a long, c long, n long, body binary, of_a long, of_c long, first long")
+
+
+@F.arrow_udf(T.BinaryType())
+def _joined(parts: pa.Array) -> pa.Array:
+    """The ranges of all parts, each moved by its part's place."""
+    out = []
+    for own in parts.to_pylist():
+        moved = [np.frombuffer(p["ranges"], "<u4").reshape(-1, 2) + np.uint32(p["first"]) for p in own]
+        out.append(np.concatenate(moved).astype("<u4").tobytes())
+    return pa.array(out, pa.binary())
+
+
+def _all_repeats(bodies: DataFrame, length: int, k: int, hot: int) -> DataFrame:
+    """(a, c, ranges) of contexts (a, c, n, body). The contexts of an anchor that has over `hot` of them are dealt out
+    by longer anchors, in the end by the strings themselves, of which equal ones are one context."""
+    if k >= length:
+        return _repeats(bodies, length)
+    bodies = staged(bodies)
+    common = staged(bodies.groupBy("a").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > hot).select("a"))
+    if common.isEmpty():
+        return _repeats(bodies, length)
+    longer = min(length, k + max(1, (length - k + 1) // 2))
+    parts = staged(_parts(bodies.join(common, "a", "left_semi"), length, longer))
+    again = _all_repeats(parts.groupBy("a", "c").agg(F.sum("n").alias("n"), F.first("body").alias("body")), length, longer, hot)
+    back = parts.select("a", "c", "of_a", "of_c", "first").join(staged(again), ["a", "c"]).groupBy(F.col("of_a").alias("a"), F.col("of_c").alias("c"))
+    back = back.agg(F.collect_list(F.struct("first", "ranges")).alias("parts")).select("a", "c", _joined("parts").alias("ranges"))  # at most a context's starts
+    return _repeats(bodies.join(common, "a", "left_anti"), length).unionByName(back)
 
 
 SPANS = T.StructType([T.StructField(f, T.LongType()) for f in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept", T.BinaryType())])
@@ -274,25 +300,20 @@ SPANS = T.StructType([T.StructField(f, T.LongType()) for f in ("n_bytes", "n_rem
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT) -> DataFrame:
     """docs with struct column `repeats`: n_bytes, n_removed, n_spans and kept, the bytes that stay."""
+    docs = spare(docs, "repeats")
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    keyed = docs.withColumns({"_text": text, "_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_th": F.xxhash64(text)})
-    places = _places(keyed, length, k)
-    twice = places.groupBy("a").agg(F.count(F.lit(1)).alias("t")).filter("t >= 2").select("a")
-    again = staged(places.join(twice, "a", "left_semi"))
-    found = staged(again.groupBy("a", "c", "size").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "th", "first")).alias("at")))
-    wanted = found.groupBy(F.col("at.doc").alias("_doc"), F.col("at.th").alias("_th")).agg(F.collect_list(F.struct("a", "c", "n", F.col("at.first").alias("first"), "size")).alias("_wanted"))  # at most a document's contexts
-    wanted = staged(wanted)
-    once = keyed.select("_doc", "_th", "_text")
-    bodies = once.join(wanted, ["_doc", "_th"]).select("_text", F.explode("_wanted").alias("w"))
-    bodies = bodies.select("w.a", "w.c", "w.n", F.expr("substring(_text, cast(w.first + 1 as int), w.size)").alias("body")).dropDuplicates(["a", "c"])
-    common = staged(found.groupBy("a").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > hot).select("a"))
-    if common.isEmpty():
-        repeats = _repeats(bodies, length)
-    else:
-        bodies = staged(bodies)
-        repeats = _repeats(bodies.join(common, "a", "left_anti"), length).unionByName(_hot_repeats(bodies.join(common, "a", "left_semi"), length))
-    spans = again.join(staged(repeats), ["a", "c"]).groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(F.collect_set(F.struct("first", "ranges")).alias("_spans"))
-    spans = staged(spans)
+    doc, th = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.xxhash64(text)
+    keyed = docs.select(doc.alias("doc"), th.alias("th"), text.alias("text"))
+    with small_batches(docs.sparkSession):
+        places = staged(_places(keyed, length, k))
+        twice = staged(places.groupBy("a").agg(F.count(F.lit(1)).alias("t")).filter("t >= 2").select("a"))
+        again = staged(places.join(twice, "a", "left_semi"))
+        found = staged(again.groupBy("a", "c", "size").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "th", "first")).alias("at")))
+        wanted = found.groupBy(F.col("at.doc").alias("doc"), F.col("at.th").alias("th")).agg(F.collect_list(F.struct("a", "c", "n", F.col("at.first").alias("first"), "size")).alias("wanted"))  # at most a document's contexts
+        bodies = keyed.join(staged(wanted), ["doc", "th"]).select("text", F.explode("wanted").alias("w"))
+        bodies = bodies.select("w.a", "w.c", "w.n", F.expr("substring(text, cast(w.first + 1 as int), w.size)").alias("body")).dropDuplicates(["a", "c"])
+        repeats = staged(_all_repeats(bodies, length, k, hot))
+        spans = staged(again.join(repeats, ["a", "c"]).groupBy("doc", "th").agg(F.collect_set(F.struct("first", "ranges")).alias("spans")))
 
     @F.arrow_udf(SPANS)
     def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
@@ -310,5 +331,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int =
         columns = list(zip(*rows, strict=True)) or [[]] * 4
         return pa.StructArray.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], names=SPANS.fieldNames())
 
-    joined = keyed.join(spans, ["_doc", "_th"], "left")
-    return joined.withColumn("repeats", cut("_text", "_spans")).select(*docs.columns, "repeats")
+    own = free(docs, "doc", "th", "spans")
+    spans = spans.withColumnsRenamed(dict(zip(("doc", "th", "spans"), own, strict=True)))
+    joined = docs.withColumns({own[0]: doc, own[1]: th}).join(spans, own[:2], "left")
+    return joined.withColumn("repeats", cut(text, F.col(own[2]))).select(*docs.columns, "repeats")
