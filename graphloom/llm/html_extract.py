@@ -4,15 +4,14 @@ The tree builder opens and closes elements as browsers do where tags are left ou
 paragraph, list items, table parts and options close their like, cells open a row, an end tag without a start is
 ignored, void elements have no content, and script, style and the like hold raw text.
 
-Not visible: what is in HIDDEN_TAGS; elements with `hidden`, `aria-hidden="true"`, or a style of display:none or
-visibility:hidden; closed `details` but for their summary; closed `dialog`; comments.
+Not visible: what is in HIDDEN_TAGS; elements with `hidden`, or a style of display:none or visibility:hidden; closed `details` but for their summary; closed `dialog`; comments.
 
 Layout: white space collapses but in `pre` and `textarea`; blocks begin lines; paragraphs, headings, lists, tables and
-quotes stand apart by a blank line; list items get "- " or their number, nested ones two spaces more; a table's cells
+quotes stand apart by a blank line; a cell that spans rows or columns holds its place in each; list items get "- " or their number, nested ones two spaces more; a table's cells
 are padded to the width of their column and parted by " | ", a cell's own lines joined by a space; `hr` is "---".
 
-Defined cases: null or empty html gives an empty title and text; broken markup is read as text where it isn't a tag; depth
-isn't bounded, for neither step recurses; repeated rows and ids are rendered each; an empty table gives an empty
+Defined cases: null or empty html gives an empty title and text; broken markup is read as text where it isn't a tag, and a
+tag that the page's end cuts off is dropped; time and memory follow the page's length, whatever its depth; repeated rows and ids are rendered each; an empty table gives an empty
 result; other columns are kept, one named `page` as `page_in`.
 """
 
@@ -20,6 +19,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,12 +28,14 @@ from pyspark.sql import types as T
 
 from graphloom.llm.common import spare
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: A comment or declaration, or the start of a tag; what the page's end cuts off reaches to it.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+#: One attribute of a tag, or a slash; a quote counts as one after "=" alone, so each character is read once.
+ATTRIBUTE = re.compile(r"[\s/]*(?:(=?[^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]*)))?)")
 NO_DISPLAY = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
-HIDDEN_TAGS = frozenset("head script style title template noscript noframes noembed iframe object audio video canvas svg math datalist col colgroup map".split())
+HIDDEN_TAGS = frozenset("head script style title template noscript noframes noembed iframe object audio video canvas datalist col colgroup map desc defs metadata symbol clippath annotation annotation-xml".split())
 APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr form fieldset article section".split())
 BLOCK = APART | frozenset("address aside body center dd details dialog dir div dt figcaption footer header hgroup html legend li main menu nav option optgroup search select summary tr caption thead tbody tfoot".split())
 #: A start tag closes open elements of these names, up to the nearest of the second group.
@@ -55,13 +57,53 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs, []
 
 
-def attributes(source: str) -> dict[str, str]:
-    return {m[1].lower(): entities.unescape(next((x for x in m.groups()[1:] if x is not None), "")) for m in ATTRIBUTE.finditer(source)} if source.strip(" /\t\r\n") else {}
+def attributes(source: str, at: int) -> tuple[dict[str, str], int, bool]:
+    """The attributes of a tag whose name ends at `at`, the place after it, and whether it ends with a slash; the place
+    is -1 where the page ends within the tag."""
+    found: dict[str, str] = {}
+    while at < len(source):
+        if source[at] == ">":
+            return found, at + 1, source[at - 1] == "/"
+        m = ATTRIBUTE.match(source, at)
+        if m.end() == at:
+            at += 1
+            continue
+        at = m.end()
+        if m[1]:
+            found.setdefault(m[1].lower(), entities.unescape(next((x for x in m.groups()[1:] if x is not None), "")))
+    return found, -1, False
+
+
+class Open:
+    """The stack of open elements, with the places of each name."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, at: int) -> None:
+        for node in self.stack[at:]:
+            self.places[node.tag].pop()
+        del self.stack[at:]
+
+    def last(self, tag: str) -> int:
+        return self.places[tag][-1] if self.places.get(tag) else 0
+
+    def close(self, names: frozenset, until: frozenset) -> None:
+        """Closes the elements of these names above the last of the others, and all within them."""
+        floor = max((self.last(x) for x in until), default=0)
+        found = [own[i] for x in names if (own := self.places.get(x)) and (i := bisect_right(own, floor)) < len(own)]
+        if found:
+            self.cut(min(found))
 
 
 def parse(source: str) -> Node:
     root = Node("#root", {})
-    stack, at = [root], 0
+    open_, at = Open(root), 0
+    stack = open_.stack
 
     def text(s: str) -> None:
         if s:
@@ -73,40 +115,36 @@ def parse(source: str) -> Node:
         if m[2] is None:
             continue
         tag = m[2].lower()
+        attrs, at, slash = attributes(source, at)
+        if at < 0:
+            return root
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag == "table" and tag not in ("table", "html", "body"):
-                    break
+            place = open_.last(tag)
+            if place and (tag in ("table", "html", "body") or place > open_.last("table")):
+                open_.cut(place)
             continue
-        names, until = CLOSES.get(tag, (frozenset(), frozenset()))
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in until:
-                break
-            if stack[i].tag in names:
-                del stack[i:]
+        if tag in CLOSES:
+            open_.close(*CLOSES[tag])
         if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
             stack[-1].children.append(row := Node("tr", {}))
-            stack.append(row)
-        node = Node(tag, attributes(m[3]))
+            open_.push(row)
+        node = Node(tag, attrs)
         stack[-1].children.append(node)
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
+        if tag in VOID or slash and tag not in BLOCK:
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
             body, at = source[at : end.start() if end else len(source)], end.end() if end else len(source)
             node.children.append(entities.unescape(body) if tag in ("textarea", "title") else body)
             continue
-        stack.append(node)
+        open_.push(node)
     text(source[at:])
     return root
 
 
 def hidden(node: Node) -> bool:
     a = node.attrs
-    return node.tag in HIDDEN_TAGS or bool(a) and ("hidden" in a or a.get("aria-hidden", "").lower() == "true" or bool(NO_DISPLAY.search(a.get("style", "")))) or node.tag == "dialog" and "open" not in a or node.tag == "input" and a.get("type", "").lower() == "hidden"
+    return node.tag in HIDDEN_TAGS or bool(a) and ("hidden" in a or bool(NO_DISPLAY.search(a.get("style", "")))) or node.tag == "dialog" and "open" not in a or node.tag == "input" and a.get("type", "").lower() == "hidden"
 
 
 class Page:
@@ -153,27 +191,42 @@ class Page:
         return "\n".join(self.lines)
 
 
-def aligned(rows: list[list[tuple[str, int]]]) -> list[str]:
-    """Cells (text, columns spanned) as lines, padded to their columns' widths."""
+def aligned(rows: list[list[tuple[str, int, int]]]) -> list[str]:
+    """Cells (text, columns and rows spanned) as lines, padded to their columns' widths. A cell that spans rows keeps its
+    columns empty in the rows below."""
+    grid: list[list[tuple[str, int, int]]] = []  # text, column, columns
+    taken: dict[int, int] = {}  # columns that cells above still hold, and for how many rows
     widths: list[int] = []
     for row in rows:
-        at = 0
-        for cell, span in row:
-            widths += [0] * (at + span - len(widths))
-            if span == 1:
-                widths[at] = max(widths[at], len(cell))
+        at, placed, below = 0, [], {}
+        for cell, span, deep in row:
+            while taken.get(at):
+                placed.append(("", at, 1))
+                at += 1
+            placed.append((cell, at, span))
+            if deep > 1:
+                below |= dict.fromkeys(range(at, at + span), deep)
             at += span
+        placed += [("", c, 1) for c in sorted(taken) if c >= at]
+        taken = {c: n - 1 for c, n in (taken | below).items() if n > 1}
+        grid.append(placed)
+        for cell, c, span in placed:
+            widths += [0] * (c + span - len(widths))
+            if span == 1:
+                widths[c] = max(widths[c], len(cell))
     out = []
-    for row in rows:
-        at, cells = 0, []
-        for cell, span in row:
-            cells.append(cell.ljust(sum(widths[at : at + span]) + 3 * (span - 1)))
-            at += span
+    for placed in grid:
+        cells = [cell.ljust(sum(widths[c : c + span]) + 3 * (span - 1)) for cell, c, span in placed]
         if line := " | ".join(cells).rstrip(" |"):
             out.append(line if cells[0].strip() or len(cells) == 1 else " | ".join(cells).rstrip())
     return out
 
 
+def spanned(node: Node, name: str) -> int:
+    given = node.attrs.get(name, "")
+    return min(1000, max(1, int(given))) if re.fullmatch(r"\d{1,4}", given) else 1
+
+
 def render(root: Node) -> str:
     pages, tables, lists, pre = [Page()], [], [], 0
     todo: list[tuple] = [("in", root)]
@@ -227,9 +280,8 @@ def render(root: Node) -> str:
             todo += [("in", c) for c in reversed(children)]
             continue
         if tag in ("td", "th") and tables:
-            span = node.attrs.get("colspan", "")
             cell = " ".join(x.strip() for x in pages.pop().text().split("\n") if x.strip())
-            tables[-1][-1].append((cell, min(1000, max(1, int(span))) if re.fullmatch(r"\d{1,4}", span) else 1))
+            tables[-1][-1].append((cell, spanned(node, "colspan"), spanned(node, "rowspan")))
             continue
         if tag == "table":
             page.end()
@@ -274,7 +326,11 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
 
     @F.arrow_udf(PAGE)
     def run(source: pa.Array) -> pa.Array:
-        trees = [parse(x or "") for x in source.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([title(t) for t in trees], pa.string()), pa.array([render(t) for t in trees], pa.string())], names=["title", "text"])
+        titles, bodies = [], []
+        for x in source.to_pylist():
+            tree = parse(x or "")
+            titles.append(title(tree))
+            bodies.append(render(tree))
+        return pa.StructArray.from_arrays([pa.array(titles, pa.string()), pa.array(bodies, pa.string())], names=["title", "text"])
 
     return spare(pages, "page").withColumn("page", run(F.col(html).cast("string")))

@@ -1,4 +1,5 @@
 import random
+import time
 from itertools import pairwise
 
 import pytest
@@ -17,13 +18,18 @@ from graphloom.llm.license_templates import TEMPLATES
         ("<table><tr><td colspan=2>wide<td>x<tr><td>a<td>b<td>c</table>", "wide  | x\na | b | c"),
         ("a<br>b<hr>c", "a\nb\n\n---\n\nc"),
         ("<pre> q\n  w</pre>", " q\n  w"),
-        ("<div hidden>n</div><span style='display: none'>n</span><i aria-hidden=true>n</i>y<script>1<2</script><style>p{}</style><!-- c -->", "y"),
+        ("<div hidden>n</div><span style='display: none'>n</span>y<script>1<2</script><style>p{}</style><!-- c -->", "y"),
         ("<details><summary>s</summary>body</details>", "s"),
         ("<head><title>T</title></head><body>1 &lt; 2 &amp; &eacute;</body>", "1 < 2 & é"),
         ("no tags < here", "no tags < here"),
         ("", ""),
         ("</p></div>x", "x"),
         ("<select><option>a<option>b</select>", "a\nb"),
+        ("a <span aria-hidden=true>shown</span> <svg><desc>n</desc><text>drawn</text></svg> <math><mi>x</mi></math>", "a shown drawn x"),
+        ("<table><tr><td rowspan=2>A<td>b1<td>c1<tr><td>b2<td>c2<tr><td>d</table>", "A | b1 | c1\n  | b2 | c2\nd"),
+        ("<table><tr><td>a<td rowspan=9>b<tr><td>c</table>x", "a | b\nc\n\nx"),
+        ("<a title='>' href=x>y</a> <b \" c>z</b> t<i class=", "y z t"),
+        ("<p>one<div>two<p>three</div>four</b>", "one\n\ntwo\n\nthree\n\nfour"),
     ],
 )
 def test_render(source, text):
@@ -34,6 +40,14 @@ def test_depth_is_free():
     assert render(parse("<div>" * 5000 + "x")) == "x"
 
 
+@pytest.mark.parametrize("piece", ["<a ", "<div>", "<div x='", "</b><i>", "<!", "<p><span>", "<ul><li>", "<table><td>", '<a "', "<b><table><div></b>"])
+def test_time_follows_length(piece):
+    """A megabyte of what no page should hold; a quadratic reader would take minutes."""
+    began = time.process_time()
+    tree = parse(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - began < 25 and tree.tag == "#root"
+
+
 def test_extract_frame(spark):
     rows = [(1, "<title> T  t</title><p>x", "keep"), (1, "<title> T  t</title><p>x", "keep"), (None, None, None)]
     got = extract(spark.createDataFrame(rows, "page_id long, html string, text string")).select("page_id", "text", "page.title", "page.text").collect()
