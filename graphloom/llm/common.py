@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,11 +12,12 @@ from pyspark.sql import functions as F
 from graphloom.dist import ship
 from graphloom.storage import shared_dir, staged
 
-__all__ = ["Memo", "as_bytes", "free", "mix", "shared_dir", "slices", "small_batches", "spare", "staged", "substring_hasher", "table", "texts"]
+__all__ = ["Memo", "as_bytes", "free", "mix", "release", "shared_dir", "slices", "small_batches", "spare", "staged", "substring_hasher", "table", "texts"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -59,16 +59,16 @@ def spare(docs: DataFrame, *names: str) -> DataFrame:
     return docs
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
-    """While jobs run inside, Arrow batches have so many rows: both sides of a Python worker hold whole batches."""
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Lowers the session's Arrow batches to so many rows: both sides of a Python worker hold whole batches of texts."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, min(rows, int(before)) if int(before) > 0 else rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
+def release() -> None:
+    """Gives back what a worker's allocators keep after a task."""
+    pa.default_memory_pool().release_unused()
 
 
 class Memo(dict):
@@ -103,7 +103,7 @@ def substring_hasher(data: np.ndarray):
     n = len(data) + 1
     if len(_POWERS.get("up", ())) < n:
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            powers = np.full(max(n, 1 << 20), base, np.uint64)
+            powers = np.full(max(n, 1 << 18), base, np.uint64)
             powers[0] = 1
             _POWERS[name] = np.multiply.accumulate(powers)
     sums = np.zeros(n, np.uint64)

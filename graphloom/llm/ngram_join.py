@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import as_bytes, mix, slices, small_batches, staged, substring_hasher, texts
+from graphloom.llm.common import as_bytes, mix, release, slices, small_batches, staged, substring_hasher, texts
 
 CELLS, CHUNKS, FRAGMENTS, MOST_BROADCAST = 1 << 20, 64, 4, 2_000_000
 #: 64-bit words of a set's parity sketch, and the most rounds in which groups meet one member each.
@@ -108,6 +108,7 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
 def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield from slices(batch)
+    release()
 
 
 def class_of(tokens: np.ndarray) -> int:
@@ -351,5 +352,5 @@ def components(links: DataFrame) -> DataFrame:
 
 def similar(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of docs."""
-    with small_batches(docs.sparkSession):
-        return Join(docs, words, threshold).run()
+    small_batches(docs.sparkSession)
+    return Join(docs, words, threshold).run()

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from graphloom.dist import ship
 from graphloom.llm import decontaminate, line_dedup, ngram_join, packing, quality_classifier
-from graphloom.llm.common import free, spare, staged, table
+from graphloom.llm.common import free, small_batches, spare, staged, table
 from graphloom.llm.word_ids import vocabulary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on all labels of these documents, doesn't reject."""
     ship(spark)
+    small_batches(spark)
     scored = quality_classifier.score_quality(docs, table(spark, sf_dir, "labels"), F.lit(True))
     kept = dict(zip(docs.columns, spare(docs, "score", "predicted").columns, strict=True))
     return scored.filter("predicted = 1").select(*(F.col(b).alias(a) for a, b in kept.items()))
@@ -22,6 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; n_chars follows the text."""
     ship(spark)
+    small_batches(spark)
     kept = dict(zip(docs.columns, spare(docs, "lines").columns, strict=True))
     done = line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
     return done.select(*(F.col(b).alias(a) for a, b in kept.items()))
@@ -47,6 +49,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     text; of repeated rows (same doc_id and text) any one. Documents without a word all stay. A row whose doc_id is null
     or another row's too is judged by its own text."""
     ship(spark)
+    small_batches(spark)
     found = ngram_join.similar(_keyed(docs), words=5, threshold=80)
     rows = staged(found.filter("n_shingles > 0").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("rows")).filter("rows > 1 or doc_id <> component_id"))
     once = _without(docs, rows)
@@ -59,12 +62,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go, each judged by its own text as above."""
     ship(spark)
+    small_batches(spark)
     return _without(docs, staged(decontaminate.leaks(_keyed(docs), table(spark, sf_dir, "benchmark")).select("doc_id").distinct()))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token windows of what is left, a row for each piece."""
     ship(spark)
+    small_batches(spark)
     return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), 0)
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from graphloom.llm.common import as_bytes, free, mix, slices, small_batches, spare, staged, substring_hasher
 
-LENGTH, K, CHUNK, BLOCK, HOT = 200, 40, 1 << 19, 900_000, 20_000
+LENGTH, K, CHUNK, BLOCK, HOT = 200, 40, 1 << 19, 400_000, 20_000
 U64 = np.uint64
 
 
@@ -96,8 +96,13 @@ def _sorted(key: np.ndarray, index: np.ndarray, bits: int) -> tuple[np.ndarray,
     if int(key.max()) >> (64 - bits):
         order = np.argsort(key)
         return key[order], index[order]
-    packed = np.sort(key << U64(bits) | index.astype(U64))
-    return packed >> U64(bits), (packed & U64((1 << bits) - 1)).astype(np.int64)
+    packed = key << U64(bits) | index.astype(U64)
+    packed.sort()
+    return packed >> U64(bits), (packed & U64((1 << bits) - 1)).astype(np.int32)
+
+
+#: The first of four 9-bit symbols.
+FIRST = np.array([sum(511 << 9 * (3 - i) for i in range(k)) for k in range(5)], U64)
 
 
 def suffix_order(text: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
@@ -105,40 +110,43 @@ def suffix_order(text: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
     positions `ends`, each less than all symbols and ordered among each other. A suffix's rank is the first place of
     its group; each round doubles the symbols that ranks stand for and sorts only what is still tied."""
     n, m = len(text), len(ends)
-    bits, at = n.bit_length(), np.arange(n)
-    context = np.repeat(np.arange(m), np.diff(np.append(-1, ends)))
-    end = ends[context]
-    key = np.zeros(n, U64)
-    for i in range(4):
-        shifted = np.zeros(n, U64)
-        shifted[: max(n - i, 0)] = text[i:]
-        shifted[at + i >= end] = 0
-        key = key << U64(9) | shifted
-    order, rank, slots = at.copy(), np.zeros(n, np.int64), at
-    h, held = 4, key
-    while True:
-        held, found = _sorted(held, order[slots], bits)
-        order[slots] = found
-        first = np.append(True, held[1:] != held[:-1])
-        rank[found] = np.maximum.accumulate(np.where(first, slots, 0))
-        tied = ~(first & np.append(first[1:], True))
-        slots = slots[tied]
-        if h >= depth or not len(slots):
-            return order
-        own = order[slots]
-        then = own + h
-        inside = then < end[own]
-        second = context[own]
-        second[inside] = rank[then[inside]] + m
-        held = rank[own].astype(U64) * U64(n + m) + second.astype(U64)
+    bits = n.bit_length()
+    end = np.repeat(ends.astype(np.int32), np.diff(np.append(-1, ends)))
+    symbols = np.zeros(n + 3, U64)
+    symbols[:n] = text
+    key = symbols[:n]
+    for i in range(1, 4):
+        key = key << U64(9) | symbols[i : n + i]
+    at = np.arange(n, dtype=np.int32)
+    key &= FIRST[np.minimum(end - at, 4)]
+    order, rank = np.empty(n, np.int32), np.empty(n, np.int32)
+    order[:m], rank[ends] = ends, at[:m]  # closing symbols are in their places from the start
+    own = at[end > at]
+    held, slots, h = key[own], at[m:], 4
+    while len(slots):
+        held, own = _sorted(held, own, bits)
+        order[slots] = own
+        first = np.empty(len(held), bool)
+        first[0] = True
+        np.not_equal(held[1:], held[:-1], out=first[1:])
+        heads = np.flatnonzero(first)
+        group = np.repeat(slots[heads], np.diff(np.append(heads, len(held))))
+        rank[own] = group
+        if h >= depth:
+            break
+        tied = ~first
+        tied[:-1] |= ~first[1:]
+        slots, own = slots[tied], own[tied]
+        held = group[tied].astype(U64) << U64(bits) | rank[np.minimum(own + np.int32(h), end[own])].astype(U64)
         h *= 2
+    return order
 
 
 def open_bounds(bwt: np.ndarray, closers: int, stop: int) -> np.ndarray:
     """For each row of the sorted suffixes: whether it shares `stop` symbols or more with the row before.
     bwt 0 marks rows without a symbol before; the first `closers` rows start with a closing symbol."""
     n = len(bwt)
-    by_symbol = np.argsort(bwt.astype(np.uint16), kind="stable")
+    by_symbol = np.argsort(bwt, kind="stable").astype(np.int32)
     none = int((bwt == 0).sum())
     step = np.full(n, -1, np.int32)  # the row of the suffix one symbol longer
     step[by_symbol[none:]] = np.arange(closers, closers + n - none)
@@ -184,10 +192,10 @@ def repeated_starts(strings: list[bytes], counts: list[int], length: int) -> lis
     """Of each context, whose starts are all but its last length - 1 positions: the repeated ones."""
     sizes = np.array([len(s) for s in strings])
     ends = np.cumsum(sizes + 1) - 1
-    text = np.zeros(int(ends[-1]) + 1, np.int64)
+    text = np.zeros(int(ends[-1]) + 1, np.int16)
     body = np.ones(len(text), bool)
     body[ends] = False
-    text[body] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + 1
+    text[body] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int16) + 1
     order = suffix_order(text, ends, length)
     bwt = text[order - 1]
     bwt[order == 0] = 0
@@ -304,16 +312,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int =
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     doc, th = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.xxhash64(text)
     keyed = docs.select(doc.alias("doc"), th.alias("th"), text.alias("text"))
-    with small_batches(docs.sparkSession):
-        places = staged(_places(keyed, length, k))
-        twice = staged(places.groupBy("a").agg(F.count(F.lit(1)).alias("t")).filter("t >= 2").select("a"))
-        again = staged(places.join(twice, "a", "left_semi"))
-        found = staged(again.groupBy("a", "c", "size").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "th", "first")).alias("at")))
-        wanted = found.groupBy(F.col("at.doc").alias("doc"), F.col("at.th").alias("th")).agg(F.collect_list(F.struct("a", "c", "n", F.col("at.first").alias("first"), "size")).alias("wanted"))  # at most a document's contexts
-        bodies = keyed.join(staged(wanted), ["doc", "th"]).select("text", F.explode("wanted").alias("w"))
-        bodies = bodies.select("w.a", "w.c", "w.n", F.expr("substring(text, cast(w.first + 1 as int), w.size)").alias("body")).dropDuplicates(["a", "c"])
-        repeats = staged(_all_repeats(bodies, length, k, hot))
-        spans = staged(again.join(repeats, ["a", "c"]).groupBy("doc", "th").agg(F.collect_set(F.struct("first", "ranges")).alias("spans")))
+    small_batches(docs.sparkSession)
+    places = staged(_places(keyed, length, k))
+    twice = staged(places.groupBy("a").agg(F.count(F.lit(1)).alias("t")).filter("t >= 2").select("a"))
+    again = staged(places.join(twice, "a", "left_semi"))
+    found = staged(again.groupBy("a", "c", "size").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "th", "first")).alias("at")))
+    wanted = found.groupBy(F.col("at.doc").alias("doc"), F.col("at.th").alias("th")).agg(F.collect_list(F.struct("a", "c", "n", F.col("at.first").alias("first"), "size")).alias("wanted"))  # at most a document's contexts
+    bodies = keyed.join(staged(wanted), ["doc", "th"]).select("text", F.explode("wanted").alias("w"))
+    bodies = bodies.select("w.a", "w.c", "w.n", F.expr("substring(text, cast(w.first + 1 as int), w.size)").alias("body")).dropDuplicates(["a", "c"])
+    repeats = staged(_all_repeats(bodies, length, k, hot))
+    spans = staged(again.join(repeats, ["a", "c"]).groupBy("doc", "th").agg(F.collect_set(F.struct("first", "ranges")).alias("spans")))
 
     @F.arrow_udf(SPANS)
     def cut(text: pa.Array, spans: pa.Array) -> pa.Array:

@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 
-SLOT_BITS, ARENA, CHUNK = 21, 1 << 23, 1 << 19
+SLOT_BITS, ARENA, CHUNK = 20, 1 << 22, 1 << 19
 SEPARATOR = "\ue000"
 #: The pre-tokenizers and normalizers for which units are cut as above.
 SPACED = (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True})
