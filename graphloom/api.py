@@ -270,14 +270,15 @@ class AuditLog:
         row = {"at": at, "actor": actor, "action": action, "target": target, "detail": json.dumps(detail or {}, default=str)}
         self.db.execute(f"CREATE (n:`{self.TABLE}` {{{_props(row)}}})", row)
 
-    def query(self, action: str | None = None, actor: str | None = None, target: str | None = None, limit: int = 100) -> list[dict[str, Any]]:
+    def query(self, action: str | None = None, actor: str | None = None, target: str | None = None, limit: int | None = 100, newest_first: bool = False) -> list[dict[str, Any]]:
         given = {k: v for k, v in (("action", action), ("actor", actor), ("target", target)) if v is not None}
         where = " AND ".join(f"n.{k} = ${k}" for k in given)
-        found = self.db.query(f"MATCH (n:`{self.TABLE}`) {'WHERE ' + where if where else ''} RETURN n.* ORDER BY n.id LIMIT {int(limit)}", given)
+        found = self.db.query(f"MATCH (n:`{self.TABLE}`) {'WHERE ' + where if where else ''} RETURN n.* ORDER BY n.id{' DESC' if newest_first else ''}{'' if limit is None else f' LIMIT {int(limit)}'}", given)
         return [{k.removeprefix("n."): v for k, v in r.items()} for r in found]
 
     def get_history(self, target: str) -> list[dict[str, Any]]:
-        return self.query(target=target)
+        """All entries of the target, newest first."""
+        return self.query(target=target, limit=None, newest_first=True)
 
     def count(self) -> int:
         return self.db.session.catalog.node(self.TABLE).frame.count()

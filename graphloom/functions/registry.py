@@ -590,7 +590,7 @@ simple("decode", lambda a: F.decode(a, "UTF-8"))
 simple("gen_random_uuid", lambda: call("uuid"))
 simple("md5", lambda a: F.md5(a.cast("binary")))
 simple("sha256", lambda a: F.sha2(a.cast("binary"), 256))
-simple("hash", lambda a: F.when(a.isNotNull(), F.xxhash64(a).cast("decimal(20,0)") + F.lit(2**63).cast("decimal(20,0)")).cast("decimal(20,0)"))
+simple("hash", lambda a: F.when(a.isNotNull(), F.xxhash64(a).cast("decimal(20,0)") + F.lit("9223372036854775808").cast("decimal(20,0)")).cast("decimal(20,0)"))
 
 
 @scalar("struct_extract")

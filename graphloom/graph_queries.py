@@ -2,18 +2,38 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.function_queries import FUNCTION_PAIRS
+from graphloom.operators.vector import nearest_of_all
 from graphloom.session import GraphSession
+from graphloom.storage import shared_dir
+
+
+#: Declared, so that registering the tables reads no footer.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+}
 
 
 def graph(spark: SparkSession, sf_dir: str) -> GraphSession:
     """Tables are registered where they lie; nothing is read until a query asks for it."""
     g = GraphSession(spark)
-    t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    frames = {n: spark.read.schema(s).parquet(f"{sf_dir}/{n}.parquet") for n, s in SCHEMAS.items()}
+    t = frames.__getitem__
     keyed = {"Region": ("region", "r_regionkey"), "Nation": ("nation", "n_nationkey"), "Customer": ("customer", "c_custkey"), "Supplier": ("supplier", "s_suppkey"), "Part": ("part", "p_partkey"), "Orders": ("orders", "o_orderkey"), "Event": ("events", "event_id"), "Vec": ("embeddings", "vec_id"), "Document": ("documents", "doc_id")}
     for label, (table, key) in keyed.items():
         g.add_nodes(label, t(table), key)
@@ -30,6 +50,11 @@ def graph(spark: SparkSession, sf_dir: str) -> GraphSession:
     g.add_rels("REFERRED_BY", up, ("Customer", "c_custkey"), ("Customer", "to"), ["c_custkey"])
     side = t("customer").select("c_custkey", F.expr("c_custkey div 3").alias("to"), (F.col("c_custkey") % 5 + 1).alias("w")).filter("to > 0")
     g.add_rels("MENTORED_BY", side, ("Customer", "c_custkey"), ("Customer", "to"), ["c_custkey"])
+    k = F.col("c_custkey")
+    ring = t("customer").select("c_custkey", F.when(k % 4 < 3, k + 1).otherwise(k - 3).alias("to"))
+    ring = ring.unionByName(t("customer").filter("c_custkey % 8 = 0").select("c_custkey", (k + 4).alias("to")))
+    ring = ring.join(t("customer").select(k.alias("to")), "to", "left_semi").select("c_custkey", "to")
+    g.add_rels("BESIDE", ring, ("Customer", "c_custkey"), ("Customer", "to"), ["c_custkey", "to"])
     return g
 
 
@@ -58,7 +83,7 @@ PAIRS: dict[str, tuple[str, str | None]] = {
     "boolean_logic": ("MATCH (p:Part) RETURN p.p_size > 25 AND p.p_retailprice < 1500 AS a, p.p_size < 5 OR p.p_size > 45 AS o, p.p_size > 20 XOR p.p_size < 30 AS x, NOT p.p_size = 7 AS n, count(*) AS c", "SELECT p_size > 25 AND p_retailprice < 1500 AS a, p_size < 5 OR p_size > 45 AS o, (p_size > 20) <> (p_size < 30) AS x, NOT p_size = 7 AS n, count(*) AS c FROM part GROUP BY ALL"),
     "case_expression": ("MATCH (p:Part) RETURN CASE WHEN p.p_size < 10 THEN 'small' WHEN p.p_size < 30 THEN 'mid' ELSE 'big' END AS class, CASE p.p_size % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS parity, count(*) AS n", "SELECT CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'mid' ELSE 'big' END AS class, CASE p_size % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS parity, count(*) AS n FROM part GROUP BY ALL"),
     "string_predicates": ("MATCH (p:Part) WHERE p.p_name STARTS WITH 'P' OR p.p_name CONTAINS '9' OR p.p_type ENDS WITH 'L' RETURN p.p_partkey AS k, p.p_brand =~ 'Brand.*3' AS m", "SELECT p_partkey AS k, regexp_full_match(p_brand, 'Brand.*3') AS m FROM part WHERE p_name LIKE 'P%' OR p_name LIKE '%9%' OR p_type LIKE '%L'"),
-    "in_list_null_tests": ("MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Orders {o_orderstatus: 'P'}) WHERE c.c_custkey IN [1, 2, 3, 4] WITH c, o WHERE o IS NULL OR o.o_orderkey IS NOT NULL RETURN c.c_custkey IN [1, 2, 3] AS i, count(*) AS n, count(o.o_orderkey) AS m", "SELECT c_custkey IN (1, 2, 3) AS i, count(*) AS n, count(o_orderkey) AS m FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' AND c_custkey IN (1, 2, 3, 4) GROUP BY ALL"),
+    "in_list_null_tests": ("MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Orders {o_orderstatus: 'P'}) WHERE c.c_nationkey IN [1, 2, 3, 4] WITH c, o WHERE o IS NULL OR o.o_orderkey IS NOT NULL RETURN c.c_nationkey IN [1, 2, 3] AS i, count(*) AS n, count(o.o_orderkey) AS m", "SELECT c_nationkey IN (1, 2, 3) AS i, count(*) AS n, count(o_orderkey) AS m FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' AND c_nationkey IN (1, 2, 3, 4) GROUP BY ALL"),
     "optional_match": ("MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Orders) WHERE o.o_totalprice > 250000 RETURN c.c_custkey AS k, count(o) AS n, round(coalesce(max(o.o_totalprice), 0.0), 2) AS top", "SELECT c_custkey AS k, count(o_orderkey) AS n, round(coalesce(max(o_totalprice), 0), 2) AS top FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 250000 GROUP BY c_custkey"),
     "exists_subquery": ("MATCH (s:Supplier) WHERE EXISTS { MATCH (s)<-[:SUPPLIED_BY]-(o:Orders) WHERE o.o_totalprice > 300000 } RETURN s.s_suppkey AS k", "SELECT s_suppkey AS k FROM supplier WHERE EXISTS (SELECT 1 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey = s_suppkey AND o_totalprice > 300000)"),
     "anti_pattern": ("MATCH (p:Part) WHERE NOT (p)<-[:CONTAINS]-(:Orders) RETURN count(*) AS n", "SELECT count(*) AS n FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)"),
@@ -74,18 +99,25 @@ PAIRS: dict[str, tuple[str, str | None]] = {
     "nested_aggregation": ("MATCH (c:Customer)-[:PLACED]->(o:Orders) WITH c, count(*) AS k RETURN k AS orders, count(*) AS customers", "SELECT k AS orders, count(*) AS customers FROM (SELECT o_custkey, count(*) AS k FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY o_custkey) GROUP BY k"),
     "distinct_rows": ("MATCH (o:Orders)-[:CONTAINS]->(p:Part) RETURN DISTINCT p.p_brand AS brand, o.o_orderstatus AS s", "SELECT DISTINCT p_brand AS brand, o_orderstatus AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey"),
     "order_skip_limit": ("MATCH (o:Orders) RETURN o.o_orderkey AS k, o.o_totalprice AS p ORDER BY p DESC, k SKIP 5 LIMIT 10", "SELECT o_orderkey AS k, o_totalprice AS p FROM orders ORDER BY p DESC, k LIMIT 10 OFFSET 5"),
-    "top_k_nulls": ("MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Orders) WHERE o.o_orderkey % 50 = 0 RETURN c.c_custkey AS k, o.o_orderkey AS o ORDER BY o DESC, k LIMIT 20", "SELECT c_custkey AS k, o_orderkey AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderkey % 50 = 0 ORDER BY o DESC NULLS FIRST, k LIMIT 20"),
+    "top_k_nulls": ("MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Orders) WHERE o.o_orderstatus = 'P' RETURN c.c_custkey AS k, o.o_orderkey AS o ORDER BY o DESC, k LIMIT 20", "SELECT c_custkey AS k, o_orderkey AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' ORDER BY o DESC NULLS FIRST, k LIMIT 20"),
     "union_all": ("MATCH (c:Customer) RETURN c.c_name AS name UNION ALL MATCH (s:Supplier) RETURN s.s_name AS name", "SELECT c_name AS name FROM customer UNION ALL SELECT s_name FROM supplier"),
     "union_distinct": ("MATCH (c:Customer) RETURN c.c_nationkey AS n UNION MATCH (s:Supplier) RETURN s.s_nationkey AS n", "SELECT c_nationkey AS n FROM customer UNION SELECT s_nationkey FROM supplier"),
-    "walk_var_length": ("MATCH (a:Customer)-[e:REFERRED_BY|MENTORED_BY*1..3]->(b:Customer) WHERE a.c_custkey < 200 RETURN length(e) AS len, count(*) AS n, sum(b.c_custkey) AS s", f"WITH {BOTH}, w1 AS (SELECT s, d, 1 AS len FROM e WHERE s < 200), w2 AS (SELECT w1.s, e.d, 2 AS len FROM w1 JOIN e ON w1.d = e.s), w3 AS (SELECT w2.s, e.d, 3 AS len FROM w2 JOIN e ON w2.d = e.s) SELECT len::BIGINT AS len, count(*) AS n, sum(d) AS s FROM (SELECT * FROM w1 UNION ALL SELECT * FROM w2 UNION ALL SELECT * FROM w3) GROUP BY len"),
-    "walk_zero_length": ("MATCH (a:Customer {c_custkey: 100})-[e:REFERRED_BY*0..2]->(b:Customer) RETURN b.c_custkey AS k, length(e) AS len", f"WITH {REF} SELECT 100::BIGINT AS k, 0::BIGINT AS len UNION ALL SELECT d, 1 FROM ref WHERE s = 100 UNION ALL SELECT b.d, 2 FROM ref a JOIN ref b ON a.d = b.s WHERE a.s = 100"),
+    "walk_var_length": ("MATCH (a:Customer)-[e:REFERRED_BY|MENTORED_BY*1..3]->(b:Customer) RETURN length(e) AS len, count(*) AS n, sum(b.c_custkey) AS s", f"WITH {BOTH}, w1 AS (SELECT s, d, 1 AS len FROM e), w2 AS (SELECT w1.s, e.d, 2 AS len FROM w1 JOIN e ON w1.d = e.s), w3 AS (SELECT w2.s, e.d, 3 AS len FROM w2 JOIN e ON w2.d = e.s) SELECT len::BIGINT AS len, count(*) AS n, sum(d) AS s FROM (SELECT * FROM w1 UNION ALL SELECT * FROM w2 UNION ALL SELECT * FROM w3) GROUP BY len"),
+    "walk_zero_length": ("MATCH (a:Customer)-[e:REFERRED_BY*0..2]->(b:Customer) RETURN a.c_custkey AS a, b.c_custkey AS k, length(e) AS len", f"WITH {REF} SELECT c_custkey AS a, c_custkey AS k, 0::BIGINT AS len FROM customer UNION ALL SELECT s, d, 1 FROM ref UNION ALL SELECT a.s, b.d, 2 FROM ref a JOIN ref b ON a.d = b.s"),
     "deep_recursion": ("MATCH (a:Customer)-[e:REFERRED_BY*1..15]->(b:Customer {c_custkey: 1}) RETURN length(e) AS len, count(*) AS n", f"WITH RECURSIVE {REF}, up AS (SELECT s, d, 1 AS len FROM ref UNION ALL SELECT up.s, ref.d, len + 1 FROM up JOIN ref ON up.d = ref.s WHERE len < 15) SELECT len::BIGINT AS len, count(*) AS n FROM up WHERE d = 1 GROUP BY len"),
-    "trail": ("MATCH (a:Customer {c_custkey: 60})-[e:REFERRED_BY|MENTORED_BY* TRAIL 1..3]-(b:Customer) RETURN length(e) AS len, count(*) AS n", f"WITH {REF}, {MEN}, x AS (SELECT 'r' || s AS id, s, d FROM ref UNION ALL SELECT 'm' || s, s, d FROM men), u AS (SELECT id, s, d FROM x UNION ALL SELECT id, d, s FROM x), t1 AS (SELECT id AS a, d FROM u WHERE s = 60), t2 AS (SELECT a, id AS b, u.d FROM t1 JOIN u ON t1.d = u.s WHERE id <> a), t3 AS (SELECT a, b, id AS c, u.d FROM t2 JOIN u ON t2.d = u.s WHERE id <> a AND id <> b) SELECT 1::BIGINT AS len, count(*) AS n FROM t1 UNION ALL SELECT 2, count(*) FROM t2 UNION ALL SELECT 3, count(*) FROM t3"),
+    "trail": ("MATCH (a:Customer)-[e:REFERRED_BY|MENTORED_BY* TRAIL 1..3]-(b:Customer) RETURN a.c_nationkey AS nation, length(e) AS len, count(*) AS n, sum(b.c_custkey) AS s", f"WITH {REF}, {MEN}, x AS (SELECT 'r' || s AS id, s, d FROM ref UNION ALL SELECT 'm' || s, s, d FROM men), u AS (SELECT id, s, d FROM x UNION ALL SELECT id, d, s FROM x), t1 AS (SELECT u.s AS o, id AS a, d FROM u), t2 AS (SELECT o, a, id AS b, u.d FROM t1 JOIN u ON t1.d = u.s WHERE id <> a), t3 AS (SELECT o, a, b, id AS c, u.d FROM t2 JOIN u ON t2.d = u.s WHERE id <> a AND id <> b) SELECT c_nationkey AS nation, len, count(*) AS n, sum(d) AS s FROM (SELECT o, d, 1::BIGINT AS len FROM t1 UNION ALL SELECT o, d, 2 FROM t2 UNION ALL SELECT o, d, 3 FROM t3) JOIN customer ON c_custkey = o GROUP BY ALL"),
     "shortest_lengths": ("MATCH (a:Customer {c_custkey: 1})<-[e:REFERRED_BY|MENTORED_BY* SHORTEST 1..12]-(b:Customer) RETURN length(e) AS len, count(*) AS n, sum(b.c_custkey) AS s", f"WITH RECURSIVE {BOTH}, r AS (SELECT DISTINCT s AS v, 1 AS len FROM e WHERE d = 1 UNION SELECT e.s, len + 1 FROM r JOIN e ON e.d = r.v WHERE len < 12) SELECT len::BIGINT AS len, count(*) AS n, sum(v) AS s FROM (SELECT v, min(len) AS len FROM r WHERE v <> 1 GROUP BY v) GROUP BY len"),
     "all_shortest_counts": ("MATCH (a:Customer {c_custkey: 1})<-[e:REFERRED_BY|MENTORED_BY* ALL SHORTEST 1..12]-(b:Customer) RETURN b.c_custkey AS k, length(e) AS len, count(*) AS n", f"WITH RECURSIVE {BOTH}, r AS (SELECT s AS v, 1 AS len FROM e WHERE d = 1 UNION ALL SELECT e.s, len + 1 FROM r JOIN e ON e.d = r.v WHERE len < 12) SELECT v AS k, len::BIGINT AS len, count(*) AS n FROM r WHERE v <> 1 GROUP BY v, len QUALIFY len = min(len) OVER (PARTITION BY v)"),
     "weighted_shortest": ("MATCH (a:Customer {c_custkey: 1})<-[e:REFERRED_BY|MENTORED_BY* WSHORTEST(w) 1..12]-(b:Customer) RETURN b.c_custkey AS k, cost(e) AS cost", f"WITH RECURSIVE {BOTH}, r AS (SELECT s AS v, w::DOUBLE AS cost, 1 AS len FROM e WHERE d = 1 UNION ALL SELECT e.s, cost + w, len + 1 FROM r JOIN e ON e.d = r.v WHERE len < 12) SELECT v AS k, min(cost) AS cost FROM r WHERE v <> 1 GROUP BY v"),
+    "walk_acyclic": ("MATCH (a:Customer)-[e:REFERRED_BY|MENTORED_BY* ACYCLIC 1..3]->(b:Customer) RETURN a.c_nationkey AS nation, length(e) AS len, count(*) AS n", f"WITH {BOTH}, w1 AS (SELECT s, d FROM e), w2 AS (SELECT w1.s, e.d FROM w1 JOIN e ON w1.d = e.s), w3 AS (SELECT w2.s, e.d FROM w2 JOIN e ON w2.d = e.s) SELECT c_nationkey AS nation, len, count(*) AS n FROM (SELECT s, 1::BIGINT AS len FROM w1 UNION ALL SELECT s, 2 FROM w2 UNION ALL SELECT s, 3 FROM w3) JOIN customer ON c_custkey = s GROUP BY ALL"),
+    "all_weighted_shortest": ("MATCH (a:Customer {c_custkey: 1})<-[e:REFERRED_BY|MENTORED_BY* ALL WSHORTEST(w) 1..12]-(b:Customer) RETURN b.c_custkey AS k, cost(e) AS cost, count(*) AS n", f"WITH RECURSIVE {BOTH}, r AS (SELECT s AS v, w::DOUBLE AS cost, 1 AS len FROM e WHERE d = 1 UNION ALL SELECT e.s, cost + w, len + 1 FROM r JOIN e ON e.d = r.v WHERE len < 12) SELECT v AS k, cost, count(*) AS n FROM r WHERE v <> 1 GROUP BY v, cost QUALIFY cost = min(cost) OVER (PARTITION BY v)"),
+    "with_where_order": ("MATCH (c:Customer) WITH c.c_nationkey AS nation, c.c_acctbal AS bal ORDER BY bal DESC, nation LIMIT 100 WHERE bal > 0 RETURN nation, count(*) AS n, round(max(bal), 2) AS top", "SELECT nation, count(*) AS n, round(max(bal), 2) AS top FROM (SELECT c_nationkey AS nation, c_acctbal AS bal FROM customer ORDER BY bal DESC, nation LIMIT 100) WHERE bal > 0 GROUP BY nation"),
+    "unwind_collected": ("MATCH (r:Region)<-[:NATION_IN]-(n:Nation) WITH r, collect(n.n_nationkey) AS l UNWIND l AS x RETURN r.r_name AS region, sum(x) AS s, size(collect(DISTINCT x % 3)) AS kinds", "SELECT r_name AS region, sum(n_nationkey) AS s, count(DISTINCT n_nationkey % 3) AS kinds FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name"),
+    "label_functions": ("MATCH (a)-[r:BASED_IN|LIVES_IN]->(n:Nation) RETURN label(a) AS a, label(r) AS r, count(DISTINCT n.n_nationkey) AS n", "SELECT 'Customer' AS a, 'LIVES_IN' AS r, count(DISTINCT c_nationkey) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'Supplier', 'BASED_IN', count(DISTINCT s_nationkey) FROM supplier JOIN nation ON s_nationkey = n_nationkey"),
+    "show_tables": ("CALL show_tables() WHERE type = 'NODE' RETURN name", "SELECT unnest(['Region', 'Nation', 'Customer', 'Supplier', 'Part', 'Orders', 'Event', 'Vec', 'Document', 'Visitor']) AS name"),
+    "table_info": ("CALL table_info('Supplier') RETURN name, type", "SELECT * FROM (VALUES ('s_suppkey', 'INT64'), ('s_name', 'STRING'), ('s_nationkey', 'INT32'), ('s_acctbal', 'DOUBLE')) t(name, type)"),
     "recursive_filter": ("MATCH (a:Customer)-[e:REFERRED_BY*1..4 (r, n | WHERE r.w > 2 AND n.c_acctbal > 0)]->(b:Customer) RETURN length(e) AS len, count(*) AS n", f"WITH RECURSIVE {REF}, k AS (SELECT * FROM ref WHERE w > 2), up AS (SELECT s, d, 1 AS len FROM k UNION ALL SELECT up.s, k.d, len + 1 FROM up JOIN customer ON c_custkey = up.d AND c_acctbal > 0 JOIN k ON up.d = k.s WHERE len < 4) SELECT len::BIGINT AS len, count(*) AS n FROM up GROUP BY len"),
-    "path_functions": ("MATCH p = (a:Customer {c_custkey: 77})-[e:REFERRED_BY*2..4]->(b:Customer) RETURN length(p) AS len, list_to_string('>', properties(nodes(p), 'c_custkey')) AS path, is_trail(p) AS trail, is_acyclic(p) AS acyclic, list_sum(properties(rels(p), 'w')) AS w", f"WITH RECURSIVE {REF}, up AS (SELECT d, 1 AS len, '77>' || d AS path, w FROM ref WHERE s = 77 UNION ALL SELECT ref.d, len + 1, path || '>' || ref.d, up.w + ref.w FROM up JOIN ref ON up.d = ref.s WHERE len < 4) SELECT len::BIGINT AS len, path, true AS trail, true AS acyclic, w FROM up WHERE len >= 2"),
+    "path_functions": ("MATCH p = (a:Customer)-[e:REFERRED_BY*2..4]->(b:Customer) RETURN length(p) AS len, list_to_string('>', properties(nodes(p), 'c_custkey')) AS path, is_trail(p) AS trail, is_acyclic(p) AS acyclic, list_sum(properties(rels(p), 'w')) AS w", f"WITH RECURSIVE {REF}, up AS (SELECT d, 1 AS len, s || '>' || d AS path, w FROM ref UNION ALL SELECT ref.d, len + 1, path || '>' || ref.d, up.w + ref.w FROM up JOIN ref ON up.d = ref.s WHERE len < 4) SELECT len::BIGINT AS len, path, true AS trail, true AS acyclic, w FROM up WHERE len >= 2"),
     "functions_numeric": ("MATCH (p:Part) RETURN p.p_partkey AS k, p.p_size / 4 AS q, p.p_size % 4 AS r, abs(p.p_size - 25) AS a, floor(p.p_retailprice) AS f, ceil(p.p_retailprice) AS c, round(sqrt(p.p_retailprice), 6) AS s, sign(p.p_size - 25) AS g, p.p_size & 6 AS b, bitwise_xor(p.p_size, 5) AS x, even(p.p_retailprice) AS e", "SELECT p_partkey AS k, p_size // 4 AS q, p_size % 4 AS r, abs(p_size - 25) AS a, floor(p_retailprice) AS f, ceil(p_retailprice) AS c, round(sqrt(p_retailprice), 6) AS s, sign(p_size - 25)::BIGINT AS g, (p_size::BIGINT & 6) AS b, xor(p_size::BIGINT, 5) AS x, even(p_retailprice) AS e FROM part"),
     "functions_string": ("MATCH (c:Customer) RETURN c.c_custkey AS k, lower(c.c_name) AS l, left(c.c_name, 4) AS a, right(c.c_name, 3) AS z, size(c.c_name) AS n, substr(c.c_name, 3, 4) AS s, replace(c.c_name, '0', '') AS r, reverse(c.c_mktsegment) AS v, lpad(c.c_mktsegment, 12, '*') AS p, split_part(c.c_name, '#', 2) AS t, md5(c.c_name) AS m, levenshtein(c.c_mktsegment, 'BUILDING') AS d", "SELECT c_custkey AS k, lower(c_name) AS l, left(c_name, 4) AS a, right(c_name, 3) AS z, length(c_name) AS n, substr(c_name, 3, 4) AS s, replace(c_name, '0', '') AS r, reverse(c_mktsegment) AS v, lpad(c_mktsegment, 12, '*') AS p, split_part(c_name, '#', 2) AS t, md5(c_name) AS m, levenshtein(c_mktsegment, 'BUILDING') AS d FROM customer"),
     "functions_regex": ("MATCH (p:Part) RETURN p.p_partkey AS k, regexp_extract(p.p_brand, '[0-9]+') AS d, regexp_replace(p.p_name, '[aeiou]', '_', 'g') AS v, regexp_matches(p.p_type, '[A-M]$') AS m", "SELECT p_partkey AS k, regexp_extract(p_brand, '[0-9]+') AS d, regexp_replace(p_name, '[aeiou]', '_', 'g') AS v, regexp_matches(p_type, '[A-M]$') AS m FROM part"),
@@ -104,15 +136,21 @@ def _run(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: graph(spark, sf_dir).query(text)
 
 
-def _algorithm(call: str) -> Callable[[SparkSession, str], DataFrame]:
+def _algorithm(call: str, rels: str = "'REFERRED_BY', 'MENTORED_BY'") -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         g = graph(spark, sf_dir)
-        g.query("CALL project_graph('G', ['Customer'], ['REFERRED_BY', 'MENTORED_BY'])")
+        g.query(f"CALL project_graph('G', ['Customer'], [{rels}])")
         return g.query(call)
 
     return run
 
 
+def strongly_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer with the least of its component."""
+    found = _algorithm("CALL strongly_connected_components('G') RETURN node, group_id AS g", "'BESIDE'")(spark, sf_dir)
+    return found.join(found.groupBy("g").agg(F.min("node").alias("component")), "g").select("node", "component")
+
+
 def load_from(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph(spark, sf_dir).query(f"LOAD FROM '{sf_dir}/orders.parquet' WHERE o_totalprice > 200000 RETURN o_orderstatus AS s, count(*) AS n")
 
@@ -144,6 +182,47 @@ def merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.query("MATCH (c:C) WHERE c.name IN ['made', 'met'] RETURN c.id AS id, c.name AS name")
 
 
+def _copied_to(suffix: str, options: str = "") -> Callable[[SparkSession, str], DataFrame]:
+    """A query's rows written to a file set of the shared folder, and read from there."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        g, path = graph(spark, sf_dir), f"{shared_dir(spark)}/copied-{uuid.uuid4().hex}.{suffix}"
+        g.query(f"COPY (MATCH (c:Customer)-[:LIVES_IN]->(n:Nation) RETURN c.c_custkey AS id, n.n_name AS nation, c.c_acctbal AS bal) TO '{path}'{options}")
+        return g.query(f"LOAD FROM '{path}'{options} RETURN nation, count(*) AS n, round(sum(bal), 2) AS bal, max(id) AS top")
+
+    return run
+
+
+COPIED_SQL = "SELECT n_name AS nation, count(*) AS n, round(sum(c_acctbal), 2) AS bal, max(c_custkey) AS top FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"
+
+
+def alter_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _customers_copied(spark, sf_dir)
+    g.script("ALTER TABLE C ADD age INT64 DEFAULT 7; ALTER TABLE C RENAME bal TO balance; ALTER TABLE C DROP name; ALTER TABLE C RENAME TO Client")
+    return g.query("MATCH (c:Client)-[:L]->(n:N) RETURN n.name AS nation, sum(c.age) AS ages, round(max(c.balance), 2) AS top")
+
+
+def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = graph(spark, sf_dir)
+    g.query("CREATE MACRO grown(a, b := 10) AS a * 2 + b")
+    return g.query("MATCH (p:Part) RETURN p.p_partkey AS k, grown(p.p_size) AS x, grown(p.p_size, 1) AS y")
+
+
+def delete_rels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deleting rels leaves the rest of the graph."""
+    g = _customers_copied(spark, sf_dir)
+    g.query("MATCH (c:C)-[l:L]->(n:N) WHERE c.bal > 5000 DELETE l")
+    return g.query("MATCH (c:C) OPTIONAL MATCH (c)-[:L]->(n:N) RETURN n.name AS nation, count(*) AS n")
+
+
+def merge_rels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _customers_copied(spark, sf_dir)
+    g.query("CREATE REL TABLE V(FROM C TO N)")
+    g.query("MATCH (c:C)-[:L]->(n:N) WHERE c.bal > 5000 MERGE (c)-[:V]->(n)")
+    g.query("MATCH (c:C)-[:L]->(n:N) WHERE c.bal > 0 MERGE (c)-[:V]->(n)")
+    return g.query("MATCH (c:C)-[:V]->(n:N) RETURN n.id AS nation, count(*) AS n")
+
+
 def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = graph(spark, sf_dir)
     g.query("CALL create_fts_index('Document', 'docs', ['text'])")
@@ -151,7 +230,14 @@ def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 10 nearest to the first vector."""
+    """The 10 nearest of every vector whose id is divisible by 50, among all vectors."""
+    vectors = graph(spark, sf_dir).query("MATCH (v:Vec) RETURN v.vec_id AS vec_id, v.embedding AS embedding")
+    found = nearest_of_all(vectors.filter("vec_id % 50 = 0"), vectors, "vec_id", "embedding", 10, "l2")
+    return found.select("query", "rank", F.col("neighbor").alias("k"), F.round("distance", 3).alias("d"))
+
+
+def vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index's own call: the 10 nearest to one vector."""
     g = graph(spark, sf_dir)
     g.query("CALL create_vector_index('Vec', 'near', 'embedding', metric := 'l2')")
     first = g.query("MATCH (v:Vec {vec_id: 0}) RETURN v.embedding AS e").first()["e"]
@@ -159,26 +245,42 @@ def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 WCC_SQL = "SELECT c_custkey AS node, least(c_custkey, 1) AS component FROM customer"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _run(q) for n, (q, _) in PAIRS.items()} | {
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _run(q) for n, (q, _) in (PAIRS | FUNCTION_PAIRS).items()} | {
     "algo_weakly_connected": _algorithm("CALL weakly_connected_components('G') RETURN node, group_id AS component"),
-    "algo_strongly_connected": _algorithm("CALL strongly_connected_components('G') RETURN node, group_id AS component"),
+    "algo_strongly_connected": strongly_connected,
     "algo_page_rank": _algorithm("CALL page_rank('G') RETURN node, round(rank, 8) AS rank"),
     "algo_k_core": _algorithm("CALL k_core_decomposition('G') RETURN k_degree AS k, count(*) AS n"),
     "algo_label_propagation": _algorithm("CALL label_propagation('G') RETURN node, label_id"),
-    "algo_louvain": _algorithm("CALL louvain('G', maxphases := 2, maxiterations := 4) RETURN node, louvain_id"),
+    "algo_louvain": _algorithm("CALL louvain('G') RETURN node, louvain_id"),
     "load_from": load_from,
     "copy_from_and_match": copy_from_and_match,
     "create_set_delete": create_set_delete,
     "merge_counts": merge_counts,
+    "copy_to_parquet": _copied_to("parquet"),
+    "copy_to_csv": _copied_to("csv", " (HEADER=true)"),
+    "copy_to_json": _copied_to("json"),
+    "alter_table": alter_table,
+    "macro": macro,
+    "delete_rels": delete_rels,
+    "merge_rels": merge_rels,
     "text_search": text_search,
     "vector_search": vector_search,
+    "vector_index": vector_index,
 }
-ORACLES: dict[str, str] = {n: sql for n, (_, sql) in PAIRS.items() if sql} | {
+ORACLES: dict[str, str] = {n: sql for n, (_, sql) in (PAIRS | FUNCTION_PAIRS).items() if sql} | {
     "algo_weakly_connected": WCC_SQL,
-    "algo_strongly_connected": "SELECT c_custkey AS node, c_custkey AS component FROM customer",
+    "algo_strongly_connected": "SELECT c_custkey AS node, CASE WHEN count(*) OVER w = 4 THEN min(c_custkey) OVER w ELSE c_custkey END AS component FROM customer WINDOW w AS (PARTITION BY c_custkey // 4)",
     "load_from": "SELECT o_orderstatus AS s, count(*) AS n FROM orders WHERE o_totalprice > 200000 GROUP BY s",
     "copy_from_and_match": "SELECT n_name AS nation, count(*) AS n, round(sum(c_acctbal), 2) AS bal FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
     "create_set_delete": "SELECT c_nationkey AS nation, count(*) AS n, round(sum(c_acctbal + CASE WHEN c_nationkey = 3 THEN 1000 ELSE 0 END), 2) AS bal FROM (SELECT c_nationkey, c_acctbal FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT 4, 5.0) GROUP BY c_nationkey",
     "merge_counts": "SELECT * FROM (VALUES (1::BIGINT, 'met'), (2, 'met'), (-5, 'met')) t(id, name)",
-    "vector_search": "SELECT v.vec_id AS k, round(list_distance(v.embedding::DOUBLE[], w.embedding::DOUBLE[]), 3) AS d FROM embeddings v, embeddings w WHERE w.vec_id = 0 ORDER BY list_distance(v.embedding::DOUBLE[], w.embedding::DOUBLE[]), v.vec_id LIMIT 10",
+    "copy_to_parquet": COPIED_SQL,
+    "copy_to_csv": COPIED_SQL,
+    "copy_to_json": COPIED_SQL,
+    "alter_table": "SELECT n_name AS nation, 7 * count(*) AS ages, round(max(c_acctbal), 2) AS top FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
+    "macro": "SELECT p_partkey AS k, p_size * 2 + 10 AS x, p_size * 2 + 1 AS y FROM part",
+    "delete_rels": "SELECT n_name AS nation, count(*) AS n FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND c_acctbal <= 5000 GROUP BY n_name",
+    "merge_rels": "SELECT c_nationkey AS nation, count(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY nation",
+    "vector_search": "SELECT query, rank, k, round(d, 3) AS d FROM (SELECT w.vec_id AS query, v.vec_id AS k, list_distance(v.embedding::DOUBLE[], w.embedding::DOUBLE[]) AS d, row_number() OVER (PARTITION BY w.vec_id ORDER BY list_distance(v.embedding::DOUBLE[], w.embedding::DOUBLE[]), v.vec_id) AS rank FROM embeddings v, embeddings w WHERE w.vec_id % 50 = 0) WHERE rank <= 10",
+    "vector_index": "SELECT v.vec_id AS k, round(list_distance(v.embedding::DOUBLE[], w.embedding::DOUBLE[]), 3) AS d FROM embeddings v, embeddings w WHERE w.vec_id = 0 ORDER BY list_distance(v.embedding::DOUBLE[], w.embedding::DOUBLE[]), v.vec_id LIMIT 10",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from json import loads
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -129,7 +130,13 @@ def csv(session, paths: list[str], options: dict, headers: list | None) -> DataF
 
 
 def json(session, paths: list[str], options: dict, headers: list | None) -> DataFrame:
+    """An object a line, or files that are one array or object each: the first line that isn't empty tells."""
     whole = not re.search(r"\.(jsonl|ndjson)(\.gz)?$", paths[0].lower())
+    if whole and (line := session.spark.read.text(paths[0]).filter("trim(value) <> ''").first()):
+        try:
+            whole = not isinstance(loads(line["value"]), dict)
+        except ValueError:
+            pass
     return session.spark.read.option("multiLine", whole).json(paths)
 
 

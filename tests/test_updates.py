@@ -179,7 +179,7 @@ def test_python_api(spark, tmp_path):
     assert db.get_edges("N", 1)[0]["properties"] == {"w": 5}
     assert [r["id"] for r in db.search("NODE", ["N"])] == [0, 1]
     assert db.delete_node("N", 2) and len(db.get_nodes_by_type("N")) == 2
-    assert [r["action"] for r in db.log.get_history("N:2")] == ["create_node", "update_node", "delete_node"]
+    assert [r["action"] for r in db.log.get_history("N:2")] == ["delete_node", "update_node", "create_node"]
     assert db.log.count() == 6 and isinstance(db.log, AuditLog)
     a = GraphAlgorithms(db)
     assert a.shortest_path("N", "E", 0, 1) == [0, 1]
@@ -233,3 +233,13 @@ def test_strong_components_lose_no_node(spark):
         al.strongly_connected_components(spark.range(7), chain, 2)
     deep = spark.createDataFrame([(i, j) for i in range(6) for j in range(i + 1, 6)] + [(5, 6), (6, 7), (7, 6)], "src long, dst long")
     assert {r["id"]: r["component"] for r in al.strongly_connected_components(spark.range(8), deep).collect()} == {i: min(i, 6) for i in range(8)}
+
+
+def test_history_is_whole(spark):
+    """More entries of a target than the default limit of a query, newest first."""
+    log = AuditLog(Database(spark))
+    table = log.db.session.catalog.node(AuditLog.TABLE)
+    rows = [(i, "t", "me", f"a{i}", "N:1" if i % 2 else "N:2", "{}") for i in range(240)]
+    table.frame = spark.createDataFrame(rows, "id long, at string, actor string, action string, target string, detail string").select(*table.columns)
+    assert [r["action"] for r in log.get_history("N:1")] == [f"a{i}" for i in range(239, 0, -2)]
+    assert len(log.query(target="N:1")) == 100
