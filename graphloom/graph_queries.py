@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from graphloom.function_queries import FUNCTION_PAIRS
 from graphloom.operators.vector import nearest_of_all
 from graphloom.session import GraphSession
-from graphloom.storage import shared_dir
+from graphloom.storage import own_dir
 
 
 #: Declared, so that registering the tables reads no footer.
@@ -186,7 +186,7 @@ def _copied_to(suffix: str, options: str = "") -> Callable[[SparkSession, str],
     """A query's rows written to a file set of the shared folder, and read from there."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        g, path = graph(spark, sf_dir), f"{shared_dir(spark)}/copied-{uuid.uuid4().hex}.{suffix}"
+        g, path = graph(spark, sf_dir), f"{own_dir(spark)}/copied-{uuid.uuid4().hex}.{suffix}"
         g.query(f"COPY (MATCH (c:Customer)-[:LIVES_IN]->(n:Nation) RETURN c.c_custkey AS id, n.n_name AS nation, c.c_acctbal AS bal) TO '{path}'{options}")
         return g.query(f"LOAD FROM '{path}'{options} RETURN nation, count(*) AS n, round(sum(bal), 2) AS bal, max(id) AS top")
 

@@ -39,3 +39,12 @@ def test_nearest_of_all(spark, monkeypatch, metric):
     got = vector.nearest_of_all(frame.filter("id % 5 = 0 or id > 99"), frame, "id", "v", 4, metric)
     assert sorted((x["query"], x["rank"], x["neighbor"], round(x["distance"], 9)) for x in got.collect()) == brute([x for x in rows if x[0] is not None and (x[0] % 5 == 0 or x[0] > 99)], rows, 4, metric)
     assert vector.nearest_of_all(frame.limit(0), frame, "id", "v", 4, metric).count() == 0
+
+
+def test_staged_tables_can_be_cleared(spark):
+    from graphloom import storage
+
+    df = storage.staged(spark.range(5))
+    assert df.count() == 5 and storage.own_dir(spark) in df.inputFiles()[0]
+    storage.clear(spark)
+    assert storage.staged(spark.range(3)).count() == 3
