@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import decontaminate, html_extract, license_scan, line_dedup, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup, token_binary
-from graphloom.llm.common import shared_dir, table
+from graphloom.llm.common import table
 from graphloom.llm.word_ids import vocabulary
+from graphloom.storage import own_dir
 
 
 def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +19,7 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/tokens-{uuid.uuid4().hex}"
     token_binary.write_tokens(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"), 2)
     return token_binary.read_tokens(spark, path).drop("ids")
 

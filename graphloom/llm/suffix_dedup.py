@@ -286,18 +286,18 @@ def _joined(parts: pa.Array) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
-def _all_repeats(bodies: DataFrame, length: int, k: int, hot: int) -> DataFrame:
-    """(a, c, ranges) of contexts (a, c, n, body). The contexts of an anchor that has over `hot` of them are dealt out
+def _all_repeats(bodies: DataFrame, names: DataFrame, length: int, k: int, hot: int) -> DataFrame:
+    """(a, c, ranges) of contexts (a, c, n, body), which names has once each. The contexts of an anchor that has over `hot` of them are dealt out
     by longer anchors, in the end by the strings themselves, of which equal ones are one context."""
     if k >= length:
         return _repeats(bodies, length)
-    bodies = staged(bodies)
-    common = staged(bodies.groupBy("a").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > hot).select("a"))
+    common = staged(names.groupBy("a").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > hot).select("a"))
     if common.isEmpty():
         return _repeats(bodies, length)
+    bodies = staged(bodies)
     longer = min(length, k + max(1, (length - k + 1) // 2))
     parts = staged(_parts(bodies.join(common, "a", "left_semi"), length, longer))
-    again = _all_repeats(parts.groupBy("a", "c").agg(F.sum("n").alias("n"), F.first("body").alias("body")), length, longer, hot)
+    again = _all_repeats(parts.groupBy("a", "c").agg(F.sum("n").alias("n"), F.first("body").alias("body")), parts.select("a", "c").distinct(), length, longer, hot)
     back = parts.select("a", "c", "of_a", "of_c", "first").join(staged(again), ["a", "c"]).groupBy(F.col("of_a").alias("a"), F.col("of_c").alias("c"))
     back = back.agg(F.collect_list(F.struct("first", "ranges")).alias("parts")).select("a", "c", _joined("parts").alias("ranges"))  # at most a context's starts
     return _repeats(bodies.join(common, "a", "left_anti"), length).unionByName(back)
@@ -320,7 +320,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int =
     wanted = found.groupBy(F.col("at.doc").alias("doc"), F.col("at.th").alias("th")).agg(F.collect_list(F.struct("a", "c", "n", F.col("at.first").alias("first"), "size")).alias("wanted"))  # at most a document's contexts
     bodies = keyed.join(staged(wanted), ["doc", "th"]).select("text", F.explode("wanted").alias("w"))
     bodies = bodies.select("w.a", "w.c", "w.n", F.expr("substring(text, cast(w.first + 1 as int), w.size)").alias("body")).dropDuplicates(["a", "c"])
-    repeats = staged(_all_repeats(bodies, length, k, hot))
+    repeats = staged(_all_repeats(bodies, found, length, k, hot))
     spans = staged(again.join(repeats, ["a", "c"]).groupBy("doc", "th").agg(F.collect_set(F.struct("first", "ranges")).alias("spans")))
 
     @F.arrow_udf(SPANS)
