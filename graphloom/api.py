@@ -111,7 +111,7 @@ class Database:
     # ---- search and views
 
     def search(self, text: str, tables: list[str] | None = None, limit: int = 20) -> list[dict[str, Any]]:
-        """Nodes whose string properties contain the text, whatever its case."""
+        """Nodes whose string properties contain the text, whatever its case, by table and key."""
         out: list[dict[str, Any]] = []
         for t in self.session.catalog.nodes.values():
             if tables and t.name not in tables:
@@ -123,7 +123,7 @@ class Database:
             for c in cols:
                 one = F.contains(F.lower(F.col(f"`{c}`")), F.lit(text.lower()))
                 test = one if test is None else test | one
-            out += [{"_label": t.name, **r.asDict(recursive=True)} for r in t.frame.filter(test).limit(limit - len(out)).collect()]
+            out += [{"_label": t.name, **r.asDict(recursive=True)} for r in t.frame.filter(test).orderBy(F.col(f"`{t.key}`")).limit(limit - len(out)).collect()]
         return out
 
     def get_canvas_data(self) -> dict[str, list[dict[str, Any]]]:
