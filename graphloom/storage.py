@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: Paths of staged tables that haven't been removed.
+_MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,14 +36,34 @@ def own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/graphloom-{spark.sparkContext.applicationId}"
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Removes all tables that this application staged. Frames that read them can't be used after it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _remove(spark, own_dir(spark))
+    _MADE.clear()
 
 
 def staged(df: DataFrame) -> DataFrame:
     """df as a written table: its lineage ends there."""
     path = f"{own_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _MADE.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() gives as a written table. Tables that were staged on the way, which nothing else may read, are
+    removed, and a collection of garbage lets Spark's cleaner remove the shuffle files of what is done."""
+    since = len(_MADE)
+    out = staged(make())
+    spark = out.sparkSession
+    for path in _MADE[since:-1]:
+        _remove(spark, path)
+    del _MADE[since:-1]
+    gc.collect()
+    spark._jvm.System.gc()
+    return out
