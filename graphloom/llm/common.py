@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.dist import ship
-from graphloom.storage import staged
+from graphloom.storage import settled, staged
 
-__all__ = ["Memo", "as_bytes", "free", "mix", "release", "slices", "small_batches", "spare", "staged", "substring_hasher", "table", "texts"]
+__all__ = ["Memo", "as_bytes", "free", "mix", "release", "settled", "slices", "small_batches", "spare", "staged", "substring_hasher", "table", "texts"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

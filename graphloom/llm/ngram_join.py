@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import as_bytes, mix, release, slices, small_batches, staged, substring_hasher, texts
+from graphloom.llm.common import as_bytes, mix, release, settled, slices, small_batches, staged, substring_hasher, texts
 
 CELLS, CHUNKS, FRAGMENTS, MOST_BROADCAST = 1 << 20, 64, 4, 2_000_000
 #: 64-bit words of a set's parity sketch, and the most rounds in which groups meet one member each.
@@ -249,7 +249,7 @@ class Join:
         band = F.floor(F.log(F.col("n").cast("double")) / -math.log(self.threshold / 100)) if self.threshold < 100 else F.col("n")
         bands = F.array(band.cast("int"), band.cast("int") + 1) if self.threshold < 100 else F.array(band)
         members = self.meeting(rows.withColumn("label", F.col("c")), ["t"]).withColumn("b", F.explode(bands))
-        return staged(self.meeting(members, ["t", "b"]).select("t", "b", "n", "most", "c", "label"))
+        return self.meeting(members, ["t", "b"]).select("t", "b", "n", "most", "c", "label")
 
     def fitting(self, a: str, b: str) -> Column:
         """Whether sizes and places allow a link, between components."""
@@ -280,7 +280,7 @@ class Join:
 
     def relabelled(self, members: DataFrame, links: DataFrame) -> DataFrame:
         known = members.drop("label").join(components(links), "c", "left").withColumn("label", F.coalesce("label", "c"))
-        return staged(self.meeting(known, ["t", "b"]))
+        return self.meeting(known, ["t", "b"])
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs whose overlaps, counted fragment by fragment, sum to a link. The segments of b go to the
@@ -301,22 +301,24 @@ class Join:
         total = total.join(sizes.withColumnsRenamed({"c": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"c": "b", "n": "nb"}), "b")
         return total.filter(F.col("k") * 100 >= (F.col("na") + F.col("nb") - F.col("k")) * self.threshold).select("a", "b")
 
+    def fresh(self, pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
+        return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+
     def run(self) -> DataFrame:
-        members = self.groups()
+        members = settled(self.groups)
         self.sketches = staged(self.sketches.join(members.select("c").distinct(), "c"))
         links = tried = None
         paired = members.isEmpty()
         seed = 0
         while not paired:
             paired = seed == ROUNDS
-            pairs = self.across(members) if paired else self.stars(members, seed)
-            pairs = staged(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+            pairs = settled(lambda: self.fresh(self.across(members) if paired else self.stars(members, seed), tried))  # noqa: B023
             tried = pairs if tried is None else tried.unionByName(pairs)
-            new = staged(self.links(pairs))
+            new = settled(lambda: self.links(pairs))  # noqa: B023
             links = new if links is None else links.unionByName(new)
             if not paired:
                 waiting = members.agg(F.approx_count_distinct("c")).first()[0]
-                members = self.relabelled(members, links)
+                members = settled(lambda: self.relabelled(members, links))  # noqa: B023
                 paired = members.isEmpty()
                 seed = seed + 1 if new.count() * 100 > waiting else ROUNDS
         labelled = self.sets.filter("n > 0").withColumn("label", F.col("c"))

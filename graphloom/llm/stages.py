@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.dist import ship
 from graphloom.llm import decontaminate, line_dedup, ngram_join, packing, quality_classifier
-from graphloom.llm.common import free, small_batches, spare, staged, table
+from graphloom.llm.common import free, settled, small_batches, spare, table
 from graphloom.llm.word_ids import vocabulary
 
 
@@ -50,8 +50,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     or another row's too is judged by its own text."""
     ship(spark)
     small_batches(spark)
-    found = ngram_join.similar(_keyed(docs), words=5, threshold=80)
-    rows = staged(found.filter("n_shingles > 0").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("rows")).filter("rows > 1 or doc_id <> component_id"))
+
+    def verdicts() -> DataFrame:
+        found = ngram_join.similar(_keyed(docs), words=5, threshold=80).filter("n_shingles > 0")
+        return found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("rows")).filter("rows > 1 or doc_id <> component_id")
+
+    rows = settled(verdicts)
     once = _without(docs, rows)
     repeated = rows.filter("rows > 1 and doc_id = component_id")
     if repeated.isEmpty():
@@ -63,7 +67,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go, each judged by its own text as above."""
     ship(spark)
     small_batches(spark)
-    return _without(docs, staged(decontaminate.leaks(_keyed(docs), table(spark, sf_dir, "benchmark")).select("doc_id").distinct()))
+    return _without(docs, settled(lambda: decontaminate.leaks(_keyed(docs), table(spark, sf_dir, "benchmark")).select("doc_id").distinct()))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
