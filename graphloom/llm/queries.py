@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontaminate, html_extract, license_scan, line_dedup, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup, token_binary
+from graphloom.llm import decontaminate, filter_audit, html_extract, license_scan, line_dedup, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup, token_binary
 from graphloom.llm.common import table
 from graphloom.llm.word_ids import vocabulary
 from graphloom.storage import own_dir
@@ -67,6 +67,11 @@ def op10_lsa_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each source, order of the five filters, and step."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OP5_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
@@ -121,5 +126,37 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_w
 FROM base
 """
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_simple8b, op3_license_scan, op4_suffix_dedup, op5_line_dedup, op6_quality_rules, op7_ngram_join, op8_rff_quality, op9_kk_packing, op10_lsa_decontamination)}
-ORACLES = {"op5_line_dedup": OP5_SQL, "op6_quality_rules": OP6_SQL}
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) < doc_id AS again FROM d
+), marks AS (
+  SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id
+), f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         concat(CASE WHEN len(ws) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' END,
+                CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' END,
+                CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END, CASE WHEN again THEN 'E' END) AS fs
+  FROM w LEFT JOIN marks ON w.doc_id = marks.doc_id
+), l(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')), o AS (
+  SELECT concat(a.x, b.x, c.x, d.x, e.x) AS filter_order FROM l a, l b, l c, l d, l e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), r AS (
+  SELECT part, filter_order, s::INT AS step, good, toxic, fs, substr(filter_order, s::INT, 1) AS letter,
+         length(translate(substr(filter_order, 1, s::INT - 1), fs, '')) = s - 1 AS reached
+  FROM f, o, (VALUES (1), (2), (3), (4), (5)) t(s)
+), c AS (
+  SELECT part, filter_order, step, any_value(letter) AS letter,
+         count(*) FILTER (WHERE reached AND NOT contains(fs, letter)) AS kept, count(*) FILTER (WHERE reached AND contains(fs, letter)) AS removed,
+         count(*) FILTER (WHERE NOT reached AND contains(fs, letter)) AS redundant, count(*) FILTER (WHERE fs = letter) AS unique_fails,
+         count(*) FILTER (WHERE reached AND contains(fs, letter) AND good) AS good_lost, count(*) FILTER (WHERE reached AND contains(fs, letter) AND toxic) AS toxic_lost
+  FROM r GROUP BY part, filter_order, step
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       sum(removed) OVER (PARTITION BY part, letter)::BIGINT AS shapley
+FROM c
+"""
+
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_simple8b, op3_license_scan, op4_suffix_dedup, op5_line_dedup, op6_quality_rules, op7_ngram_join, op8_rff_quality, op9_kk_packing, op10_lsa_decontamination, op13_filter_audit)}
+ORACLES = {"op5_line_dedup": OP5_SQL, "op6_quality_rules": OP6_SQL, "op13_filter_audit": OP13_SQL}
