@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontaminate, filter_audit, html_extract, license_scan, line_dedup, ngram_join, packing, quality_classifier, quality_rules, simhash_join, suffix_dedup, token_binary
+from graphloom.llm import alignment, decontaminate, filter_audit, html_extract, license_scan, line_dedup, ngram_join, packing, quality_classifier, quality_rules, simhash_join, suffix_dedup, token_binary
 from graphloom.llm.common import table
 from graphloom.llm.word_ids import vocabulary
 from graphloom.storage import own_dir
@@ -71,6 +71,10 @@ def op11_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_join.near_copies(table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))[0]
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each source, order of the five filters, and step."""
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -162,5 +166,5 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 FROM c
 """
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_simple8b, op3_license_scan, op4_suffix_dedup, op5_line_dedup, op6_quality_rules, op7_ngram_join, op8_rff_quality, op9_kk_packing, op10_lsa_decontamination, op11_simhash_trie, op13_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_simple8b, op3_license_scan, op4_suffix_dedup, op5_line_dedup, op6_quality_rules, op7_ngram_join, op8_rff_quality, op9_kk_packing, op10_lsa_decontamination, op11_simhash_trie, op12_token_alignment, op13_filter_audit)}
 ORACLES = {"op5_line_dedup": OP5_SQL, "op6_quality_rules": OP6_SQL, "op13_filter_audit": OP13_SQL}
