@@ -14,7 +14,8 @@ Two documents link when their n-gram sets A, B have 100 |A and B| >= threshold |
    parity sketches of the sets, which bound their difference from below, allow a link.
 4. Verification: the global order is cut at FRAGMENTS - 1 pivots of equal weight. Each fragment counts the overlap of
    a pair's segments there, and the counts are summed by pair.
-5. Components by alternating large-star and small-star steps; every step's edges are a written table.
+5. Components by alternating large-star and small-star steps; every step's edges are a written table. Up to REST links
+   are left to one task.
 
 Odds: two of N different sets share their class hash with N^2 / 2^65.
 
@@ -41,6 +42,8 @@ from graphloom.llm.common import as_bytes, mix, release, settled, slices, small_
 CELLS, CHUNKS, FRAGMENTS, MOST_BROADCAST = 1 << 20, 64, 4, 2_000_000
 #: 64-bit words of a set's parity sketch, and the most rounds in which groups meet one member each.
 SKETCH, ROUNDS = 8, 4
+#: Links whose components one task finds; pairs of a class that meet in one task.
+REST, SHARE = 1 << 18, 1000
 U64 = np.uint64
 ODD = U64(0x9E3779B97F4A7C15)
 
@@ -206,25 +209,32 @@ def _postings(docs: DataFrame, words: int, threshold: int, order) -> DataFrame:
 
 
 def _segments(docs: DataFrame, words: int, order, leads: bool) -> DataFrame:
-    """(a, f, c, tokens): the n-grams of class c that are in fragment f, for its pairs of least class a: of a itself if
-    leads, else of each other member of its pairs. docs: text, and the wanted c, lead, partners."""
+    """(a, salt, f, c, tokens): the n-grams of class c that are in fragment f, for its pairs of least class a: of a itself
+    if leads, once for each of its salts, else of each other member of its pairs. docs: text, and the wanted c, salts,
+    partners."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few(batches):
             rows = []
-            for tokens, c, partners in zip(shingle_sets(as_bytes(batch.column("text")), words), batch.column("c").to_pylist(), batch.column("partners").to_pylist(), strict=True):
+            for tokens, c, salts, partners in zip(shingle_sets(as_bytes(batch.column("text")), words), *(batch.column(x).to_pylist() for x in ("c", "salts", "partners")), strict=True):
                 if class_of(tokens) != c:  # another text of the same doc_id
                     continue
                 at = np.searchsorted(order.value.pivots, order.value.keys(tokens), side="right")
                 for f in np.unique(at).tolist():
                     own = tokens[at == f].view(np.int64)
-                    rows += [(a, f, c, own) for a in ([c] if leads else partners or ())]
-            for i in range(0, len(rows), 2000):
-                a, f, c, own = zip(*rows[i : i + 2000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(f, pa.int32()), pa.array(c, pa.int64()), pa.array(own, pa.list_(pa.int64()))], names=["a", "f", "c", "tokens"])
+                    rows += [(c, s, f, c, own) for s in range(salts)] if leads else [(p["a"], p["salt"], f, c, own) for p in partners]
+                    if len(rows) >= 2000:
+                        yield from made(rows)
+                        rows = []
+            yield from made(rows)
 
-    chosen = docs.filter("lead") if leads else docs.filter("partners is not null")
-    return chosen.select("text", "c", "partners").mapInArrow(run, "a long, f int, c long, tokens array<long>")
+    def made(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(rows), 2000):
+            a, s, f, c, own = zip(*rows[i : i + 2000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(s, pa.int64()), pa.array(f, pa.int32()), pa.array(c, pa.int64()), pa.array(own, pa.list_(pa.int64()))], names=["a", "salt", "f", "c", "tokens"])
+
+    chosen = docs.filter("salts is not null") if leads else docs.filter("partners is not null")
+    return chosen.select("text", "c", "salts", "partners").mapInArrow(run, "a long, salt long, f int, c long, tokens array<long>")
 
 
 class Join:
@@ -282,22 +292,30 @@ class Join:
         known = members.drop("label").join(components(links), "c", "left").withColumn("label", F.coalesce("label", "c"))
         return self.meeting(known, ["t", "b"])
 
-    def links(self, pairs: DataFrame) -> DataFrame:
+    def links(self, pairs: DataFrame, many: bool) -> DataFrame:
         """Those of the pairs whose overlaps, counted fragment by fragment, sum to a link. The segments of b go to the
-        fragments of a at once: a text's n-grams are shuffled once for each of its pairs, and never written besides."""
-        partners = pairs.groupBy(F.col("b").alias("c")).agg(F.collect_list("a").alias("partners"))
-        heads = pairs.select(F.col("a").alias("c")).distinct().withColumn("lead", F.lit(True))
-        both = partners.join(heads, "c", "full")
-        wanted = staged(self.sets.groupBy("c", "n").agg(F.min("doc_id").alias("_id")).join(both, "c").withColumn("lead", F.coalesce("lead", F.lit(False))))
-        side = wanted.select("_id", "c", "lead", "partners")
-        size = wanted.agg(F.sum(F.lit(4) + F.coalesce(F.size("partners"), F.lit(0)))).first()[0] or 0
+        fragments of a at once: a text's n-grams are shuffled once for each of its pairs, and never written besides. A
+        class a of many pairs is cut by salts of b, SHARE pairs to a salt, so its fragments spread over tasks; if a class b
+        may have many (not in rounds, where its n-grams bound them), so are its partners."""
+        cut = lambda n: F.ceil(n / F.lit(SHARE))
+        heads = staged(pairs.groupBy("a").agg(cut(F.count(F.lit(1))).alias("salts")))
+        salted = pairs.join(heads, "a").withColumn("salt", F.pmod(F.xxhash64("b"), "salts")).drop("salts")
+        own = [F.col("b").alias("c")]
+        if many:
+            salted = salted.join(pairs.groupBy("b").agg(cut(F.count(F.lit(1))).alias("k")), "b")
+            own.append(F.pmod(F.xxhash64("a"), "k").alias("k"))
+        partners = salted.groupBy(*own).agg(F.collect_list(F.struct("a", "salt")).alias("partners")).select("c", F.lit(None).cast("long").alias("salts"), "partners")
+        both = partners.unionByName(heads.select(F.col("a").alias("c"), "salts", F.lit(None).cast("array<struct<a:long,salt:long>>").alias("partners")))
+        wanted = staged(self.sets.groupBy("c", "n").agg(F.min("doc_id").alias("_id")).join(both, "c"))
+        side = wanted.select("_id", "c", "salts", "partners")
+        size = wanted.agg(F.sum(F.lit(4) + F.coalesce(F.size("partners") * 2, F.lit(0)))).first()[0] or 0
         side = F.broadcast(side) if size <= MOST_BROADCAST else side
         chosen = self.docs.join(side, F.col("doc_id").eqNullSafe(F.col("_id")))
-        left = _segments(chosen, self.words, self.order, True).select("a", "f", F.col("tokens").alias("a_tokens"))
-        right = _segments(chosen, self.words, self.order, False).select("a", "f", F.col("c").alias("b"), F.col("tokens").alias("b_tokens"))
-        partial = left.join(right, ["a", "f"]).select("a", "b", "f", F.size(F.array_intersect("a_tokens", "b_tokens")).alias("k"))
-        total = partial.groupBy("a", "b", "f").agg(F.max("k").alias("k")).groupBy("a", "b").agg(F.sum("k").alias("k"))
-        sizes = wanted.select("c", "n")
+        left = _segments(chosen, self.words, self.order, True).select("a", "salt", "f", F.col("tokens").alias("a_tokens"))
+        right = _segments(chosen, self.words, self.order, False).select("a", "salt", "f", F.col("c").alias("b"), F.col("tokens").alias("b_tokens"))
+        partial = left.join(right, ["a", "salt", "f"]).select("a", "salt", "b", "f", F.size(F.array_intersect("a_tokens", "b_tokens")).alias("k"))
+        total = partial.groupBy("a", "salt", "b", "f").agg(F.max("k").alias("k")).groupBy("a", "b").agg(F.sum("k").alias("k"))
+        sizes = wanted.select("c", "n").distinct()
         total = total.join(sizes.withColumnsRenamed({"c": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"c": "b", "n": "nb"}), "b")
         return total.filter(F.col("k") * 100 >= (F.col("na") + F.col("nb") - F.col("k")) * self.threshold).select("a", "b")
 
@@ -314,7 +332,7 @@ class Join:
             paired = seed == ROUNDS
             pairs = settled(lambda: self.fresh(self.across(members) if paired else self.stars(members, seed), tried))  # noqa: B023
             tried = pairs if tried is None else tried.unionByName(pairs)
-            new = settled(lambda: self.links(pairs))  # noqa: B023
+            new = settled(lambda: self.links(pairs, paired))  # noqa: B023
             links = new if links is None else links.unionByName(new)
             if not paired:
                 waiting = members.agg(F.approx_count_distinct("c")).first()[0]
@@ -329,8 +347,33 @@ class Join:
         return whole.unionByName(self.sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(c, label) of every linked class; label is the least class of its component."""
+def least_of(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges (u, v), sorted, and the least node of each one's component."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v = at[: len(u)], at[len(u) :]
+    top = np.arange(len(nodes))
+    while True:
+        x, y = top[u], top[v]
+        apart = np.flatnonzero(x != y)
+        if not len(apart):
+            return nodes, nodes[top]
+        x, y = x[apart], y[apart]
+        np.minimum.at(top, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := top[top], top):
+            top = up
+
+
+def components(links: DataFrame, rest: int = REST) -> DataFrame:
+    """(c, label) of every linked class; label is the least class of its component. Up to `rest` links, a bounded few
+    megabytes, are read by one task; more are contracted by steps of stars."""
+    if links.count() <= rest:
+
+        def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in least_of(*(np.concatenate(x) for x in zip(*parts, strict=True)))], names=["c", "label"])
+
+        return links.select("a", "b").coalesce(1).mapInArrow(labelled, "c long, label long")
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
         if large:

@@ -239,7 +239,7 @@ def near_copies(docs: DataFrame, words: int = WORDS, errors: int = ERRORS, cell:
         return ahead.unionByName(swapped).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     found = settled(links)
-    labelled = known.join(components(found).withColumnRenamed("c", "f"), "f", "left").withColumn("label", F.coalesce("label", "f"))
+    labelled = staged(known.join(components(found).withColumnRenamed("c", "f"), "f", "left").withColumn("label", F.coalesce("label", "f")))
     first = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     ids = labelled.join(first, "label").select("f", "component_id")
     return rows.join(ids, "f").select("doc_id", F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id")

@@ -6,7 +6,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from graphloom.llm.ngram_join import class_of, components, shingle_sets, similar
+from graphloom.llm import ngram_join
+from graphloom.llm.ngram_join import class_of, components, least_of, shingle_sets, similar
 from graphloom.llm.suffix_dedup import remove_repeats, repeated_starts
 
 
@@ -118,4 +119,32 @@ def test_similar_empty(frame):
 
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (100, 102)], "a long, b long")
-    assert dict(map(tuple, components(links).collect())) == dict.fromkeys(range(41), 0) | dict.fromkeys((100, 101, 102), 100)
+    for rest in (0, 10, 1000):
+        assert dict(map(tuple, components(links, rest).collect())) == dict.fromkeys(range(41), 0) | dict.fromkeys((100, 101, 102), 100)
+    assert components(links.limit(0)).count() == 0
+
+
+@given(st.lists(st.tuples(st.integers(-20, 20), st.integers(-20, 20)), min_size=1, max_size=40))
+def test_least_of(edges):
+    label = {x: x for e in edges for x in e}
+    for _ in edges:
+        for u, v in edges:
+            label[u] = label[v] = min(label[u], label[v])
+    u, v = (np.array(x) for x in zip(*edges, strict=True))
+    assert dict(zip(*(x.tolist() for x in least_of(u, v)), strict=True)) == label
+
+
+def test_a_star_of_near_copies(frame, monkeypatch):
+    """One text and 5,000 near copies of it, each with a change of its own, with few pairs to a salt."""
+    monkeypatch.setattr(ngram_join, "SHARE", 100)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 5001):
+        at = i % 150
+        rows.append((i, " ".join([*base[:at], f"x{i}", *base[at + 1 :]])))
+    rows += [(9000 + i, " ".join(f"y{i}_{j}" for j in range(20))) for i in range(50)]
+    for rounds in (4, 0):
+        monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+        some = rows if rounds else rows[:300] + rows[-50:]
+        got = similar(frame(some), words=3, threshold=90)
+        assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {d: 0 if d < 9000 else d for d, _ in some}
