@@ -1,4 +1,4 @@
-"""Catalogue: tables as DataFrames with their schema, and the other named things. Snapshots are copies of the dicts."""
+"""Catalogue: tables as versions with their schema, and the other named things. A snapshot shares the versions."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from graphloom.errors import CatalogError
+from graphloom.versions import Frames, Version, copied
 
 
 @dataclass
@@ -17,13 +18,25 @@ class NodeTable:
     name: str
     key: str
     columns: dict[str, T.DataType]
-    frame: DataFrame
+    data: Version | DataFrame | None
     types: dict[str, str] = field(default_factory=dict)  # as declared
     defaults: dict[str, Any] = field(default_factory=dict)  # expressions
     serial: set = field(default_factory=set)
     comment: str = ""
     foreign: bool = False
 
+    def __post_init__(self) -> None:
+        if not isinstance(self.data, Version):
+            self.data = Version(self.data)
+
+    @property
+    def frame(self) -> DataFrame:
+        return self.data.frame(self.key)
+
+    @frame.setter
+    def frame(self, frame: DataFrame) -> None:
+        self.data = Version(frame)
+
     @property
     def key_type(self) -> T.DataType:
         return self.columns[self.key]
@@ -36,13 +49,16 @@ class RelTable:
     name: str
     pairs: list[tuple[str, str]]
     columns: dict[str, T.DataType]
-    frames: dict[tuple[str, str], DataFrame]
+    frames: Frames | dict[tuple[str, str], DataFrame]
     types: dict[str, str] = field(default_factory=dict)
     defaults: dict[str, Any] = field(default_factory=dict)
     multiplicity: str = "MANY_MANY"
     comment: str = ""
     foreign: bool = False
 
+    def __setattr__(self, name: str, value) -> None:
+        super().__setattr__(name, Frames(value) if name == "frames" and not isinstance(value, Frames) else value)
+
 
 @dataclass
 class Sequence:
@@ -89,9 +105,7 @@ class Catalog:
     def snapshot(self) -> Catalog:
         out = copy.copy(self)
         for name in ("nodes", "rels", "sequences", "macros", "types", "indexes", "graphs"):
-            setattr(out, name, {k: copy.copy(v) for k, v in getattr(self, name).items()})
-        for rel in out.rels.values():
-            rel.frames, rel.pairs = dict(rel.frames), list(rel.pairs)
+            setattr(out, name, {k: copied(v) for k, v in getattr(self, name).items()})
         return out
 
     @staticmethod

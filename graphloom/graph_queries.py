@@ -176,6 +176,47 @@ def create_set_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.query("MATCH (c:C)-[:L]->(n:N) RETURN n.id AS nation, count(*) AS n, round(sum(c.bal), 2) AS bal")
 
 
+def set_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row that several rows of a query set has the value of the last of them."""
+    g = graph(spark, sf_dir)
+    g.query("MATCH (n:Nation)<-[:LIVES_IN]-(c:Customer) UNWIND [n.n_nationkey, n.n_regionkey, -1, n.n_nationkey * 2] AS x SET c.c_nationkey = x")
+    return g.query("MATCH (c:Customer) RETURN c.c_nationkey AS nation, count(*) AS n, round(sum(c.c_acctbal), 2) AS bal")
+
+
+def merged_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sessions change other rows of one table, each in a transaction of its own; both commit."""
+    a = graph(spark, sf_dir)
+    b = a.connect()
+    for session, text in ((a, "MATCH (c:Customer) WHERE c.c_acctbal < 0 DETACH DELETE c"), (b, "MATCH (c:Customer) WHERE c.c_acctbal > 5000 SET c.c_acctbal = 5000.0")):
+        session.query("BEGIN TRANSACTION")
+        session.query(text)
+    a.query("COMMIT")
+    b.query("COMMIT")
+    return a.connect().query("MATCH (c:Customer)-[:LIVES_IN]->(n:Nation) RETURN n.n_name AS nation, count(*) AS n, round(sum(c.c_acctbal), 2) AS bal")
+
+
+def snapshot_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a transaction sees that began before another session's changes, and what one sees after them."""
+    old = graph(spark, sf_dir)
+    old.query("BEGIN TRANSACTION READ ONLY")
+    new = old.connect()
+    new.query("MATCH (c:Customer)-[:LIVES_IN]->(n:Nation) WHERE n.n_regionkey = 1 DETACH DELETE c")
+    new.query("MATCH (s:Supplier)-[:BASED_IN]->(n:Nation) CREATE (c:Customer {c_custkey: -1 - s.s_suppkey, c_name: s.s_name, c_nationkey: s.s_nationkey, c_acctbal: s.s_acctbal})-[:LIVES_IN]->(n)")
+    text = "MATCH (c:Customer)-[:LIVES_IN]->(n:Nation) RETURN '{}' AS seen, n.n_name AS nation, count(*) AS n, min(c.c_custkey) AS least"
+    return old.query(text.format("before")).unionByName(new.query(text.format("after")))
+
+
+def folded_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes upon changes of the same rows, folded by a checkpoint, and more of them."""
+    g = graph(spark, sf_dir)
+    for segment in ("BUILDING", "MACHINERY", "HOUSEHOLD"):
+        g.query("MATCH (c:Customer) WHERE c.c_mktsegment = $s SET c.c_acctbal = c.c_acctbal * 2, c.c_mktsegment = 'SET'", {"s": segment})
+    g.query("MATCH (c:Customer) WHERE c.c_mktsegment = 'SET' AND c.c_acctbal < 0 DETACH DELETE c")
+    g.query("CHECKPOINT")
+    g.query("MATCH (c:Customer) WHERE c.c_mktsegment = 'SET' AND c.c_acctbal > 15000 SET c.c_mktsegment = 'TOP'")
+    return g.query("MATCH (c:Customer)-[:LIVES_IN]->(n:Nation) RETURN c.c_mktsegment AS segment, count(*) AS n, round(sum(c.c_acctbal), 2) AS bal")
+
+
 def merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _customers_copied(spark, sf_dir)
     g.query("UNWIND [1, 2, 2, -5, -5] AS x MERGE (c:C {id: x}) ON CREATE SET c.name = 'made' ON MATCH SET c.name = 'met'")
@@ -255,6 +296,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _run(q) for n
     "load_from": load_from,
     "copy_from_and_match": copy_from_and_match,
     "create_set_delete": create_set_delete,
+    "set_last_wins": set_last_wins,
+    "merged_commits": merged_commits,
+    "snapshot_reads": snapshot_reads,
+    "folded_changes": folded_changes,
     "merge_counts": merge_counts,
     "copy_to_parquet": _copied_to("parquet"),
     "copy_to_csv": _copied_to("csv", " (HEADER=true)"),
@@ -273,6 +318,17 @@ ORACLES: dict[str, str] = {n: sql for n, (_, sql) in (PAIRS | FUNCTION_PAIRS).it
     "load_from": "SELECT o_orderstatus AS s, count(*) AS n FROM orders WHERE o_totalprice > 200000 GROUP BY s",
     "copy_from_and_match": "SELECT n_name AS nation, count(*) AS n, round(sum(c_acctbal), 2) AS bal FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
     "create_set_delete": "SELECT c_nationkey AS nation, count(*) AS n, round(sum(c_acctbal + CASE WHEN c_nationkey = 3 THEN 1000 ELSE 0 END), 2) AS bal FROM (SELECT c_nationkey, c_acctbal FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT 4, 5.0) GROUP BY c_nationkey",
+    "set_last_wins": "SELECT c_nationkey * 2 AS nation, count(*) AS n, round(sum(c_acctbal), 2) AS bal FROM customer GROUP BY c_nationkey",
+    "merged_commits": "SELECT n_name AS nation, count(*) AS n, round(sum(least(c_acctbal, 5000)), 2) AS bal FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal >= 0 GROUP BY n_name",
+    "snapshot_reads": """WITH c AS (
+        SELECT 'before' AS seen, c_custkey AS k, c_nationkey AS nk FROM customer
+        UNION ALL SELECT 'after', c_custkey, c_nationkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey <> 1
+        UNION ALL SELECT 'after', -1 - s_suppkey, s_nationkey FROM supplier)
+        SELECT seen, n_name AS nation, count(*) AS n, min(k) AS least FROM c JOIN nation ON nk = n_nationkey GROUP BY seen, n_name""",
+    "folded_changes": """WITH c AS (
+        SELECT c_mktsegment IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD') AS changed, c_mktsegment AS m, c_acctbal AS b FROM customer
+        ), d AS (SELECT CASE WHEN NOT changed THEN m WHEN b * 2 > 15000 THEN 'TOP' ELSE 'SET' END AS segment, CASE WHEN changed THEN b * 2 ELSE b END AS bal FROM c WHERE NOT (changed AND b < 0))
+        SELECT segment, count(*) AS n, round(sum(bal), 2) AS bal FROM d GROUP BY segment""",
     "merge_counts": "SELECT * FROM (VALUES (1::BIGINT, 'met'), (2, 'met'), (-5, 'met')) t(id, name)",
     "copy_to_parquet": COPIED_SQL,
     "copy_to_csv": COPIED_SQL,

@@ -16,6 +16,7 @@ from graphloom.plans.scope import State
 from graphloom.sources.scan import scan
 from graphloom.storage import staged
 from graphloom.types import KEYS, type_name
+from graphloom.versions import checkpoint
 
 WRITES = frozenset("create_type create_macro create_graph create_index create_node_table create_node_table_as create_rel_table create_sequence alter drop comment copy_from import".split())
 
@@ -219,8 +220,8 @@ def do_drop(session, kind, name, if_exists):
         raise BindError(f"{kind} {name} does not exist")
     if kind == "sequence" and found.endswith("_serial"):
         raise BindError(f"sequence {found} belongs to a SERIAL column")
-    if kind == "graph" and entries[found] is session.catalog:
-        session.catalog = session.main
+    if kind == "graph" and found == session.used:
+        session.used = None
     del entries[found]
     return f"{kind} {found} has been dropped"
 
@@ -297,19 +298,19 @@ def do_create_graph(session, name, any, if_missing):  # noqa: A002
         made.sequences["_nodes_id_serial"] = Sequence("_nodes_id_serial", 0, 1, 0, 2**63 - 1, False)
         edge = RelTable("_edges", [("_nodes", "_nodes")], {"label": T.StringType(), "data": T.StringType()}, {}, {"label": "STRING", "data": "JSON"})
         made.rels["_edges"] = edge
-        outer, session.catalog = session.catalog, made
+        outer, session.used = session.used, name
         edge.frames[("_nodes", "_nodes")] = empty(session, rel_schema(session, edge, ("_nodes", "_nodes")))
-        session.catalog = outer
+        session.used = outer
     return f"graph {name} has been created"
 
 
 def do_use_graph(session, name):
     if name.lower() == "main":
-        session.catalog = session.main
+        session.used = None
         return "used graph main"
     if name not in session.databases:
         raise BindError(f"no graph named {name}")
-    session.catalog = session.databases[name]
+    session.used = name
     return f"used graph {name}"
 
 
@@ -322,8 +323,8 @@ def do_attach(session, path, alias, options):
     name = alias or path.rstrip("/").rsplit("/", 1)[-1].split(".")[0]
     if name in session.databases:
         raise BindError(f"duplicate attached database name: {name}")
-    made = Catalog()
-    outer, session.catalog = session.catalog, made
+    session.databases[name] = made = Catalog()
+    outer, session.used = session.used, name
     try:
         if kind in ("postgres", "sqlite", "duckdb", "jdbc"):
             url = path if path.startswith("jdbc:") else f"jdbc:{'postgresql' if kind == 'postgres' else kind}:{path}"
@@ -336,53 +337,54 @@ def do_attach(session, path, alias, options):
                 made.nodes[table] = NodeTable(table, frame.columns[0], {f.name: f.dataType for f in frame.schema}, frame, foreign=True)
         else:
             do_import(session, path)
+    except BaseException:
+        del session.databases[name]
+        raise
     finally:
-        session.catalog = outer
-    session.databases[name] = made
+        session.used = outer
     return "attached database successfully"
 
 
 def do_detach(session, name):
     if name not in session.databases:
         raise BindError(f"database: {name} does not exist")
-    if session.databases[name] is session.catalog:
-        session.catalog = session.main
+    if name == session.used:
+        session.used = None
     del session.databases[name]
     return "detached database successfully"
 
 
 def do_begin(session, read_only):
-    if session.saved is not None:
+    if session.explicit:
         raise RunError("connection already has an active transaction; it must be committed or rolled back")
-    session.saved, session.read_only = session.catalog.snapshot(), read_only
+    session.begin(explicit=True, read_only=read_only)
     return "transaction begun"
 
 
-def _end(session) -> Catalog:
-    if session.saved is None:
+def _open(session) -> None:
+    if not session.explicit:
         raise RunError("no active transaction")
-    saved, session.saved, session.read_only = session.saved, None, False
-    return saved
 
 
 def do_commit(session):
-    _end(session)
+    _open(session)
+    session.commit()
     return "committed"
 
 
 def do_rollback(session):
-    saved = _end(session)
-    if session.catalog is session.main:
-        session.main = saved
-    else:
-        session.databases = {k: saved if v is session.catalog else v for k, v in session.databases.items()}
-    session.catalog = saved
+    _open(session)
+    session.rollback()
     return "rolled back"
 
 
 def do_checkpoint(session):
-    if session.saved is not None:
+    if session.explicit:
         raise RunError("cannot checkpoint within a transaction")
+    with session.shared.lock:
+        if session.shared.open:
+            raise RunError("cannot checkpoint while other sessions have open transactions")
+        checkpoint(session.shared.catalog)
     return "checkpoint done"
 
 
@@ -473,9 +475,7 @@ def _load_nodes(session, t: NodeTable, df: DataFrame, columns, options):
         _warn(session, rows.filter(key.isNull()).select(F.lit("found NULL as primary key").alias("message")))
         _warn(session, rows.filter(key.isNotNull()).groupBy(key.alias("k")).count().filter("count > 1").select(F.concat(F.lit("found duplicated primary key value "), F.col("k").cast("string")).alias("message")))
         rows = good
-    before = t.frame.count()
-    put_nodes(t, rows)
-    return f"{t.frame.count() - before} tuples have been copied to the {t.name} table"
+    return f"{put_nodes(t, rows)} tuples have been copied to the {t.name} table"
 
 
 def _warn(session, messages: DataFrame) -> None:
@@ -503,9 +503,9 @@ def _load_rels(session, t: RelTable, pair, df: DataFrame, names: list[str], opti
             raise RunError(f"unable to find primary key value {lost[0][end]}")
     if bad is not None:
         rows = rows.join(bad.distinct(), "_eid", "left_anti")
-    n = rows.count()
+    rows = staged(rows) if bad is not None else rows
     put_rels(session, t, pair, rows)
-    return f"{n} tuples have been copied to the {t.name} table"
+    return f"{rows.count()} tuples have been copied to the {t.name} table"
 
 
 def write(session, df: DataFrame, path: str, options: dict) -> None:

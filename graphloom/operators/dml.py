@@ -11,8 +11,9 @@ from graphloom.errors import BindError, RunError
 from graphloom.operators.tables import declared, numbered, put_nodes, put_rels
 from graphloom.parser import ast as A
 from graphloom.plans.expressions import Compiler
-from graphloom.plans.scope import Binding, State, fresh
+from graphloom.plans.scope import ORDER, Binding, State, fresh
 from graphloom.storage import staged
+from graphloom.versions import Version, matching
 
 
 def update(runner, state: State, c) -> State:
@@ -28,9 +29,14 @@ def update(runner, state: State, c) -> State:
 
 
 def fixed(state: State) -> State:
-    """The state's rows written, so later changes of tables don't touch them."""
-    df = state.df if state.df.columns else state.df.withColumn(fresh("x"), F.lit(1))
-    return State(staged(df), state.scope)
+    """The state's rows written and numbered, so later changes of tables don't touch them."""
+    return State(staged(state.df.withColumn(fresh(ORDER), F.monotonically_increasing_id())), state.scope)
+
+
+def order_of(df: DataFrame) -> F.Column:
+    """A row's place: that of its UNWIND values and then of its row, outer clauses first."""
+    own = sorted((c for c in df.columns if c.startswith(f"__{ORDER}")), key=lambda c: int(c.removeprefix(f"__{ORDER}")))
+    return F.struct(*own)
 
 
 def _names(paths: list) -> dict[int, str]:
@@ -62,7 +68,7 @@ def create(session, state: State, paths: list[A.Path], names: dict | None = None
     state = State(staged(df), {**state.scope, **new})
     for v, n in nodes.items():
         table, b = session.catalog.node(n.labels[0]), new[v]
-        put_nodes(table, state.df.select(*(F.col(b.props[p]).alias(p) for p in table.columns)))
+        put_nodes(table, state.df.select(*(F.col(b.props[p]).alias(p) for p in table.columns)), written=True)
     for v, r, a, z in rels:
         if r.direction == "in":
             a, z = z, a
@@ -141,30 +147,43 @@ def set_props(session, state: State, items: list) -> State:
             owner = next(t for t in tables if p in t.columns)
             cols[p] = (fresh("n"), declared(session, owner, p, e.col, e.type))
         df = staged(state.df.withColumns(dict(cols.values())))
-        rows = df.filter(F.col(b.key).isNotNull()).select(F.col(b.key).alias("__k"), F.col(b.label).alias("__l"), *(F.col(n).alias(f"__v_{p}") for p, (n, _) in cols.items())).dropDuplicates(["__k", "__l"])
+        values = F.struct(*(F.col(n).alias(f"__v_{p}") for p, (n, _) in cols.items()))
+        last = df.filter(F.col(b.key).isNotNull()).groupBy(F.col(b.key).alias("__k"), F.col(b.label).alias("__l")).agg(F.max_by(values, order_of(df)).alias("v"))
+        rows = staged(last.select("__k", "__l", "v.*"))
         for name in b.labels:
-            _rewrite(session, session.catalog.table(name), rows.filter(F.col("__l") == name).drop("__l"), {p: f"__v_{p}" for p in cols})
+            _rewrite(session.catalog.table(name), rows.filter(F.col("__l") == name).drop("__l"), {p: f"__v_{p}" for p in cols})
         shown = {b.prop(p): F.col(n) for p, (n, _) in cols.items() if b.prop(p)}
         state = State(df.withColumns(shown), state.scope)
     return state
 
 
-def _rewrite(session, table, rows: DataFrame, new: dict[str, str]) -> None:
+def _rewrite(table, rows: DataFrame, new: dict[str, str]) -> None:
+    """Replaces the rows of the keys __k by ones with new values. Only these are written, once: their keys drop the old."""
     new = {p: c for p, c in new.items() if p in table.columns}
     if not new or rows.isEmpty():
         return
     if table.foreign:
         raise BindError(f"{table.name} is read in place and can't be changed")
 
-    def changed(frame: DataFrame, key) -> DataFrame:
-        met = frame.join(rows.withColumn("__hit", F.lit(True)), key, "left")
-        return staged(met.select(*(F.when(F.col("__hit"), F.col(new[c])).otherwise(F.col(f"`{c}`")).cast(table.columns[c]).alias(c) if c in new else F.col(f"`{c}`") for c in frame.columns)))
+    def changed(version: Version, key: str, rows: DataFrame) -> Version:
+        frame = version.frame(key)
+        met = matching(frame, key, rows).join(rows, F.col(f"`{key}`") == F.col("__k"))
+        made = staged(met.select(*(F.col(new[c]).cast(table.columns[c]).alias(c) if c in new else F.col(f"`{c}`") for c in frame.columns)))
+        return version.minus(made.select(F.col(f"`{key}`").alias("__k"))).plus(made)
 
     if hasattr(table, "key"):
-        table.frame = changed(table.frame, F.col(f"`{table.key}`") == F.col("__k"))
+        table.data = changed(table.data, table.key, rows)
     else:
-        for (a, z), frame in list(table.frames.items()):
-            table.frames[(a, z)] = changed(frame, F.concat(F.lit(f"{table.name}:{a}:{z}:"), F.col("_eid").cast("string")) == F.col("__k"))
+        for pair, version in list(table.frames.versions.items()):
+            own = _edges_of(table, pair, rows)
+            if not own.isEmpty():
+                table.frames[pair] = changed(version, "_eid", own)
+
+
+def _edges_of(table, pair: tuple[str, str], rows: DataFrame) -> DataFrame:
+    """Rows of a pair of the table, their __k cut down to the edge's own id."""
+    lead = f"{table.name}:{pair[0]}:{pair[1]}:"
+    return rows.filter(F.startswith(F.col("__k"), F.lit(lead))).withColumn("__k", F.substring(F.col("__k"), len(lead) + 1, 2**31 - 1))
 
 
 def delete(session, state: State, c: A.Delete) -> State:
@@ -190,22 +209,29 @@ def delete(session, state: State, c: A.Delete) -> State:
             if gone.isEmpty():
                 continue
             for rel in session.catalog.rels.values():
-                for (x, z), frame in list(rel.frames.items()):
-                    for end, of in (("_src", x), ("_dst", z)):
+                for pair, version in list(rel.frames.versions.items()):
+                    for end, of in zip(("_src", "_dst"), pair, strict=True):
                         if of != name:
                             continue
-                        hit = F.col(end) == F.col("__k")
-                        if c.detach:
-                            rel.frames[(x, z)] = frame = staged(frame.join(gone, hit, "left_anti"))
-                        elif not frame.join(gone, hit, "left_semi").isEmpty():
-                            raise RunError(f"node in table {name} has connected edges in table {rel.name}, which cannot be deleted; please delete the edges first or try DETACH DELETE")
-            table.frame = staged(table.frame.join(gone, F.col(f"`{table.key}`") == F.col("__k"), "left_anti"))
+                        edges = matching(version.frame("_eid"), end, gone).select(F.col("_eid").alias("__k"))
+                        if not c.detach:
+                            if not edges.isEmpty():
+                                raise RunError(f"node in table {name} has connected edges in table {rel.name}, which cannot be deleted; please delete the edges first or try DETACH DELETE")
+                            continue
+                        edges = staged(edges)
+                        if not edges.isEmpty():
+                            rel.frames[pair] = version = version.minus(edges)
+            table.data = table.data.minus(gone)
     return state
 
 
 def _drop_rels(table, gone: DataFrame) -> None:
-    for (a, z), frame in list(table.frames.items()):
-        table.frames[(a, z)] = staged(frame.join(gone, F.concat(F.lit(f"{table.name}:{a}:{z}:"), F.col("_eid").cast("string")) == F.col("__k"), "left_anti"))
+    if table.foreign:
+        raise BindError(f"{table.name} is read in place and can't be changed")
+    for pair, version in list(table.frames.versions.items()):
+        own = staged(_edges_of(table, pair, gone))
+        if not own.isEmpty():
+            table.frames[pair] = version.minus(own)
 
 
 def merge(runner, state: State, c: A.Merge) -> State:

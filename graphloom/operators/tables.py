@@ -1,4 +1,4 @@
-"""Changes of tables: every change makes a new frame, checked and written; the old one stays as it was."""
+"""Changes of tables: every change is checked and makes a new version; the old one stays as it was."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from graphloom.errors import BindError, RunError
 from graphloom.functions.registry import cast
 from graphloom.storage import staged
 from graphloom.types import parse_type
+from graphloom.versions import matching
 
 
 def node_schema(table: NodeTable) -> T.StructType:
@@ -23,28 +24,32 @@ def rel_schema(session, table: RelTable, pair: tuple[str, str]) -> T.StructType:
     return T.StructType([*ends, T.StructField("_eid", T.StringType()), *(T.StructField(n, t) for n, t in table.columns.items())])
 
 
-def put_nodes(table: NodeTable, rows: DataFrame) -> None:
-    """Adds rows with exactly the table's columns; keys must be there and unique."""
+def put_nodes(table: NodeTable, rows: DataFrame, written: bool = False) -> int:
+    """Adds rows with exactly the table's columns, and gives their number; keys must be there and unique. written: rows
+    only select from what is staged already."""
     if table.foreign:
         raise BindError(f"{table.name} is read in place and can't be changed")
-    rows = staged(rows.select(*(F.col(f"`{c}`") for c in table.columns)))
-    key = F.col(f"`{table.key}`")
-    if not rows.filter(key.isNull()).isEmpty():
+    rows = rows.select(*(F.col(f"`{c}`") for c in table.columns))
+    rows = rows if written else staged(rows)
+    keys = rows.select(F.col(f"`{table.key}`").alias("__k"))
+    n, nulls, most, key = keys.groupBy("__k").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.max(F.col("__k").isNull()), F.max("count"), F.max_by("__k", "count")).first()
+    if nulls:
         raise RunError(f"found NULL, which violates the non-null constraint of the primary key {table.key}")
-    twice = rows.groupBy(key.alias("k")).count().filter("count > 1").limit(1).collect() or rows.select(key.alias("k")).join(table.frame.select(key.alias("k")), "k", "left_semi").limit(1).collect()
+    twice = [key] if n and most > 1 else [r[0] for r in matching(table.frame.select(F.col(f"`{table.key}`")), table.key, keys).limit(1).collect()]
     if twice:
-        raise RunError(f"found duplicated primary key value {twice[0]['k']}, which violates the uniqueness constraint of the primary key column")
-    table.frame = staged(table.frame.select(*(F.col(f"`{c}`") for c in table.columns)).unionByName(rows))
+        raise RunError(f"found duplicated primary key value {twice[0]}, which violates the uniqueness constraint of the primary key column")
+    table.data = table.data.plus(rows)
+    return n
 
 
 def put_rels(session, table: RelTable, pair: tuple[str, str], rows: DataFrame) -> None:
+    """Adds rows that are written already."""
     if table.foreign:
         raise BindError(f"{table.name} is read in place and can't be changed")
-    cols = [f.name for f in rel_schema(session, table, pair)]
-    made = staged(table.frames[pair].select(*(F.col(f"`{c}`") for c in cols)).unionByName(rows.select(*(F.col(f"`{c}`") for c in cols))))
-    ends = {"MANY_ONE": ["_src"], "ONE_MANY": ["_dst"], "ONE_ONE": ["_src", "_dst"]}.get(table.multiplicity, [])
-    for end in ends:
-        broken = made.groupBy(end).count().filter("count > 1").limit(1).collect()
+    rows = rows.select(*(F.col(f"`{f.name}`") for f in rel_schema(session, table, pair)))
+    made = table.frames.versions[pair].plus(rows)
+    for end in {"MANY_ONE": ["_src"], "ONE_MANY": ["_dst"], "ONE_ONE": ["_src", "_dst"]}.get(table.multiplicity, []):
+        broken = matching(made.frame("_eid"), end, rows.select(F.col(end).alias("__k")).distinct()).groupBy(end).count().filter("count > 1").limit(1).collect()
         if broken:
             raise RunError(f"node {broken[0][0]} has more than one neighbour in table {table.name}, which violates its multiplicity {table.multiplicity}")
     table.frames[pair] = made

@@ -10,7 +10,7 @@ from graphloom.errors import BindError
 from graphloom.parser import ast as A
 from graphloom.plans.expressions import AGGREGATES, Compiler, children, has_aggregate, walk
 from graphloom.plans.matching import Matcher
-from graphloom.plans.scope import Binding, State, fresh
+from graphloom.plans.scope import ORDER, Binding, State, fresh
 from graphloom.plans.subqueries import with_subqueries
 from graphloom.types import HUGE, can_order, is_int, is_interval
 
@@ -128,7 +128,7 @@ class Runner:
         if kind is None:
             raise BindError("UNWIND takes a list")
         values = of.col if not isinstance(kind.elementType, T.NullType) else of.col.cast("array<string>")
-        return state.with_(state.df.withColumn(col, F.explode(values)), **{c.var: Binding("value", col)})
+        return state.with_(state.df.select("*", F.posexplode(values).alias(fresh(ORDER), col)), **{c.var: Binding("value", col)})
 
     # ---- projections
 

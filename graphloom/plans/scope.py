@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from graphloom.functions.registry import MISSING
 
 _NUMBERS = count(1)
+#: Word of the columns that hold a row's place, for updates.
+ORDER = "ord"
 
 
 def fresh(word: str = "c") -> str:

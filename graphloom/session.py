@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,7 @@ from graphloom.errors import BindError, CatalogError
 from graphloom.parser import ast as A
 from graphloom.parser.parser import parse, parse_all
 from graphloom.plans.query import UPDATES, Runner
+from graphloom.versions import Shared
 
 SETTINGS = {
     "threads": 0, "warning_limit": 8192, "timeout": 0, "progress_bar": False, "var_length_extend_max_depth": 30, "sparse_frontier_threshold": 1000, "enable_semi_mask": True,
@@ -24,12 +27,14 @@ SETTINGS = {
 
 
 class GraphSession:
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, shared: Shared | None = None):
         ship(spark)
-        self.spark, self.main = spark, Catalog()
+        self.spark, self.shared = spark, shared or Shared(Catalog())
         self.databases: dict[str, Catalog] = {}
-        self.catalog = self.main
-        self.saved: Catalog | None = None
+        self.used: str | None = None  # the database in use, None for main
+        self.before: Catalog | None = None  # the committed catalogue that the open transaction began with, and its own
+        self.own: Catalog | None = None
+        self.explicit = False
         self.read_only = False
         self.params: dict[str, Any] = {}
         self.settings = dict(SETTINGS)
@@ -40,12 +45,71 @@ class GraphSession:
         self.tracked: set[str] = set()
         self.one = spark.range(1).select()
 
+    def connect(self) -> GraphSession:
+        """Another session of the same database, with transactions of its own."""
+        return GraphSession(self.spark, self.shared)
+
+    # ---- the catalogue and its transactions
+
+    @property
+    def main(self) -> Catalog:
+        return self.shared.catalog if self.own is None else self.own
+
+    @property
+    def catalog(self) -> Catalog:
+        return self.databases[self.used] if self.used is not None else self.main
+
+    def begin(self, explicit: bool = False, read_only: bool = False) -> None:
+        with self.shared.lock:
+            self.before = self.shared.catalog
+            self.own = self.before.snapshot()
+            self.shared.open.add(id(self))
+        self.kept = {name: c.snapshot() for name, c in self.databases.items()} if explicit else {}
+        self.explicit, self.read_only = explicit, read_only
+
+    def _end(self) -> tuple[Catalog, Catalog]:
+        out = self.before, self.own
+        self.before = self.own = None
+        self.explicit = self.read_only = False
+        return out
+
+    def commit(self) -> None:
+        """Publishes the transaction's changes, or fails by conflict; the transaction has ended either way."""
+        read_only = self.read_only
+        before, own = self._end()
+        try:
+            if not read_only:
+                self.shared.commit(before, own, id(self))
+        finally:
+            self.shared.open.discard(id(self))
+
+    def rollback(self) -> None:
+        if self.explicit:
+            self.databases = {name: self.kept.get(name, c) for name, c in self.databases.items()}
+        self._end()
+        self.shared.open.discard(id(self))
+
+    @contextmanager
+    def changing(self) -> Iterator[None]:
+        """One statement's changes: part of the open transaction, else a transaction of their own."""
+        if self.own is not None:
+            yield
+            return
+        self.begin()
+        try:
+            yield
+        except BaseException:
+            self.rollback()
+            raise
+        self.commit()
+
     # ---- tables from frames
 
     def add_nodes(self, name: str, frame: DataFrame, key: str) -> GraphSession:
         """Registers a frame as a node table without copying it."""
-        self._free(name)
-        self.catalog.nodes[name] = NodeTable(name, key, {f.name: f.dataType for f in frame.schema}, frame)
+        with self.changing():
+            self._free(name)
+            self.catalog.nodes[name] = NodeTable(name, key, {f.name: f.dataType for f in frame.schema}, frame)
         return self
 
     def add_rels(self, name: str, frame: DataFrame, src: tuple[str, str], dst: tuple[str, str], ids: list[str] | None = None) -> GraphSession:
@@ -55,12 +119,13 @@ class GraphSession:
         props = [c for c in frame.columns if c not in (src[1], dst[1])]
         eid = F.concat_ws("|", *(F.col(c).cast("string") for c in ids)) if ids else F.monotonically_increasing_id()
         made = frame.select(F.col(src[1]).alias("_src"), F.col(dst[1]).alias("_dst"), eid.alias("_eid"), *(F.col(c) for c in props)).filter("_src is not null and _dst is not null")
-        if known:
-            self.catalog.rels[known].pairs.append(pair)
-            self.catalog.rels[known].frames[pair] = made
-        else:
-            self._free(name)
-            self.catalog.rels[name] = RelTable(name, [pair], {c: frame.schema[c].dataType for c in props}, {pair: made})
+        with self.changing():
+            if known:
+                self.catalog.rels[known].pairs.append(pair)
+                self.catalog.rels[known].frames[pair] = made
+            else:
+                self._free(name)
+                self.catalog.rels[name] = RelTable(name, [pair], {c: frame.schema[c].dataType for c in props}, {pair: made})
         return self
 
     def _free(self, name: str) -> None:
@@ -105,14 +170,20 @@ class GraphSession:
         outer, self.params = self.params, params if params is not None else self.params
         try:
             if isinstance(statement, A.Query):
-                if self.read_only and any(isinstance(c, UPDATES) for part in statement.parts for c in part):
+                if not any(isinstance(c, UPDATES) for part in statement.parts for c in part):
+                    return Runner(self).run(statement)
+                if self.read_only:
                     raise BindError("cannot execute write operations in a read-only transaction")
-                return Runner(self).run(statement)
+                with self.changing():
+                    return Runner(self).run(statement)
             if isinstance(statement, A.Explain):
                 return self.explain(statement)
-            from graphloom.operators.ddl import run_command
+            from graphloom.operators.ddl import WRITES, run_command
 
-            return run_command(self, statement)
+            if statement.kind not in WRITES or self.read_only:
+                return run_command(self, statement)
+            with self.changing():
+                return run_command(self, statement)
         finally:
             self.params = outer
 
