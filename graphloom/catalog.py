@@ -99,12 +99,13 @@ class Catalog:
     types: dict[str, str] = field(default_factory=dict)
     indexes: dict[str, dict] = field(default_factory=dict)
     graphs: dict[str, dict] = field(default_factory=dict)  # projected
+    batches: dict[str, int] = field(default_factory=dict)  # the last micro-batch of each stream
     any_graph: bool = False
     version: int = 0
 
     def snapshot(self) -> Catalog:
         out = copy.copy(self)
-        for name in ("nodes", "rels", "sequences", "macros", "types", "indexes", "graphs"):
+        for name in ("nodes", "rels", "sequences", "macros", "types", "indexes", "graphs", "batches"):
             setattr(out, name, {k: copied(v) for k, v in getattr(self, name).items()})
         return out
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.errors import RunError
-from graphloom.storage import staged
+from graphloom.storage import settled, staged
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -15,21 +15,38 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
-def weakly_connected_components(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(id, component): the least id that a node is connected to. Labels spread to neighbours, then jump to the
-    label's own label, so the rounds needed grow with the logarithm of a path."""
+def weakly_connected_components(nodes: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(id, component): the least id that a node is connected to. Each round a node points to its least neighbour if that
+    is less than itself, pointers are jumped to their roots, and the graph is contracted to the roots: of the nodes that
+    still have edges at most half are left, so rounds and data shrink. The rounds' pointers are then put together from the
+    smallest on. A caller's own cap of rounds raises if it is reached before."""
+    return settled(lambda: _weak(nodes, edges, rounds))
+
+
+def _weak(nodes: DataFrame, edges: DataFrame, rounds: int | None) -> DataFrame:
     edges = staged(both_ways(edges))
-    labels = staged(nodes.select("id", F.col("id").alias("component")))
-    for _ in range(rounds):
-        near = edges.join(labels, F.col("dst") == F.col("id")).groupBy("src").agg(F.min("component").alias("near"))
-        spread = labels.join(near, F.col("id") == F.col("src"), "left").select("id", F.least("component", F.coalesce("near", "component")).alias("c"), F.col("component").alias("old"))
-        spread = staged(spread)
-        own = spread.select(F.col("id").alias("r"), F.col("c").alias("rc"))
-        new = staged(spread.join(own, F.col("c") == F.col("r")).select("id", F.least("c", "rc").alias("component"), "old"))
-        labels = new.select("id", "component")
-        if new.filter("component <> old").isEmpty():
-            break
-    return labels
+    maps: list[DataFrame] = []
+    while not edges.isEmpty():
+        if rounds is not None and len(maps) >= rounds:
+            raise RunError(f"connected components aren't complete after {rounds} rounds")
+        top = staged(edges.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("m")).select("id", F.least("id", "m").alias("root")))
+        while True:
+            far = top.select(F.col("id").alias("r"), F.col("root").alias("rr"))
+            top = staged(top.join(far, F.col("root") == F.col("r")).select("id", F.col("rr").alias("root"), F.col("root").alias("old")))
+            if top.filter("root <> old").isEmpty():
+                break
+        top = top.select("id", "root")
+        maps.append(top)
+        ends = edges.join(top.withColumnsRenamed({"id": "src", "root": "s"}), "src").join(top.withColumnsRenamed({"id": "dst", "root": "d"}), "dst")
+        edges = staged(ends.filter("s <> d").select(F.col("s").alias("src"), F.col("d").alias("dst")).distinct())
+    found = None
+    for top in reversed(maps):
+        if found is not None:
+            top = top.join(found.withColumnsRenamed({"id": "r", "root": "rr"}), F.col("root") == F.col("r"), "left").select("id", F.coalesce("rr", "root").alias("root"))
+        found = staged(top)
+    if found is None:
+        return nodes.select("id", F.col("id").alias("component"))
+    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
 def strongly_connected_components(nodes: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:

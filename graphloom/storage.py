@@ -8,12 +8,13 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
-#: Paths of staged tables that haven't been removed.
-_MADE: list[str] = []
+#: Paths of the tables that the innermost settled() of this thread has staged so far.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,26 +45,31 @@ def _remove(spark: SparkSession, folder: str) -> None:
 def clear(spark: SparkSession) -> None:
     """Removes all tables that this application staged. Frames that read them can't be used after it."""
     _remove(spark, own_dir(spark))
-    _MADE.clear()
 
 
 def staged(df: DataFrame) -> DataFrame:
     """df as a written table: its lineage ends there."""
     path = f"{own_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _MADE.append(path)
+    if (made := _MADE.get()) is not None:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def settled(make: Callable[[], DataFrame]) -> DataFrame:
-    """What make() gives as a written table. Tables that were staged on the way, which nothing else may read, are
+    """What make() gives as a written table. Tables that this thread staged on the way, which nothing else may read, are
     removed, and a collection of garbage lets Spark's cleaner remove the shuffle files of what is done."""
-    since = len(_MADE)
-    out = staged(make())
+    made: list[str] = []
+    outer = _MADE.set(made)
+    try:
+        out = staged(make())
+    finally:
+        _MADE.reset(outer)
+    if (above := _MADE.get()) is not None:
+        above.append(made[-1])
     spark = out.sparkSession
-    for path in _MADE[since:-1]:
+    for path in made[:-1]:
         _remove(spark, path)
-    del _MADE[since:-1]
     gc.collect()
     spark._jvm.System.gc()
     return out

@@ -224,7 +224,7 @@ def _same(a, b) -> bool:
 def merge(before, mine, theirs):
     """theirs with what `mine` changed since `before`; an error if both changed the same."""
     out = theirs.snapshot()
-    for group in ("nodes", "rels", "sequences", "macros", "types", "indexes", "graphs"):
+    for group in ("nodes", "rels", "sequences", "macros", "types", "indexes", "graphs", "batches"):
         b, m, t = (getattr(x, group) for x in (before, mine, theirs))
         for name in dict.fromkeys([*b, *m, *t]):
             x, y, z = b.get(name), m.get(name), t.get(name)

@@ -206,6 +206,70 @@ def test_stream(graph, run, spark, tmp_path):
     assert run("MATCH (v:V) RETURN v.id ORDER BY v.id") == [(1,), (2,)]
 
 
+def test_a_batch_of_edges_that_runs_again_adds_nothing(graph, run, spark, tmp_path):
+    from graphloom.errors import BindError
+    from graphloom.streaming.ingest import copy_stream
+
+    graph.script("CREATE NODE TABLE V(id INT64, PRIMARY KEY(id)); CREATE NODE TABLE W(id INT64, PRIMARY KEY(id)); CREATE REL TABLE E(FROM V TO V, FROM V TO W, w INT64)")
+    run("CREATE (:V {id: 1}), (:V {id: 2}), (:W {id: 1})")
+    for i, rows in enumerate(([(1, 1, 5), (2, 1, 6)], [(2, 1, 7), (9, 1, 8)])):
+        spark.createDataFrame(rows, "a long, b long, w long").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema("a long, b long, w long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    with pytest.raises(BindError):
+        copy_stream(graph, "E", stream, f"{tmp_path}/cp")
+    run("BEGIN TRANSACTION")
+    copy_stream(graph, "E", stream, f"{tmp_path}/cp", pair=("V", "W")).awaitTermination()
+    assert run("MATCH ()-[e:E]->() RETURN count(*)") == [(0,)]
+    run("COMMIT")
+    assert run("MATCH (v:V)-[e:E]->(w:W) RETURN v.id, w.id, e.w ORDER BY e.w") == [(1, 1, 5), (2, 1, 6), (2, 1, 7)]
+    for commit in (tmp_path / "cp" / "commits").glob("*1*"):  # Spark lost the note that batch 1 was done
+        commit.unlink()
+    copy_stream(graph, "E", stream, f"{tmp_path}/cp", pair=("V", "W")).awaitTermination()
+    assert run("MATCH ()-[e:E]->() RETURN count(*)") == [(3,)]
+
+
+def test_components_run_to_their_end(spark):
+    import random
+
+    from graphloom.operators import algorithms as al
+
+    order = list(range(300))
+    random.Random(2).shuffle(order)
+    chains = spark.createDataFrame([(order[i], order[i + 1]) for i in range(299) if i != 150], "src long, dst long")
+    found = {r["id"]: r["component"] for r in al.weakly_connected_components(spark.range(301), chains).collect()}
+    assert found == {x: min(order[:151]) for x in order[:151]} | {x: min(order[151:]) for x in order[151:]} | {300: 300}
+    with pytest.raises(RunError):
+        al.weakly_connected_components(spark.range(301), chains, 1)
+
+
+def test_settled_removes_its_own_tables_alone(spark):
+    import threading
+
+    from graphloom import storage
+
+    inside, go = threading.Event(), threading.Event()
+    kept = {}
+
+    def other():
+        inside.wait()
+        kept["other"] = storage.staged(spark.range(4))
+        go.set()
+
+    def make():
+        first = kept["first"] = storage.staged(spark.range(3))
+        inside.set()
+        go.wait()
+        return storage.settled(lambda: storage.staged(first))
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    assert storage.settled(make).count() == 3
+    thread.join()
+    assert kept["other"].count() == 4
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|PATH_NOT_FOUND"):
+        spark.read.parquet(kept["first"].inputFiles()[0]).count()
+
+
 def test_algorithms_against_small_graphs(spark):
     from graphloom.operators import algorithms as al
 
