@@ -27,6 +27,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,53 +47,85 @@ ROW = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, g
 
 
 class Transducer:
-    """Walks two streams of tokens, whose bytes a[id] and b[id] are."""
+    """Walks two streams of tokens, whose bytes a[id] and b[id] are. States are numbered as they are met: who leads and the
+    residual; 0 is the state in which nothing dangles."""
 
     def __init__(self, a: list[bytes], b: list[bytes]):
         self.of = (a, b)
-        self.known: dict[tuple[int, bytes, int], tuple[int, bytes] | None] = {}
-
-    def step(self, lead: int, residual: bytes, token: int) -> tuple[int, bytes] | None:
-        """The state after the next token of the side behind, or of side 0 if nothing dangles; None if bytes differ."""
-        key = (lead, residual, token)
-        try:
-            return self.known[key]
-        except KeyError:
-            pass
+        self.forget()
+
+    def forget(self) -> None:
+        self.states: list[tuple[int, bytes]] = [(0, b"")]
+        self.numbers = {(0, b""): 0}
+        self.behind = np.zeros(1 << 10, bool)  # by state: whether B is the side behind
+        self.keys, self.next = np.zeros(0, np.int64), np.zeros(0, np.int64)  # (state, token), sorted, and the state after it
+        self.known: dict[int, int] = {}
+
+    def after(self, state: int, token: int) -> int:
+        """The state after the next token of the side behind, or of A in state 0; -1 if bytes differ."""
+        lead, residual = self.states[state]
         if not residual:
-            after = (0, self.of[0][token])
+            found = (0, self.of[0][token])
         else:
             own = self.of[1 - lead][token]
             if residual.startswith(own):
-                after = (lead, residual[len(own) :])
+                found = (lead, residual[len(own) :])
+            elif own.startswith(residual):
+                found = (1 - lead, own[len(residual) :])
             else:
-                after = (1 - lead, own[len(residual) :]) if own.startswith(residual) else None
-        if len(self.known) >= TRANSITIONS:
-            self.known.clear()
-        self.known[key] = after
-        return after
-
-    def align(self, a: list[int], b: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]] | None:
-        """The groups, and the linked pairs in order; None if the streams' bytes differ."""
-        streams, at, last = (a, b), [0, 0], [0, 0]
-        groups, links, start = [], [], (0, 0)
-        lead, residual = 0, b""
-        while residual or at[0] < len(a):
-            side = 1 - lead if residual else 0
-            if at[side] == len(streams[side]):
-                return None
-            token = last[side] = streams[side][at[side]]
-            at[side] += 1
-            if residual:
-                links.append((last[0], last[1]))
-            after = self.step(lead, residual, token)
-            if after is None:
-                return None
-            lead, residual = after
-            if not residual:
-                groups.append((a[start[0] : at[0]], b[start[1] : at[1]]))
-                start = (at[0], at[1])
-        return (groups, links) if at[1] == len(b) else None
+                return -1
+        if not found[1]:
+            return 0
+        if found not in self.numbers:
+            n = self.numbers[found] = len(self.states)
+            self.states.append(found)
+            self.behind = grown(self.behind, n + 1)
+            self.behind[n] = found[0] == 0
+        return self.numbers[found]
+
+    def steps(self, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """The states after a token of each, from the memo; transitions that it lacks are made once."""
+        key = states << 20 | tokens
+        at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
+        new = np.flatnonzero(self.keys[at] != key) if len(self.keys) else np.arange(len(key))
+        if len(new):
+            fresh = np.unique(key[new])
+            made = np.array([self.after(k >> 20, k & 0xFFFFF) for k in fresh.tolist()], np.int64)
+            place = np.searchsorted(self.keys, fresh)
+            self.keys, self.next = np.insert(self.keys, place, fresh), np.insert(self.next, place, made)
+            at = np.searchsorted(self.keys, key)
+        return self.next[at]
+
+    def walk(self, a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, ...]:
+        """All units in step, unit u being a[a_ends[u - 1] : a_ends[u]] and b[b_ends[u - 1] : b_ends[u]]: which end with
+        nothing dangling, the tokens of A and of B that close a group, and the links (unit, A's token, B's token)."""
+        i, j = np.append(0, a_ends[:-1]), np.append(0, b_ends[:-1])
+        good, state = np.ones(len(i), bool), np.zeros(len(i), np.int64)
+        closes_a, closes_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        links = [(np.zeros(0, np.int64),) * 3]
+        if len(self.keys) > TRANSITIONS:
+            self.forget()
+        live = np.arange(len(i))
+        while len(live):
+            s = state[live]
+            from_b = self.behind[s]
+            no_a, no_b = i[live] >= a_ends[live], j[live] >= b_ends[live]
+            stuck = np.where(from_b, no_b, no_a)
+            good[live[stuck & ~((s == 0) & no_a & no_b)]] = False
+            live, s, from_b = live[~stuck], s[~stuck], from_b[~stuck]
+            x, y = live[~from_b], live[from_b]
+            tokens = np.empty(len(live), np.int64)
+            tokens[~from_b], tokens[from_b] = a[i[x]], b[j[y]]
+            i[x] += 1
+            j[y] += 1
+            linked = live[s > 0]
+            links.append((linked, a[i[linked] - 1], b[j[linked] - 1]))
+            state[live] = after = self.steps(s, tokens)
+            good[live[after < 0]] = False
+            closed = live[after == 0]
+            closes_a[i[closed] - 1] = closes_b[j[closed] - 1] = True
+            live = live[after >= 0]
+        return good, closes_a, closes_b, *(np.concatenate(x) for x in zip(*links, strict=True))
 
 
 def grown(x: np.ndarray, n: int) -> np.ndarray:
@@ -100,6 +133,11 @@ def grown(x: np.ndarray, n: int) -> np.ndarray:
     return x if n <= len(x) else np.concatenate([x, np.zeros((max(n, 2 * len(x)) - len(x), *x.shape[1:]), x.dtype)])
 
 
+def upto(sizes) -> np.ndarray:
+    """0 and the running sums."""
+    return np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes, dtype=np.int64)])
+
+
 class Aligner:
     """Both tokenizers of a worker, and the alignments of the units met."""
 
@@ -111,6 +149,11 @@ class Aligner:
         self.a, self.b = Tokenizer.from_file(a_path), SentencePieceProcessor(model_file=b_path)
         self.a.encode_special_tokens = True
         self.transducer = Transducer(self._a_bytes(), self._b_bytes())
+        self.a_sizes = np.array([len(x) for x in self.transducer.of[0]])
+        #: An id of A with a comma, or a bar at the end of its group; of B with a comma or a semicolon.
+        self.words = [f"{i}{mark}".encode() for i in range(len(self.a_sizes)) for mark in ",|"]
+        self.b_words = len(self.words)
+        self.words += [f"{i}{mark}".encode() for i in range(self.b.get_piece_size()) for mark in ",;"]
         self.table_bytes = table_bytes
         self.lead = len(self.b.encode("."))
         self.clear()
@@ -145,29 +188,56 @@ class Aligner:
         self.size = 0
 
     def add(self, units: list[str]) -> None:
-        a = self.a.encode_batch_fast(units, add_special_tokens=False)
-        b = self.b.encode(["." + u for u in units], num_threads=1)
-        for unit, x, y in zip(units, a, b, strict=True):
-            x, y = x.ids, y[self.lead :]
-            found = self.transducer.align(x, y) if b"".join(map(self.transducer.of[0].__getitem__, x)) == unit.encode() else None
-            groups, links = found or ([], [])
-            i = self.places[unit] = len(self.groups)
-            text = ";".join(f"{','.join(map(str, g))}|{','.join(map(str, h))}" for g, h in groups).encode()
-            self.groups.append(text)
-            self.stats, self.upto = grown(self.stats, i + 1), grown(self.upto, i + 1)
-            self.stats[i] = (len(x), len(y), len(groups), len(links), 1) if found else (0, 0, 0, 0, 0)
-            start = int(self.upto[i - 1]) if i else 0
-            self.upto[i] = start + len(links)
-            self.held = grown(self.held, start + len(links))
-            for j, (u, v) in enumerate(links, start):
-                code = u << 32 | v
-                n = self.numbers.get(code)
-                if n is None:
-                    n = self.numbers[code] = len(self.numbers)
-                    self.codes = grown(self.codes, n + 1)
-                    self.codes[n] = code
-                self.held[j] = n
-            self.size += len(text) + 2 * len(unit) + 4 * len(links) + 200
+        """Aligns new units; those of many tokens a few at a time."""
+        a = [x.ids for x in self.a.encode_batch_fast(units, add_special_tokens=False)]
+        b = [x[self.lead :] for x in self.b.encode(["." + u for u in units], num_threads=1)]
+        a_ends, b_ends = np.cumsum([len(x) for x in a]), np.cumsum([len(x) for x in b])
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64, int(n[-1])) for x, n in ((a, a_ends), (b, b_ends)))
+        good, closes_a, closes_b, unit, u, v = self.transducer.walk(a, a_ends, b, b_ends)
+        raw = [x.encode() for x in units]
+        whole = b"".join(map(self.transducer.of[0].__getitem__, a.tolist()))
+        ends = upto(self.a_sizes[a])[a_ends]
+        if whole != b"".join(raw) or not np.array_equal(ends, np.cumsum([len(x) for x in raw])):
+            good &= [whole[x:y] == z for x, y, z in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), raw, strict=True)]
+        # only what is good is kept
+        a_of, b_of = np.repeat(np.arange(len(units)), np.diff(a_ends, prepend=0)), np.repeat(np.arange(len(units)), np.diff(b_ends, prepend=0))
+        a, closes_a, a_of = (x[good[a_of]] for x in (a, closes_a, a_of))
+        b, closes_b, b_of = (x[good[b_of]] for x in (b, closes_b, b_of))
+        unit, u, v = (x[good[unit]] for x in (unit, u, v))
+        texts = self._texts(a, closes_a, b, closes_b, np.bincount(a_of, minlength=len(units)) + np.bincount(b_of, minlength=len(units)))
+        first = len(self.groups)
+        self.places.update(zip(units, range(first, first + len(units)), strict=True))
+        self.groups += texts
+        last = first + len(units)
+        self.stats, self.upto = grown(self.stats, last), grown(self.upto, last)
+        counts = (a_of, b_of, a_of[closes_a], unit)
+        for k, of in enumerate(counts):
+            self.stats[first:last, k] = np.bincount(of, minlength=len(units))
+        self.stats[first:last, 4] = good
+        start = int(self.upto[first - 1]) if first else 0
+        self.upto[first:last] = start + np.cumsum(self.stats[first:last, 3])
+        self.held = grown(self.held, start + len(unit))
+        codes, back = np.unique(u << 32 | v, return_inverse=True)
+        new = [c for c in codes.tolist() if c not in self.numbers]
+        n = len(self.numbers)
+        self.codes = grown(self.codes, n + len(new))
+        self.codes[n : n + len(new)] = new
+        self.numbers.update(zip(new, range(n, n + len(new)), strict=True))
+        numbers = np.array([self.numbers[c] for c in codes.tolist()], np.int32)
+        self.held[start : start + len(unit)] = numbers[back[np.argsort(unit, kind="stable")]]
+        self.size += sum(map(len, texts)) + 2 * len(whole) + 4 * len(unit) + 200 * len(units)
+
+    def _texts(self, a: np.ndarray, closes_a: np.ndarray, b: np.ndarray, closes_b: np.ndarray, each: np.ndarray) -> list[bytes]:
+        """Each unit's groups as written in the digest, from all units' tokens in a row; each: how many tokens a unit has."""
+        a_group, b_group = np.cumsum(closes_a) - closes_a, np.cumsum(closes_b) - closes_b
+        a_upto, b_upto = np.cumsum(np.bincount(a_group)), np.append(0, np.cumsum(np.bincount(b_group)))
+        words = np.empty(len(a) + len(b), np.int64)
+        words[np.arange(len(a)) + b_upto[a_group]] = 2 * a + closes_a
+        words[np.arange(len(b)) + a_upto[b_group]] = self.b_words + 2 * b + closes_b
+        words = [self.words[w] for w in words.tolist()]
+        ends = upto([len(w) for w in words])[np.cumsum(each)]
+        text = b"".join(words)
+        return [text[x : y - 1] for x, y in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True)]
 
     def aligned(self, pieces: list[str]) -> Iterator[tuple[np.ndarray, bytes, np.ndarray, np.ndarray]]:
         """For each piece its sums of stats (the last: units whose bytes agree, less all), groups, linked pairs and their times."""

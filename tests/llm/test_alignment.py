@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -79,16 +80,28 @@ def test_units_give_whole_texts(texts, chunk):
 SHARED = Aligner(A, B, table_bytes=20_000)
 
 
-@given(st.lists(st.sampled_from([b"a", b"b", b"ab", b"ba", b"aab"]), max_size=8), st.lists(st.sampled_from([b"a", b"b", b"ab", b"ba", b"aab"]), max_size=8))
-def test_transducer(x, y):
-    tokens = sorted({*x, *y})
+streams = st.lists(st.sampled_from([b"a", b"b", b"ab", b"ba", b"aab"]), max_size=8)
+
+
+@given(st.lists(st.tuples(streams, streams), min_size=1, max_size=5))
+def test_transducer(pairs):
+    tokens = [b"a", b"b", b"ab", b"ba", b"aab"]
     t = Transducer(tokens, tokens)
-    got = t.align([tokens.index(w) for w in x], [tokens.index(w) for w in y])
-    assert (got is not None) == (b"".join(x) == b"".join(y))
-    if got:
-        assert all(b"".join(tokens[i] for i in a) == b"".join(tokens[i] for i in b) for a, b in got[0])
-        assert [i for a, _ in got[0] for i in a] == [tokens.index(w) for w in x]
-        assert len(got[1]) == sum(len(a) + len(b) - 1 for a, b in got[0])
+    flat = [np.array([tokens.index(w) for pair in pairs for w in pair[k]], np.int64) for k in (0, 1)]
+    ends = [np.cumsum([len(pair[k]) for pair in pairs]) for k in (0, 1)]
+    good, closes_a, closes_b, unit, u, v = t.walk(flat[0], ends[0], flat[1], ends[1])
+    at = [0, 0]
+    for i, (x, y) in enumerate(pairs):
+        assert good[i] == (b"".join(x) == b"".join(y))
+        stop = [at[0] + len(x), at[1] + len(y)]
+        if good[i]:
+            offsets = [np.cumsum([len(w) for w in z]).tolist() for z in (x, y)]
+            common = set(offsets[0]) & set(offsets[1])
+            assert [o in common for o in offsets[0]] == closes_a[at[0] : stop[0]].tolist() and [o in common for o in offsets[1]] == closes_b[at[1] : stop[1]].tolist()
+            spans = [[(e - len(w), e, w) for e, w in zip(o, z, strict=True)] for o, z in zip(offsets, (x, y), strict=True)]
+            want = sorted((p[2], q[2]) for p in spans[0] for q in spans[1] if p[0] < q[1] and q[0] < p[1])
+            assert sorted((tokens[m], tokens[n]) for m, n in zip(u[unit == i].tolist(), v[unit == i].tolist(), strict=True)) == want
+        at = stop
 
 
 def documents():
