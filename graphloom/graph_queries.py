@@ -105,6 +105,26 @@ PAIRS: dict[str, tuple[str, str | None]] = {
     "walk_var_length": ("MATCH (a:Customer)-[e:REFERRED_BY|MENTORED_BY*1..3]->(b:Customer) RETURN length(e) AS len, count(*) AS n, sum(b.c_custkey) AS s", f"WITH {BOTH}, w1 AS (SELECT s, d, 1 AS len FROM e), w2 AS (SELECT w1.s, e.d, 2 AS len FROM w1 JOIN e ON w1.d = e.s), w3 AS (SELECT w2.s, e.d, 3 AS len FROM w2 JOIN e ON w2.d = e.s) SELECT len::BIGINT AS len, count(*) AS n, sum(d) AS s FROM (SELECT * FROM w1 UNION ALL SELECT * FROM w2 UNION ALL SELECT * FROM w3) GROUP BY len"),
     "walk_zero_length": ("MATCH (a:Customer)-[e:REFERRED_BY*0..2]->(b:Customer) RETURN a.c_custkey AS a, b.c_custkey AS k, length(e) AS len", f"WITH {REF} SELECT c_custkey AS a, c_custkey AS k, 0::BIGINT AS len FROM customer UNION ALL SELECT s, d, 1 FROM ref UNION ALL SELECT a.s, b.d, 2 FROM ref a JOIN ref b ON a.d = b.s"),
     "deep_recursion": ("MATCH (a:Customer)-[e:REFERRED_BY*1..15]->(b:Customer {c_custkey: 1}) RETURN length(e) AS len, count(*) AS n", f"WITH RECURSIVE {REF}, up AS (SELECT s, d, 1 AS len FROM ref UNION ALL SELECT up.s, ref.d, len + 1 FROM up JOIN ref ON up.d = ref.s WHERE len < 15) SELECT len::BIGINT AS len, count(*) AS n FROM up WHERE d = 1 GROUP BY len"),
+    "optional_recursion": (
+        "MATCH (a:Customer) WHERE a.c_custkey % 50 = 0 OPTIONAL MATCH (a)-[e:REFERRED_BY|MENTORED_BY*1..6]->(b:Customer) WHERE b.c_acctbal > a.c_acctbal RETURN a.c_custkey AS k, count(b) AS n, coalesce(sum(length(e)), 0) AS steps",
+        f"""WITH RECURSIVE {BOTH}, w AS (
+            SELECT c_custkey AS s, c_custkey AS t, 0 AS len FROM customer WHERE c_custkey % 50 = 0 UNION ALL SELECT w.s, e.d, len + 1 FROM w JOIN e ON w.t = e.s WHERE len < 6)
+            SELECT a.c_custkey AS k, count(b.c_custkey) AS n, coalesce(sum(CASE WHEN b.c_custkey IS NOT NULL THEN len END), 0)::BIGINT AS steps
+            FROM customer a LEFT JOIN w ON w.s = a.c_custkey AND len > 0 LEFT JOIN customer b ON b.c_custkey = t AND b.c_acctbal > a.c_acctbal WHERE a.c_custkey % 50 = 0 GROUP BY a.c_custkey""",
+    ),
+    "exists_recursion": (
+        "MATCH (a:Customer) WHERE a.c_custkey % 50 = 0 AND EXISTS { MATCH (a)-[:REFERRED_BY*1..8]->(b:Customer) WHERE b.c_acctbal < 0 } AND NOT EXISTS { MATCH (a)-[:MENTORED_BY*1..8]->(b:Customer) WHERE b.c_acctbal > 9500 } RETURN a.c_custkey AS k",
+        f"""WITH RECURSIVE {REF}, {MEN}, r AS (SELECT c_custkey AS s, c_custkey AS t, 0 AS len FROM customer WHERE c_custkey % 50 = 0 UNION ALL SELECT r.s, ref.d, len + 1 FROM r JOIN ref ON r.t = ref.s WHERE len < 8),
+            m AS (SELECT c_custkey AS s, c_custkey AS t, 0 AS len FROM customer WHERE c_custkey % 50 = 0 UNION ALL SELECT m.s, men.d, len + 1 FROM m JOIN men ON m.t = men.s WHERE len < 8)
+            SELECT c_custkey AS k FROM customer a WHERE c_custkey % 50 = 0 AND EXISTS (SELECT 1 FROM r JOIN customer b ON b.c_custkey = r.t WHERE r.s = a.c_custkey AND len > 0 AND b.c_acctbal < 0)
+            AND NOT EXISTS (SELECT 1 FROM m JOIN customer b ON b.c_custkey = m.t WHERE m.s = a.c_custkey AND len > 0 AND b.c_acctbal > 9500)""",
+    ),
+    "shortest_from_many": (
+        "MATCH (a:Customer)<-[e:REFERRED_BY|MENTORED_BY* SHORTEST 1..12]-(b:Customer) WHERE a.c_custkey % 50 = 0 AND a.c_custkey > 0 RETURN a.c_custkey AS k, length(e) AS steps, count(*) AS n",
+        f"""WITH RECURSIVE {BOTH}, w AS (
+            SELECT DISTINCT c_custkey AS s, c_custkey AS t, 0 AS len FROM customer WHERE c_custkey % 50 = 0 AND c_custkey > 0 UNION SELECT w.s, e.s, len + 1 FROM w JOIN e ON w.t = e.d WHERE len < 12
+            ), f AS (SELECT s, t, min(len) AS steps FROM w GROUP BY s, t) SELECT s AS k, steps::BIGINT AS steps, count(*) AS n FROM f WHERE steps > 0 GROUP BY s, steps""",
+    ),
     "trail": ("MATCH (a:Customer)-[e:REFERRED_BY|MENTORED_BY* TRAIL 1..3]-(b:Customer) RETURN a.c_nationkey AS nation, length(e) AS len, count(*) AS n, sum(b.c_custkey) AS s", f"WITH {REF}, {MEN}, x AS (SELECT 'r' || s AS id, s, d FROM ref UNION ALL SELECT 'm' || s, s, d FROM men), u AS (SELECT id, s, d FROM x UNION ALL SELECT id, d, s FROM x), t1 AS (SELECT u.s AS o, id AS a, d FROM u), t2 AS (SELECT o, a, id AS b, u.d FROM t1 JOIN u ON t1.d = u.s WHERE id <> a), t3 AS (SELECT o, a, b, id AS c, u.d FROM t2 JOIN u ON t2.d = u.s WHERE id <> a AND id <> b) SELECT c_nationkey AS nation, len, count(*) AS n, sum(d) AS s FROM (SELECT o, d, 1::BIGINT AS len FROM t1 UNION ALL SELECT o, d, 2 FROM t2 UNION ALL SELECT o, d, 3 FROM t3) JOIN customer ON c_custkey = o GROUP BY ALL"),
     "shortest_lengths": ("MATCH (a:Customer {c_custkey: 1})<-[e:REFERRED_BY|MENTORED_BY* SHORTEST 1..12]-(b:Customer) RETURN length(e) AS len, count(*) AS n, sum(b.c_custkey) AS s", f"WITH RECURSIVE {BOTH}, r AS (SELECT DISTINCT s AS v, 1 AS len FROM e WHERE d = 1 UNION SELECT e.s, len + 1 FROM r JOIN e ON e.d = r.v WHERE len < 12) SELECT len::BIGINT AS len, count(*) AS n, sum(v) AS s FROM (SELECT v, min(len) AS len FROM r WHERE v <> 1 GROUP BY v) GROUP BY len"),
     "all_shortest_counts": ("MATCH (a:Customer {c_custkey: 1})<-[e:REFERRED_BY|MENTORED_BY* ALL SHORTEST 1..12]-(b:Customer) RETURN b.c_custkey AS k, length(e) AS len, count(*) AS n", f"WITH RECURSIVE {BOTH}, r AS (SELECT s AS v, 1 AS len FROM e WHERE d = 1 UNION ALL SELECT e.s, len + 1 FROM r JOIN e ON e.d = r.v WHERE len < 12) SELECT v AS k, len::BIGINT AS len, count(*) AS n FROM r WHERE v <> 1 GROUP BY v, len QUALIFY len = min(len) OVER (PARTITION BY v)"),

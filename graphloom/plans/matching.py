@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from graphloom.errors import BindError
 from graphloom.parser import ast as A
-from graphloom.plans.expressions import Compiler, names_in
+from graphloom.plans.expressions import Compiler, names_in, walk
 from graphloom.plans.paths import recursive_frame
 from graphloom.plans.scope import Binding, State, fresh
 
@@ -90,18 +90,20 @@ class Matcher:
 
     def __init__(self, session, used: set[str]):
         self.session, self.used = session, used
+        self.early: list = []  # conjuncts that a search need not wait for
 
     def labels(self, node: A.NodePat) -> tuple:
         names = [self.session.catalog.node(x).name for x in node.labels]
         return tuple(names) or tuple(self.session.catalog.nodes)
 
-    def infer(self, paths: list[A.Path], names: dict, scope: dict[str, Binding]) -> tuple[dict[str, tuple], dict[int, list]]:
-        """Labels of every node variable, combinations of every relationship, narrowed until nothing changes."""
+    def infer(self, paths: list[A.Path], names: dict, scope: dict[str, Binding], hints: dict[str, tuple]) -> tuple[dict[str, tuple], dict[int, list]]:
+        """Labels of every node variable, combinations of every relationship, narrowed until nothing changes. hints: the
+        labels that variables have outside of the pattern."""
         labels: dict[str, tuple] = {}
         for path in paths:
             for node in path.nodes:
                 v = names[id(node)]
-                own = scope[v].labels if v in scope and scope[v].kind == "node" else labels.get(v, tuple(self.session.catalog.nodes))
+                own = scope[v].labels if v in scope and scope[v].kind == "node" else labels.get(v, hints.get(v, tuple(self.session.catalog.nodes)))
                 labels[v] = tuple(x for x in own if x in self.labels(node)) if node.labels else own
         some: dict[int, list] = {}
         changed = True
@@ -127,8 +129,36 @@ class Matcher:
                         some[id(rel)], changed = kept, True
         return labels, some
 
-    def match(self, state: State, paths: list[A.Path]) -> State:
-        """state joined with all paths (inner)."""
+    def match(self, state: State, paths: list[A.Path], hints: dict[str, tuple] | None = None, where: list | None = None) -> State:
+        """state joined with all paths (inner). Conjuncts of `where`, which the caller applies, restrict the nodes from
+        which recursive relationships are searched."""
+        recursive = any(r.rec is not None for path in paths for r in path.rels)
+        outer, self.early = self.early, [c for c in where or () if recursive and not any(isinstance(x, A.Sub) for x in walk(c))]
+        try:
+            return self.joined(state, paths, hints or {})
+        finally:
+            self.early = outer
+
+    def ready(self, state: State) -> State:
+        """state filtered by the early conjuncts whose variables are all there."""
+        waiting = []
+        for c in self.early:
+            names = names_in(c)
+            if names and names <= set(state.scope):
+                state = State(state.df.filter(Compiler(self.session, state).boolean(c)), state.scope)
+            else:
+                waiting.append(c)
+        self.early = waiting
+        return state
+
+    def pinned(self, var: str) -> bool:
+        """Whether an early conjunct compares a property of the variable with a value."""
+        for c in self.early:
+            if isinstance(c, A.Op) and c.op in ("=", "in") and names_in(c) == {var} and any(isinstance(x, A.Prop) and x.of == A.Var(var) for x in c.args):
+                return True
+        return False
+
+    def joined(self, state: State, paths: list[A.Path], hints: dict[str, tuple]) -> State:
         names: dict[int, str] = {}
         for path in paths:
             for p in (*path.nodes, *path.rels):
@@ -137,7 +167,7 @@ class Matcher:
             for rel in path.rels:
                 if rel.var and (rel.var in state.scope or sum(r.var == rel.var for p in paths for r in p.rels) > 1):
                     raise BindError(f"bind relationship {rel.var} to relationship with same name is not supported")
-        labels, some = self.infer(paths, names, state.scope)
+        labels, some = self.infer(paths, names, state.scope, hints)
         for path in paths:
             state = self.path(state, path, names, labels, some)
         return state
@@ -148,7 +178,7 @@ class Matcher:
     def path(self, state: State, path: A.Path, names: dict, labels: dict, some: dict) -> State:
         order = list(range(len(path.rels)))
         bound = [i for i, n in enumerate(path.nodes) if names[id(n)] in state.scope]
-        start = bound[0] if bound else next((i for i, n in enumerate(path.nodes) if n.props), 0)
+        start = bound[0] if bound else next((i for i, n in enumerate(path.nodes) if n.props), next((i for i, n in enumerate(path.nodes) if self.pinned(names[id(n)])), 0))
         first = path.nodes[start]
         if names[id(first)] not in state.scope:
             elide = path.rels and path.rels[start if start < len(path.rels) else start - 1].rec is None and not self.wants(names[id(first)], first) and not path.var
@@ -192,7 +222,7 @@ class Matcher:
         direction = rel.direction if forward or rel.direction == "both" else {"out": "in", "in": "out"}[rel.direction]
         a, b, r = names[id(near)], names[id(far)], names[id(rel)]
         if rel.rec is not None:
-            return self.inline(self.recursive(state, rel, a, b, r, direction, forward, labels, some[id(rel)], named), far, names)
+            return self.inline(self.recursive(self.ready(state), rel, a, b, r, direction, forward, labels, some[id(rel)], named), far, names)
         fits = some[id(rel)]
         every = fits or combos(self.session, rel.types)
         if not every:
@@ -265,34 +295,64 @@ class Matcher:
     # ---- whole clauses
 
     def where(self, state: State, e) -> State:
-        """state filtered; conjuncts apply one by one, subqueries become columns first."""
-        from graphloom.plans.subqueries import with_subqueries
-
-        if e is None:
-            return state
-        state, subs = with_subqueries(self, state, [e])
-        for part in conjuncts(e):
-            state = State(state.df.filter(Compiler(self.session, state, subs).boolean(part)), state.scope)
+        """state filtered; conjuncts apply one by one. Those without subqueries come first; those that are an EXISTS alone,
+        or its negation, are semi and anti joins; other subqueries become columns."""
+        from graphloom.plans.subqueries import semi_joined, subqueries, with_subqueries
+
+        parts = [(c, bool(subqueries(c))) for c in conjuncts(e)]
+        for c, nested in parts:
+            if not nested:
+                state = State(state.df.filter(Compiler(self.session, state).boolean(c)), state.scope)
+        rest = []
+        for c, nested in parts:
+            if nested:
+                found = semi_joined(self, state, c)
+                if found is None:
+                    rest.append(c)
+                else:
+                    state = found
+        state, subs = with_subqueries(self, state, rest)
+        for c in rest:
+            state = State(state.df.filter(Compiler(self.session, state, subs).boolean(c)), state.scope)
         return state
 
     def clause(self, state: State, m: A.Match) -> State:
         if not m.optional:
-            return self.where(self.match(state, m.paths), m.where)
+            return self.where(self.match(state, m.paths, where=conjuncts(m.where)), m.where)
         return self.optional(state, m)
 
     def apart(self, state: State, paths: list[A.Path], where) -> tuple[State, dict[str, Binding], list]:
-        """The pattern on its own: its state, its bindings of names that `state` has too, and conjuncts that need state."""
+        """The pattern on its own: its state, its bindings of names that `state` has too, and conjuncts that need state.
+        A pattern with a recursive relationship starts at the nodes that `state` has, not at all nodes."""
         mine = {p.var for path in paths for p in (*path.nodes, *path.rels) if p.var} | {path.var for path in paths if path.var}
         shared = [v for v in state.scope if v in mine]
         outer = [c for c in conjuncts(where) if (names_in(c) & set(state.scope)) - mine]
         inline = {id(p): [kv for kv in p.props if names_in(kv[1]) & set(state.scope)] for path in paths for p in (*path.nodes, *path.rels)}
         if any(inline.values()):
             raise BindError("properties in an optional or nested pattern can't use outer variables; use WHERE")
-        alone = self.match(State(self.session.one, {}), paths)
+        hints = {v: state.scope[v].labels for v in shared if state.scope[v].kind == "node"}
+        seeded = hints and any(r.rec is not None for path in paths for r in path.rels)
         inner = [c for c in conjuncts(where) if c not in outer]
+        alone = self.match(self.seeds(state, paths, list(hints)) if seeded else State(self.session.one, {}), paths, hints, inner)
         alone = self.where(alone, reduce(lambda x, y: A.Op("and", (x, y)), inner) if inner else None)
         return alone, {v: alone.scope[v] for v in shared}, outer
 
+    def seeds(self, state: State, paths: list[A.Path], names: list[str]) -> State:
+        """The distinct nodes that the names stand for in `state`, with the labels that the pattern allows, in columns of
+        their own: from them the pattern's search begins."""
+        scope, keys, test = {}, [], F.lit(True)
+        cols: dict[str, Column] = {}
+        for v in names:
+            o = state.scope[v]
+            allowed = [set(self.labels(n)) for path in paths for n in path.nodes if n.var == v]
+            labels = tuple(x for x in o.labels if all(x in a for a in allowed))
+            new = {c: fresh("m") for c in (o.key, o.label, *o.props.values())}
+            cols |= {n: F.col(c) for c, n in new.items()}
+            keys += [new[o.key], new[o.label]]
+            test = test & F.col(new[o.key]).isNotNull() & F.col(new[o.label]).isin(*(labels or ("",)))
+            scope[v] = Binding("node", labels=labels, key=new[o.key], label=new[o.label], props={p: new[c] for p, c in o.props.items()}, scanned=o.scanned)
+        return State(state.df.select(*(c.alias(n) for n, c in cols.items())).filter(test).dropDuplicates(keys), scope)
+
     def tie(self, state: State, alone: State, shared: dict[str, Binding]) -> Column | None:
         test = None
         for v, b in shared.items():

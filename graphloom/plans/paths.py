@@ -7,6 +7,8 @@ table, so lineage stays short and an empty level ends the search.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,8 +19,8 @@ from graphloom.plans.expressions import Compiler, walk
 from graphloom.plans.scope import Binding, State, fresh
 from graphloom.storage import staged
 
-#: Levels that one plan may hold.
-FLAT = 4
+#: Levels that one plan may hold; ends of a frontier that are sent with the scan of the edges.
+FLAT, FEW = 4, 1000
 
 
 def edges(matcher, rel: A.RelPat, direction: str, some: list, track: bool) -> DataFrame:
@@ -61,6 +63,27 @@ def edges(matcher, rel: A.RelPat, direction: str, some: list, track: bool) -> Da
     return state.df.select(*extra)
 
 
+def kept(steps: DataFrame) -> DataFrame:
+    """The edges, written if making them takes more than a scan; a scan is repeated by each level, where its filters and
+    columns reach the files."""
+    plan = steps._jdf.queryExecution().optimizedPlan().toString()
+    return staged(steps) if re.search(r"\b(Join|Aggregate|Window|Generate|Distinct|Repartition\w*|MapInArrow|LogicalRDD)\b", plan) else steps
+
+
+def ahead(frontier: DataFrame, steps: DataFrame) -> DataFrame | None:
+    """The edges that a level may take: of a frontier with few ends those of the ends alone, as a filter that the scan can
+    use. None if the frontier is empty."""
+    ends = frontier.select("f", "fl").distinct().limit(FEW + 1).collect()
+    if not ends:
+        return None
+    if len(ends) > FEW:
+        return steps
+    test = F.lit(False)
+    for label in sorted({r["fl"] for r in ends}):
+        test = test | (F.col("fl") == label) & F.col("f").isin([r["f"] for r in ends if r["fl"] == label])
+    return steps.filter(test)
+
+
 def _part(compiler: Compiler, b: Binding, name: str, items, node: bool) -> Column:
     """The struct of a node or edge of a path: whole, or the items of a projection."""
     if items is None:
@@ -146,53 +169,62 @@ def _walks(frontier: DataFrame, steps: DataFrame, kind: str, lo: int, hi: int, t
     levels = [frontier] if lo == 0 else []
     deep = hi > FLAT
     if deep:
-        steps, frontier = staged(steps), staged(frontier)
+        steps, frontier = kept(steps), staged(frontier)
     for depth in range(1, hi + 1):
         if kind == "ACYCLIC" and depth > 1:  # the end is exempt, inner nodes must differ
             n = F.size("seen")
             frontier = frontier.filter(~F.array_contains(F.slice("seen", 1, n - 1), F.element_at("seen", -1)))
-        frontier = _step(frontier, steps, cols, kind)
+        near = ahead(frontier, steps) if deep else steps
+        if near is None:
+            break
+        frontier = _step(frontier, near, cols, kind)
         if deep:
             frontier = staged(frontier)
-            if frontier.isEmpty():
-                break
         if depth >= lo:
             levels.append(frontier)
     from graphloom.plans.matching import union
 
-    return union(levels) if levels else frontier
+    return union(levels) if levels else frontier.limit(0)
 
 
 def _shortest(frontier: DataFrame, steps: DataFrame, kind: str, hi: int, track: bool, cols: dict) -> DataFrame:
     """First arrivals of each (source, end). SHORTEST keeps one path of a pair, ALL SHORTEST each of the least length."""
     from graphloom.plans.matching import union
 
-    steps, frontier = staged(steps), staged(frontier)
+    steps, frontier = kept(steps), staged(frontier)
     pair = ["s", "sl", "f", "fl"]
+    rest = [c for c in cols if c not in pair]
     visited, levels = frontier.select(*pair), []
     for _ in range(hi):
-        level = _step(frontier, steps, cols, kind).join(visited, pair, "left_anti")
-        if kind == "SHORTEST":
-            rest = [c for c in cols if c not in pair]
-            level = level.groupBy(*pair).agg(*(F.first(c).alias(c) for c in rest)).select(*cols)
-        frontier = staged(level)
-        if frontier.isEmpty():
+        near = ahead(frontier, steps)
+        if near is None:
             break
+        level = _step(frontier, near, cols, kind)
+        if kind == "SHORTEST":  # one shuffle finds the pairs that are new and takes a path of each
+            before = visited.select(*pair, *(F.lit(None).cast(level.schema[c].dataType).alias(c) for c in rest), F.lit(True).alias("before"))
+            both = level.withColumn("before", F.lit(False)).unionByName(before).groupBy(*pair).agg(F.max("before").alias("before"), *(F.first(c).alias(c) for c in rest))
+            level = both.filter(~F.col("before")).select(*cols)
+        else:
+            level = level.join(visited, pair, "left_anti")
+        frontier = staged(level)
         levels.append(frontier)
-        visited = visited.unionByName(frontier.select(*pair).distinct())
-    return union(levels) if levels else frontier
+        visited = visited.unionByName(frontier.select(*pair).distinct() if kind != "SHORTEST" else frontier.select(*pair))
+    return union(levels) if levels else frontier.limit(0)
 
 
 def _cheapest(frontier: DataFrame, steps: DataFrame, kind: str, hi: int, track: bool, cols: dict) -> DataFrame:
     """Relaxation by levels: a path goes on while its cost is the best, or equal to it for ALL, of its pair so far."""
     from graphloom.plans.matching import union
 
-    steps, frontier = staged(steps), staged(frontier)
+    steps, frontier = kept(steps), staged(frontier)
     pair = ["s", "sl", "f", "fl"]
     every, levels = kind.startswith("ALL"), []
     best = frontier.select(*pair, F.col("cost").alias("best"))
     for _ in range(hi):
-        level = _step(frontier, steps, cols, kind).join(best, pair, "left")
+        near = ahead(frontier, steps)
+        if near is None:
+            break
+        level = _step(frontier, near, cols, kind).join(best, pair, "left")
         level = level.filter(F.col("best").isNull() | ((F.col("cost") <= F.col("best")) if every else (F.col("cost") < F.col("best")))).drop("best")
         level = level.filter((F.col("f") != F.col("s")) | (F.col("fl") != F.col("sl")))
         if every:
@@ -201,8 +233,6 @@ def _cheapest(frontier: DataFrame, steps: DataFrame, kind: str, hi: int, track:
         else:
             level = level.withColumn("pick", F.struct("cost", "len")).groupBy(*pair).agg(*(F.min_by(c, "pick").alias(c) for c in cols if c not in pair)).select(*cols)
         frontier = staged(level.select(*cols))
-        if frontier.isEmpty():
-            break
         levels.append(frontier)
         best = staged(best.unionByName(frontier.select(*pair, F.col("cost").alias("best"))).groupBy(*pair).agg(F.min("best").alias("best")))
     if not levels:

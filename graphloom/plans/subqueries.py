@@ -1,5 +1,5 @@
-"""EXISTS and COUNT subqueries as columns: the pattern alone is grouped by what it shares with the outer query and
-joined to it from the left, so a row is never doubled."""
+"""EXISTS alone in a WHERE as a semi join, NOT EXISTS as an anti join. Other EXISTS and COUNT subqueries as columns: the
+pattern alone is grouped by what it shares with the outer query and joined to it from the left, so a row is never doubled."""
 
 from __future__ import annotations
 
@@ -16,6 +16,23 @@ def subqueries(e) -> list[A.Sub]:
     return [x for x in dict.fromkeys(out) if x not in nested]
 
 
+def semi_joined(matcher, state: State, e) -> State | None:
+    """state filtered by an EXISTS of what it shares with the pattern, or by its negation; None if e is something else."""
+    negated = isinstance(e, A.Op) and e.op == "not"
+    sub = e.args[0] if negated else e
+    if not isinstance(sub, A.Sub) or sub.kind == "COUNT":
+        return None
+    alone, shared, outer = matcher.apart(state, list(sub.patterns), sub.where)
+    if not shared and not outer:
+        return None
+    test = matcher.tie(state, alone, shared)
+    both = State(state.df.crossJoin(alone.df), {**state.scope, **{v: b for v, b in alone.scope.items() if v not in shared}})  # for types alone
+    for c in outer:
+        one = Compiler(matcher.session, both).boolean(c)
+        test = one if test is None else test & one
+    return State(state.df.join(alone.df, test, "left_anti" if negated else "left_semi"), state.scope)
+
+
 def with_subqueries(matcher, state: State, expressions: list) -> tuple[State, dict]:
     """state with a column for each subquery, and the columns' names."""
     subs: dict[A.Sub, str] = {}

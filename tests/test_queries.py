@@ -103,3 +103,47 @@ def test_node_values(q):
     assert row[0]["_LABEL"] == "User" and row[0]["age"] == 30 and row[1]["since"] == 2020 and row[2] == ["name", "age"] and row[3]
     assert q("MATCH (u:User {name:'Adam'})-[e:Follows]->(v {name:'Zhang'}) RETURN start_node(e).name, end_node(e).name") == [("Adam", "Zhang")]
     assert q("MATCH (a:User)-[e:Follows]->(b:User) RETURN a.*, b.name ORDER BY a.name, b.name LIMIT 1") == [("Adam", 30, "Karissa")]
+
+
+@pytest.fixture
+def line(graph, spark):
+    """A line of 60 nodes and a star around its end."""
+    graph.add_nodes("N", spark.range(100).selectExpr("id AS k", "id % 7 AS v"), "k")
+    graph.add_nodes("M", spark.range(5).selectExpr("id AS k"), "k")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(60, i) for i in range(61, 100)], "a long, b long")
+    return graph.add_rels("E", edges, ("N", "a"), ("N", "b"), ["a", "b"])
+
+
+@pytest.mark.parametrize(
+    ("text", "rows"),
+    [
+        ("MATCH (a:N {k: 7}) OPTIONAL MATCH (a)-[e:E*1..6]->(b) RETURN count(b)", [(6,)]),
+        ("MATCH (a:N) WHERE a.k = 7 OPTIONAL MATCH (a)-[e:E*1..6]->(b) WHERE b.v > a.v RETURN count(b)", [(6,)]),
+        ("MATCH (a:N) WHERE a.k = 6 AND EXISTS { MATCH (a)-[:E*1..6]->(b) WHERE b.v = 5 } RETURN a.k", [(6,)]),
+        ("MATCH (a:N) WHERE a.k = 6 AND NOT EXISTS { MATCH (a)-[:E*1..6]->(b) WHERE b.v = 6 } RETURN a.k", [(6,)]),
+        ("MATCH (a:N {k: 6}) RETURN COUNT { MATCH (a)-[:E*1..6]->(b) } AS n", [(6,)]),
+        ("MATCH (a:N)-[e:E*1..6]->(b:N) WHERE a.k = 3 AND b.v <> 3 RETURN count(*)", [(6,)]),
+        ("MATCH (a:N)-[e:E*1..6]->(b:N) WHERE b.k = 9 RETURN count(*)", [(6,)]),
+        ("MATCH (a:N)-[e:E* SHORTEST 1..6]->(b:N) WHERE a.k IN [3] RETURN max(length(e))", [(6,)]),
+        ("MATCH (a:M)-[:E*1..6]->(b) RETURN count(*)", [(0,)]),
+        ("MATCH (a {k: 3}) OPTIONAL MATCH (a:M)-[:E*1..6]->(b) RETURN count(a), count(b)", [(2, 0)]),
+    ],
+)
+def test_searches_begin_at_what_is_known(line, spark, monkeypatch, text, rows):
+    """One row a level is written, not one for each node."""
+    from graphloom.plans import paths
+
+    written = []
+    monkeypatch.setattr(paths, "staged", lambda df, f=paths.staged: written.append(f(df)) or written[-1])
+    got = [tuple(r) for r in line.query(text).collect()]
+    assert got == rows
+    assert all(df.count() <= 5 for df in written if "s" in df.columns)
+
+
+def test_exists_is_a_semi_join(line):
+    plan = lambda text: line.query(text)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan("MATCH (a:N) WHERE EXISTS { MATCH (a)-[:E]->(b:N) WHERE b.v > a.v } RETURN a.k")
+    assert "LeftAnti" in plan("MATCH (a:N) WHERE NOT (a)-[:E]->(:N) RETURN a.k")
+    assert line.query("MATCH (a:N) WHERE NOT (a)-[:E]->(:N) RETURN count(*)").first()[0] == 39
+    assert line.query("MATCH (a:N) WHERE (a)-[:E]->(:N) OR a.k = 99 RETURN count(*)").first()[0] == 62
+    assert line.query("MATCH (a:N) WHERE NOT NOT EXISTS { MATCH (a)-[:E]->() } AND a.k > 50 RETURN count(*)").first()[0] == 10
