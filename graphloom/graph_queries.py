@@ -90,6 +90,17 @@ PAIRS: dict[str, tuple[str, str | None]] = {
     "count_subquery": ("MATCH (c:Customer) RETURN COUNT { MATCH (c)-[:PLACED]->(o:Orders) WHERE o.o_totalprice > 100000 } AS k, count(*) AS n", "SELECT k, count(*) AS n FROM (SELECT c_custkey, count(o_orderkey) AS k FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 100000 GROUP BY c_custkey) GROUP BY k"),
     "correlated_subquery": ("MATCH (c:Customer) WHERE EXISTS { MATCH (c)-[:PLACED]->(o:Orders) WHERE o.o_totalprice > c.c_acctbal * 40 } RETURN count(*) AS n", "SELECT count(*) AS n FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 40)"),
     "cyclic_join": ("MATCH (c:Customer)-[:LIVES_IN]->(n:Nation)<-[:BASED_IN]-(s:Supplier), (c)-[:PLACED]->(o:Orders)-[:SUPPLIED_BY]->(s) RETURN n.n_name AS nation, count(*) AS n", "SELECT n_name AS nation, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey = n_nationkey GROUP BY n_name"),
+    "chain_count": (
+        "MATCH (a:Orders)-[:CONTAINS]->(p:Part)<-[:CONTAINS]-(b:Orders)-[:SUPPLIED_BY]->(s:Supplier)<-[:SUPPLIED_BY]-(c:Orders)-[:CONTAINS]->(q:Part)<-[:CONTAINS]-(d:Orders) RETURN count(*) AS n",
+        """WITH ps AS (SELECT l_partkey AS p, count(*) AS n FROM lineitem GROUP BY l_partkey), o AS (SELECT l_orderkey AS o, sum(n) AS n FROM lineitem JOIN ps ON p = l_partkey GROUP BY l_orderkey),
+            ss AS (SELECT l_suppkey AS s, sum(n) AS n FROM lineitem JOIN o ON o = l_orderkey GROUP BY l_suppkey) SELECT sum(n * n)::BIGINT AS n FROM ss""",
+    ),
+    "chain_groups": (
+        "MATCH (n:Nation)<-[:BASED_IN]-(s:Supplier)<-[:SUPPLIED_BY]-(o:Orders)-[x:CONTAINS]->(p:Part)<-[:CONTAINS]-(q:Orders)<-[:PLACED]-(c:Customer) WHERE p.p_size < 20 AND x.l_quantity > 10 AND c.c_acctbal > 0 RETURN n.n_name AS nation, count(*) AS n, count(n.n_name) AS m, sum(n.n_nationkey) AS s",
+        """WITH q AS (SELECT l_partkey AS p, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE c_acctbal > 0 GROUP BY l_partkey),
+            o AS (SELECT l_orderkey AS o, sum(n) AS n FROM lineitem JOIN q ON p = l_partkey JOIN part ON p_partkey = l_partkey WHERE p_size < 20 AND l_quantity > 10 GROUP BY l_orderkey)
+            SELECT n_name AS nation, sum(n)::BIGINT AS n, sum(n)::BIGINT AS m, sum(n) * min(n_nationkey) AS s FROM lineitem JOIN o ON o = l_orderkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY n_name""",
+    ),
     "cross_product": ("MATCH (r:Region), (s:Supplier) WHERE r.r_regionkey = s.s_suppkey % 5 RETURN r.r_name AS region, count(*) AS n", "SELECT r_name AS region, count(*) AS n FROM region, supplier WHERE r_regionkey = s_suppkey % 5 GROUP BY r_name"),
     "theta_join": ("MATCH (a:Nation), (b:Nation) WHERE a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey RETURN count(*) AS n", "SELECT count(*) AS n FROM nation a, nation b WHERE a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey"),
     "aggregates": ("MATCH (o:Orders) RETURN o.o_orderstatus AS s, count(*) AS n, count(DISTINCT o.o_custkey) AS c, round(sum(o.o_totalprice), 2) AS t, round(avg(o.o_totalprice), 4) AS a, min(o.o_orderkey) AS lo, max(o.o_orderpriority) AS hi", "SELECT o_orderstatus AS s, count(*) AS n, count(DISTINCT o_custkey) AS c, round(sum(o_totalprice), 2) AS t, round(avg(o_totalprice), 4) AS a, min(o_orderkey) AS lo, max(o_orderpriority) AS hi FROM orders GROUP BY s"),

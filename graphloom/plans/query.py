@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from graphloom.errors import BindError
 from graphloom.parser import ast as A
 from graphloom.plans.expressions import AGGREGATES, Compiler, children, has_aggregate, walk
+from graphloom.plans.factorised import by_weight, weighted
 from graphloom.plans.matching import Matcher
 from graphloom.plans.scope import ORDER, Binding, State, fresh
 from graphloom.plans.subqueries import with_subqueries
@@ -74,8 +75,14 @@ class Runner:
         state = State(self.session.one, {})
         self.session.tracked = tracked(clauses)
         self.matcher = Matcher(self.session, mentioned(clauses))
+        self.weight = None
+        if len(clauses) > 1 and isinstance(clauses[0], A.Match) and isinstance(clauses[1], A.Project) and self.session.setting("enable_plan_optimizer"):
+            found = weighted(self, *clauses[:2])
+            if found is not None:
+                state, self.weight = found
+                clauses = clauses[1:]
         for c in clauses:
-            state = self.clause(state, c)
+            state, self.weight = self.clause(state, c), None
         if isinstance(clauses[-1], UPDATES):
             return self.session.spark.createDataFrame([], T.StructType([]))
         if isinstance(clauses[-1], A.CallFunc | A.LoadFrom):
@@ -284,7 +291,7 @@ class Runner:
                 for f in self.aggregates(e):
                     if f not in known:
                         known[f] = col = fresh("a")
-                        aggs[col] = self.one(compiler, f)
+                        aggs[col] = self.one(compiler, f) if self.weight is None else by_weight(compiler, f, self.weight, self.one)
         df = state.df.withColumns(before) if before else state.df
         keys = list(dict.fromkeys(keys))
         payload = [c for c in dict.fromkeys(payload) if c not in keys]
