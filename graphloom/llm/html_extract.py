@@ -4,7 +4,7 @@ The tree builder opens and closes elements as browsers do where tags are left ou
 paragraph, list items, table parts and options close their like, cells open a row, an end tag without a start is
 ignored, void elements have no content, and script, style and the like hold raw text.
 
-Not visible: what is in HIDDEN_TAGS; elements with `hidden`, or a style of display:none or visibility:hidden; closed `details` but for their summary; closed `dialog`; comments.
+Not visible: what is in HIDDEN_TAGS; elements with `hidden` or a style of display:none; text under visibility:hidden, but for what a style within makes visible again; closed `details` but for their summary; closed `dialog`; comments.
 
 Layout: white space collapses but in `pre` and `textarea`; blocks begin lines; paragraphs, headings, lists, tables and
 quotes stand apart by a blank line; a cell that spans rows or columns holds its place in each; list items get "- " or their number, nested ones two spaces more; a table's cells
@@ -20,6 +20,7 @@ from __future__ import annotations
 import html as entities
 import re
 from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +33,10 @@ from graphloom.llm.common import spare
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
 #: One attribute of a tag, or a slash; a quote counts as one after "=" alone, so each character is read once.
 ATTRIBUTE = re.compile(r"[\s/]*(?:(=?[^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]*)))?)")
-NO_DISPLAY = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)", re.I)
+#: Characters of a cell that widen its column; a padded table's size over its cells'; levels of indentation; of tables that are laid out.
+WIDEST, SLACK, DEEPEST, NESTED = 80, 8, 20, 8
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
 HIDDEN_TAGS = frozenset("head script style title template noscript noframes noembed iframe object audio video canvas datalist col colgroup map desc defs metadata symbol clippath annotation annotation-xml".split())
@@ -173,7 +177,7 @@ class Page:
             if self.lines and self.gap:
                 self.lines.append("")
             self.gap = 0
-            self.line.append("  " * (self.indent - bool(self.mark)) + self.mark)
+            self.line.append("  " * min(DEEPEST, self.indent - bool(self.mark)) + self.mark)
             self.mark = ""
         self.line.append(text)
 
@@ -193,30 +197,35 @@ class Page:
 
 def aligned(rows: list[list[tuple[str, int, int]]]) -> list[str]:
     """Cells (text, columns and rows spanned) as lines, padded to their columns' widths. A cell that spans rows keeps its
-    columns empty in the rows below."""
+    columns empty in the rows below. A cell of over WIDEST characters widens no column; no span reaches beyond the
+    columns of the row with the most cells; and a table whose padding would be over SLACK times its cells isn't padded."""
+    most = max((len(row) for row in rows), default=0)
     grid: list[list[tuple[str, int, int]]] = []  # text, column, columns
-    taken: dict[int, int] = {}  # columns that cells above still hold, and for how many rows
-    widths: list[int] = []
-    for row in rows:
-        at, placed, below = 0, [], {}
+    taken: dict[int, int] = {}  # the last row in which a column is held by a cell above
+    widths = [0] * (2 * most + 1)
+    for r, row in enumerate(rows):
+        at, placed = 0, []
         for cell, span, deep in row:
-            while taken.get(at):
-                placed.append(("", at, 1))
+            start = at
+            while taken.get(at, -1) >= r:
                 at += 1
+            if at > start:
+                placed.append(("", start, at - start))
+            span = max(1, min(span, most - at))
             placed.append((cell, at, span))
             if deep > 1:
-                below |= dict.fromkeys(range(at, at + span), deep)
+                taken |= dict.fromkeys(range(at, at + span), r + deep - 1)
+            widths += [0] * (at + span + 1 - len(widths))
+            if span == 1 and len(cell) <= WIDEST:
+                widths[at] = max(widths[at], len(cell))
             at += span
-        placed += [("", c, 1) for c in sorted(taken) if c >= at]
-        taken = {c: n - 1 for c, n in (taken | below).items() if n > 1}
         grid.append(placed)
-        for cell, c, span in placed:
-            widths += [0] * (c + span - len(widths))
-            if span == 1:
-                widths[c] = max(widths[c], len(cell))
+    upto = [0, *accumulate(w + 3 for w in widths)]
+    padded = sum(max(len(cell), upto[c + span] - upto[c]) for placed in grid for cell, c, span in placed)
+    pad = padded <= SLACK * sum(len(cell) + 16 for row in rows for cell, _, _ in row)
     out = []
     for placed in grid:
-        cells = [cell.ljust(sum(widths[c : c + span]) + 3 * (span - 1)) for cell, c, span in placed]
+        cells = [cell.ljust(upto[c + span] - upto[c] - 3) if pad else cell for cell, c, span in placed]
         if line := " | ".join(cells).rstrip(" |"):
             out.append(line if cells[0].strip() or len(cells) == 1 else " | ".join(cells).rstrip())
     return out
@@ -228,23 +237,37 @@ def spanned(node: Node, name: str) -> int:
 
 
 def render(root: Node) -> str:
-    pages, tables, lists, pre = [Page()], [], [], 0
-    todo: list[tuple] = [("in", root)]
+    """The visible text. Tables within NESTED others are blocks like any; visibility is inherited until a style changes it."""
+    pages, tables, lists, pre, flat = [Page()], [], [], 0, 0
+    todo: list[tuple] = [("in", root, True)]
     while todo:
-        what, node = todo.pop()
+        what, node, shown = todo.pop()
         page = pages[-1]
         if isinstance(node, str):
-            page.say(node, as_is=pre > 0)
+            if shown:
+                page.say(node, as_is=pre > 0)
             continue
         tag = node.tag
+        if what == "flat":
+            flat -= 1
+            page.end(True)
+            continue
         if what == "in":
             if hidden(node):
                 continue
             children = node.children
+            if "style" in node.attrs and (style := VISIBILITY.findall(node.attrs["style"])):
+                shown = style[-1].lower() == "visible"
+            if tag == "table" and len(tables) >= NESTED:
+                flat += 1
+                page.end(True)
+                todo.append(("flat", node, shown))
+                todo += [("in", c, shown) for c in reversed(children)]
+                continue
             if tag == "br":
                 page.end(blank_too=True)
                 continue
-            if tag == "hr":
+            if tag == "hr" and shown:
                 page.end(True)
                 page.put("---")
                 page.end(True)
@@ -254,9 +277,9 @@ def render(root: Node) -> str:
             if tag == "table":
                 page.end(True)
                 tables.append([])
-            elif tag == "tr" and tables:
+            elif tag == "tr" and tables and not flat:
                 tables[-1].append([])
-            elif tag in ("td", "th") and tables:
+            elif tag in ("td", "th") and tables and not flat:
                 if not tables[-1]:
                     tables[-1].append([])
                 pages.append(Page())
@@ -276,10 +299,10 @@ def render(root: Node) -> str:
                 pre += 1
             elif tag == "blockquote":
                 page.indent += 1
-            todo.append(("out", node))
-            todo += [("in", c) for c in reversed(children)]
+            todo.append(("out", node, shown))
+            todo += [("in", c, shown) for c in reversed(children)]
             continue
-        if tag in ("td", "th") and tables:
+        if tag in ("td", "th") and tables and not flat:
             cell = " ".join(x.strip() for x in pages.pop().text().split("\n") if x.strip())
             tables[-1][-1].append((cell, spanned(node, "colspan"), spanned(node, "rowspan")))
             continue

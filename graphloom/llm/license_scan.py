@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import Memo, spare
 from graphloom.llm.license_templates import TEMPLATES
 
-DICE = 0.8
+#: Bigrams of a text that are looked through at once.
+DICE, BLOCK = 0.8, 64
 UNIT = re.compile(r"\n|(?<=[.!?;:])\s+")
 WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
 MATCH = "array<struct<license:string,dice:double,first_unit:int,units:int,words:int>>"
@@ -106,24 +107,32 @@ class Scanner:
         out, size = [], len(self.sets[name])
         excess = 2 * size * (1 - self.dice) / self.dice + 1e-9
         hits = np.unique(np.searchsorted(starts, np.flatnonzero(inside), "right") - 1)
+        oldest = np.minimum.reduceat(before, np.arange(0, len(before), BLOCK))
+        finals = np.append(0, np.cumsum(final))
+        closes = np.zeros(len(inside), bool)
+        closes[starts[starts >= 2] - 2] = True
         for i in hits.tolist():
-            s, reach = int(starts[i]), 64
+            s = int(starts[i])
+            # blocks in which a bigram is met that the stretch hasn't had; nothing changes in the others
+            blocks = np.flatnonzero(oldest[s // BLOCK :] < s) + s // BLOCK
+            reach = 1
             while True:
-                e = min(len(inside), s + reach)
-                fresh = before[s:e] < s
+                at = (blocks[:reach, None] * BLOCK + np.arange(BLOCK)).ravel()
+                at = at[(at >= s) & (at < len(inside))]
+                whole = reach >= len(blocks)
+                fresh = before[at] < s
                 own = np.cumsum(fresh)
-                common = np.cumsum(fresh & inside[s:e])
-                # ends of units whose bigrams, and the one to the next word, are seen
-                lo, hi = np.searchsorted(starts, (s + 1, e + (e == len(inside))), "right")
-                ends = np.unique(starts[max(lo - (starts[lo - 1] > s), i + 1) : hi])
-                ends = ends[ends - s >= 2]
-                c, n = common[ends - s - 2], own[ends - s - 2]
+                common = np.cumsum(fresh & inside[at])
+                # ends of units: where their last bigram is
+                last = np.flatnonzero(closes[at])
+                ends = at[last] + 2
+                c, n = common[last], own[last]
                 # what the units up to an end alone have, with the bigram to the next word
-                past = np.minimum(ends - s - 1, len(own) - 1)
-                poor = common[past] < self.dice / 2 * np.cumsum(final[s:e])[past] - 1e-9
+                past = np.minimum(np.searchsorted(at, ends - 1), len(own) - 1)
+                poor = common[past] < self.dice / 2 * (finals[at[past] + 1] - finals[s]) - 1e-9
                 over = (n - c > excess) | np.append(False, (poor | (c == size))[:-1])
                 stop = int(np.argmax(over)) if over.any() else len(ends)
-                if stop < len(ends) or e == len(inside) or (len(ends) and bool(poor[-1] | (c[-1] == size))) or int(own[-1] - common[-1]) > excess + 1:
+                if stop < len(ends) or whole or (len(ends) and bool(poor[-1] | (c[-1] == size))) or int(own[-1] - common[-1]) > excess + 1:
                     break
                 reach *= 2
             dice = 2 * c / (n + size)

@@ -29,6 +29,10 @@ from graphloom.llm.license_templates import TEMPLATES
         ("<table><tr><td rowspan=2>A<td>b1<td>c1<tr><td>b2<td>c2<tr><td>d</table>", "A | b1 | c1\n  | b2 | c2\nd"),
         ("<table><tr><td>a<td rowspan=9>b<tr><td>c</table>x", "a | b\nc\n\nx"),
         ("<a title='>' href=x>y</a> <b \" c>z</b> t<i class=", "y z t"),
+        ("<div style='visibility: hidden'>a <b style='color:red; visibility:visible'>b</b> c</div>d", "b\nd"),
+        ("<table><tr><td colspan=1000>a<td>b<tr><td>c<td rowspan=1000 colspan=1000>d</table>", "a     | b\nc | d"),
+        (f"<table><tr><td>{'x' * 90}<td>a<tr><td>b<td>c</table>", f"{'x' * 90} | a\nb | c"),
+        ("<table><td>" * 9 + "x" + "<tr><td>y", "x y"),
         ("<p>one<div>two<p>three</div>four</b>", "one\n\ntwo\n\nthree\n\nfour"),
     ],
 )
@@ -48,6 +52,37 @@ def test_time_follows_length(piece):
     assert time.process_time() - began < 25 and tree.tag == "#root"
 
 
+WIDE = "w" * 20_000
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        f"<table><tr><td>{WIDE}<td>y" + "<tr><td>a<td>b" * 8_000,
+        "<table>" + "<tr><td rowspan=1000 colspan=1000>" * 20 + "<tr>" * 40_000,
+        "<table>" + "<tr>" + "<td rowspan=1000>x" * 3_000 + "<tr><td>y" * 10_000,
+        "<table>" + "<tr><td colspan=1000>" * 10_000 + "<tr>" + "<td>abcdefgh" * 2_000,
+        "<ul><li>x" * 20_000,
+        "<blockquote>x" * 20_000,
+        "<table><td>x" * 10_000,
+        "<table><tr>" + "<td>" + "z" * 70 + "<td>a" * 3_000 + "<tr><td>a" * 3_000,
+    ],
+)
+def test_text_follows_length(source):
+    began = time.process_time()
+    text = render(parse(source))
+    assert len(text) <= 12 * len(source) and time.process_time() - began < 25
+
+
+@pytest.mark.parametrize("tail", ["", " and in addition some words that no template has", "\n" + TEMPLATES["MIT"][-60:]])
+def test_licence_time_follows_length(tail):
+    """A template, and then one of its units for a megabyte."""
+    s, text = Scanner(TEMPLATES, DICE), TEMPLATES["MIT"] + "\npermission is hereby granted" * 36_000 + tail
+    began = time.process_time()
+    found = s.scan(text)
+    assert time.process_time() - began < 60 and found[0]["license"] == "MIT"
+
+
 def test_extract_frame(spark):
     rows = [(1, "<title> T  t</title><p>x", "keep"), (1, "<title> T  t</title><p>x", "keep"), (None, None, None)]
     got = extract(spark.createDataFrame(rows, "page_id long, html string, text string")).select("page_id", "text", "page.title", "page.text").collect()
