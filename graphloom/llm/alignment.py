@@ -39,7 +39,7 @@ from graphloom.dist import ship
 from graphloom.llm.common import as_bytes, release, slices, small_batches, staged, texts
 
 #: Characters of text that are aligned at once; bytes of groups and transitions that a worker's tables hold; pairs that are broadcast.
-CHUNK, TABLE_BYTES, TRANSITIONS, MOST_BROADCAST = 1 << 19, 1 << 26, 1 << 18, 2_000_000
+CHUNK, TABLE_BYTES, TRANSITIONS, MOST_BROADCAST = 1 << 19, 1 << 27, 1 << 18, 2_000_000
 #: From a unit's start to the last character before the next cut.
 UNIT = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
 CUT = re.compile(r"(?<=\S)[ \n]")
