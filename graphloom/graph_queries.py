@@ -90,6 +90,21 @@ PAIRS: dict[str, tuple[str, str | None]] = {
     "count_subquery": ("MATCH (c:Customer) RETURN COUNT { MATCH (c)-[:PLACED]->(o:Orders) WHERE o.o_totalprice > 100000 } AS k, count(*) AS n", "SELECT k, count(*) AS n FROM (SELECT c_custkey, count(o_orderkey) AS k FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 100000 GROUP BY c_custkey) GROUP BY k"),
     "correlated_subquery": ("MATCH (c:Customer) WHERE EXISTS { MATCH (c)-[:PLACED]->(o:Orders) WHERE o.o_totalprice > c.c_acctbal * 40 } RETURN count(*) AS n", "SELECT count(*) AS n FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 40)"),
     "cyclic_join": ("MATCH (c:Customer)-[:LIVES_IN]->(n:Nation)<-[:BASED_IN]-(s:Supplier), (c)-[:PLACED]->(o:Orders)-[:SUPPLIED_BY]->(s) RETURN n.n_name AS nation, count(*) AS n", "SELECT n_name AS nation, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey = n_nationkey GROUP BY n_name"),
+    "triangles": (
+        "MATCH (a:Customer)-[:REFERRED_BY|MENTORED_BY]->(b:Customer)-[:REFERRED_BY|MENTORED_BY]->(c:Customer)<-[:REFERRED_BY|MENTORED_BY]-(a) RETURN c.c_nationkey AS nation, count(*) AS n, sum(a.c_custkey) AS s, max(b.c_custkey) AS m",
+        f"WITH {BOTH} SELECT c_nationkey AS nation, count(*) AS n, sum(x.s) AS s, max(x.d) AS m FROM e x JOIN e y ON x.d = y.s JOIN e z ON z.s = x.s AND z.d = y.d JOIN customer ON c_custkey = y.d GROUP BY c_nationkey",
+    ),
+    "four_cycles": (
+        "MATCH (a:Orders)-[:CONTAINS]->(p:Part)<-[:CONTAINS]-(b:Orders)-[:CONTAINS]->(q:Part)<-[:CONTAINS]-(a) WHERE a.o_orderkey < b.o_orderkey AND p.p_partkey < q.p_partkey RETURN p.p_size AS size, count(*) AS n, sum(b.o_orderkey - a.o_orderkey) AS s",
+        """WITH t AS (SELECT x.l_orderkey AS o, x.l_partkey AS p, y.l_partkey AS q FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey)
+            SELECT p_size AS size, count(*) AS n, sum(b.o - a.o) AS s FROM t a JOIN t b ON a.p = b.p AND a.q = b.q AND a.o < b.o JOIN part ON p_partkey = a.p GROUP BY p_size""",
+    ),
+    "rings": (
+        "MATCH (a:Customer)-[:BESIDE]->(b:Customer)-[:BESIDE]->(c:Customer)-[:BESIDE]->(d:Customer)-[:BESIDE]->(a) RETURN a.c_custkey AS k, count(*) AS n, min(c.c_custkey) AS c",
+        """WITH r AS (SELECT c_custkey AS s, CASE WHEN c_custkey % 4 < 3 THEN c_custkey + 1 ELSE c_custkey - 3 END AS d FROM customer UNION ALL SELECT c_custkey, c_custkey + 4 FROM customer WHERE c_custkey % 8 = 0),
+            e AS (SELECT s, d FROM r WHERE d IN (SELECT c_custkey FROM customer))
+            SELECT w.s AS k, count(*) AS n, min(x.d) AS c FROM e w JOIN e x ON w.d = x.s JOIN e y ON x.d = y.s JOIN e z ON y.d = z.s AND z.d = w.s GROUP BY w.s""",
+    ),
     "chain_count": (
         "MATCH (a:Orders)-[:CONTAINS]->(p:Part)<-[:CONTAINS]-(b:Orders)-[:SUPPLIED_BY]->(s:Supplier)<-[:SUPPLIED_BY]-(c:Orders)-[:CONTAINS]->(q:Part)<-[:CONTAINS]-(d:Orders) RETURN count(*) AS n",
         """WITH ps AS (SELECT l_partkey AS p, count(*) AS n FROM lineitem GROUP BY l_partkey), o AS (SELECT l_orderkey AS o, sum(n) AS n FROM lineitem JOIN ps ON p = l_partkey GROUP BY l_orderkey),

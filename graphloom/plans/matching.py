@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from graphloom.errors import BindError
 from graphloom.parser import ast as A
+from graphloom.plans.cycles import cycle
 from graphloom.plans.expressions import Compiler, names_in, walk
 from graphloom.plans.paths import recursive_frame
 from graphloom.plans.scope import Binding, State, fresh
@@ -168,6 +169,8 @@ class Matcher:
                 if rel.var and (rel.var in state.scope or sum(r.var == rel.var for p in paths for r in p.rels) > 1):
                     raise BindError(f"bind relationship {rel.var} to relationship with same name is not supported")
         labels, some = self.infer(paths, names, state.scope, hints)
+        if self.session.setting("enable_plan_optimizer") and (found := cycle(self, state, paths, names, labels, some)) is not None:
+            return found
         for path in paths:
             state = self.path(state, path, names, labels, some)
         return state
