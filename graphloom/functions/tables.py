@@ -359,16 +359,20 @@ def drop_index(session, table, name):
 
 @table_function("create_fts_index")
 def create_fts_index(session, table, name, columns, **options):
-    return _index(session, table, name, list(columns), "FTS", options)
+    from graphloom.functions.text import InvertedIndex
+
+    i = _index(session, table, name, list(columns), "FTS", options)
+    t = session.catalog.node(table)
+    session.catalog.indexes[name]["data"] = InvertedIndex.of(t.data, t.key, list(columns))
+    return i
 
 
 @table_function("query_fts_index")
 def query_fts_index(session, table, name, query, conjunctive=False, k=1.2, b=0.75, top=None):
-    from graphloom.functions import text
-
     i = _find(session, table, name, "FTS")
     t = session.catalog.node(table)
-    scores = text.search(t.frame, t.key, i["columns"], query, conjunctive, k, b)
+    i["data"] = i["data"].at(t.data, t.key)
+    scores = i["data"].search(query, conjunctive, k, b)
     out = t.frame.join(scores, F.col(f"`{t.key}`") == F.col("k")).select(F.struct(F.lit(t.name).alias("_LABEL"), *(F.col(f"`{c}`") for c in t.columns)).alias("node"), "score")
     return out.orderBy(F.desc("score")).limit(int(top)) if top else out
 

@@ -310,6 +310,24 @@ def merge_rels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.query("MATCH (c:C)-[:V]->(n:N) RETURN n.id AS nation, count(*) AS n")
 
 
+TEXT_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+'), lambda x: x NOT IN ('a', 'an', 'and', 'are', 'as', 'at', 'be', 'but', 'by', 'for', 'if', 'in', 'into', 'is', 'it', 'no', 'not', 'of', 'on', 'or', 'such', 'that', 'the', 'their', 'then', 'there', 'these', 'they', 'this', 'to', 'was', 'will', 'with')) AS ws FROM documents
+), q AS (
+  SELECT -1 AS doc_id, ['thention', 'reble', 'thatnd'] AS ws
+), w AS (
+  SELECT doc_id, len(ws) AS n, unnest(ws) AS x FROM (SELECT * FROM d UNION ALL SELECT * FROM q)
+), s AS (
+  SELECT doc_id, n, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, 'sses$', 'ss'),
+    '^(.{3,})ies$', '\1y'), '^(.*[^s].)s$', '\1'), '^(.{3,})ing$', '\1'), '^(.{3,})edly$', '\1'), '^(.{3,})ed$', '\1'), '^(.{3,})ly$', '\1') AS word FROM w
+), p AS (
+  SELECT doc_id, n, word, count(*) AS tf FROM s WHERE doc_id >= 0 AND word IN (SELECT word FROM s WHERE doc_id < 0) GROUP BY doc_id, n, word
+), f AS (SELECT word, count(*) AS df FROM p GROUP BY word), t AS (SELECT count(*) AS docs, avg(len(ws)) AS mean FROM d)
+SELECT doc_id, round(sum(ln((docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 4) AS score
+FROM p JOIN f ON p.word = f.word, t GROUP BY doc_id
+"""
+
+
 def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = graph(spark, sf_dir)
     g.query("CALL create_fts_index('Document', 'docs', ['text'])")
@@ -383,6 +401,7 @@ ORACLES: dict[str, str] = {n: sql for n, (_, sql) in (PAIRS | FUNCTION_PAIRS).it
     "macro": "SELECT p_partkey AS k, p_size * 2 + 10 AS x, p_size * 2 + 1 AS y FROM part",
     "delete_rels": "SELECT n_name AS nation, count(*) AS n FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND c_acctbal <= 5000 GROUP BY n_name",
     "merge_rels": "SELECT c_nationkey AS nation, count(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY nation",
+    "text_search": TEXT_SQL,
     "vector_search": "SELECT query, rank, k, round(d, 3) AS d FROM (SELECT w.vec_id AS query, v.vec_id AS k, list_distance(v.embedding::DOUBLE[], w.embedding::DOUBLE[]) AS d, row_number() OVER (PARTITION BY w.vec_id ORDER BY list_distance(v.embedding::DOUBLE[], w.embedding::DOUBLE[]), v.vec_id) AS rank FROM embeddings v, embeddings w WHERE w.vec_id % 50 = 0) WHERE rank <= 10",
     "vector_index": "SELECT v.vec_id AS k, round(list_distance(v.embedding::DOUBLE[], w.embedding::DOUBLE[]), 3) AS d FROM embeddings v, embeddings w WHERE w.vec_id = 0 ORDER BY list_distance(v.embedding::DOUBLE[], w.embedding::DOUBLE[]), v.vec_id LIMIT 10",
 }

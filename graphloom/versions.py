@@ -79,6 +79,10 @@ class Version:
         k = F.col(f"`{key}`")
         return every.join(reduce(DataFrame.unionByName, gone), (k == F.col("__k")) & (at < F.col("__until")), "left_anti").drop("__at")
 
+    def added(self, key: str, start: int) -> DataFrame | None:
+        """The rows that the parts from start on have added, as they stand now."""
+        return self._read(key, None, start)
+
     def folded(self, key: str) -> Version:
         """The same rows with two parts at most: keys that the base loses, rows that it gains."""
         added = self._read(key, None, 0)
@@ -208,6 +212,8 @@ def changed(old, new) -> list[tuple[tuple, int, int]]:
 
 def _shape(entry):
     """An entry without its rows."""
+    if isinstance(entry, dict):
+        return {k: v for k, v in entry.items() if k != "data"}
     return {k: v for k, v in vars(entry).items() if k not in ("data", "frames")} if hasattr(entry, "__dict__") else entry
 
 

@@ -307,3 +307,43 @@ def test_history_is_whole(spark):
     table.frame = spark.createDataFrame(rows, "id long, at string, actor string, action string, target string, detail string").select(*table.columns)
     assert [r["action"] for r in log.get_history("N:1")] == [f"a{i}" for i in range(239, 0, -2)]
     assert len(log.query(target="N:1")) == 100
+
+
+def test_the_text_index_follows_the_table(graph, run, spark):
+    import math
+
+    from graphloom.functions import text
+
+    run("CREATE NODE TABLE D(id INT64, t STRING, PRIMARY KEY(id))")
+    run("CREATE (:D {id: 1, t: 'red apple, red'}), (:D {id: 2, t: 'green apples'}), (:D {id: 3, t: 'pear'}), (:D {id: 4})")
+    run("CALL create_fts_index('D', 'i', ['t'])")
+
+    def check():
+        docs = {i: text.asked_words(spark, t) and [x.rstrip("s") for x in t.replace(",", "").split()] for i, t in run("MATCH (d:D) RETURN d.id, coalesce(d.t, '')")}
+        mean, want = sum(map(len, docs.values())) / len(docs), {}
+        for w in ("apple", "red"):
+            df = sum(w in ws for ws in docs.values())
+            for i, ws in docs.items():
+                if w in ws:
+                    want[i] = want.get(i, 0) + math.log((len(docs) - df + 0.5) / (df + 0.5) + 1) * ws.count(w) * 2.2 / (ws.count(w) + 1.2 * (0.25 + 0.75 * len(ws) / mean))
+        got = dict(run("CALL query_fts_index('D', 'i', 'red apple') RETURN node.id, score"))
+        assert got == pytest.approx(want) and got
+
+    check()
+    index = lambda: graph.catalog.indexes["i"]["data"]
+    first = index().segments[0]
+    run("MATCH (d:D {id: 2}) SET d.t = 'red'")
+    run("CREATE (:D {id: 5, t: 'apple apple pear'})")
+    run("MATCH (d:D {id: 1}) DELETE d")
+    check()
+    assert index().segments[0] is first and len(index().segments) == 2
+    run("MATCH (d:D {id: 5}) DELETE d")
+    check()
+    run("CHECKPOINT")
+    check()
+    run("ALTER TABLE D ADD x INT64")
+    check()
+    assert len(index().segments) == 1
+    plan = index().search("red")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(word), EqualTo(word,red)" in plan or "In(word" in plan
+    run("CALL drop_fts_index('D', 'i')")
