@@ -216,12 +216,15 @@ class VectorIndex:
 
     def hybrid_search(self, table: str, name: str, query: list[float], edge_table: str, k: int = 10) -> list[dict[str, Any]]:
         """The k nearest nodes, each with the keys of its neighbours over the edge table."""
-        t = self.db.session.catalog.node(table)
-        out = []
-        for row in self.search(table, name, query, k):
-            edges = self.db.get_edges(table, row[t.key], edge_table=edge_table)
-            out.append({**row, "neighbours": [e["target"] if e["direction"] == "out" else e["source"] for e in edges]})
-        return out
+        found, catalog = self.search(table, name, query, k), self.db.session.catalog
+        key, keys = catalog.node(table).key, [row[catalog.node(table).key] for row in found]
+        near: dict[Any, list[str]] = {x: [] for x in keys}
+        for pair, edges in catalog.rel(edge_table).frames.items():
+            for end, other, of in (("_src", "_dst", pair[0]), ("_dst", "_src", pair[1])):
+                if of == catalog.node(table).name:  # one query for all nodes found
+                    for r in edges.filter(F.col(end).isin(keys)).select(end, F.col(other).cast("string")).toLocalIterator():
+                        near[r[0]].append(r[1])
+        return [{**row, "neighbours": near[row[key]]} for row in found]
 
     def list_indices(self) -> list[dict[str, Any]]:
         return [{"name": n, **i} for n, i in self.db.session.catalog.indexes.items() if i["kind"] == "HNSW"]

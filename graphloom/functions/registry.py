@@ -389,16 +389,21 @@ def list_reverse_sort(c, t, v):
     return list_sort([c[0]], t[:1], [v[0], "DESC", v[1] if len(v) > 1 else "NULLS FIRST"])
 
 
+def _summed(kind: T.ArrayType) -> T.DataType:
+    """The type of a list's numbers; that of whole numbers for a list of nothing."""
+    return T.LongType() if isinstance(kind.elementType, T.NullType) else kind.elementType
+
+
 @scalar("list_sum")
 def list_sum(c, t, v):
-    e = t[0].elementType
-    return F.aggregate(F.array_compact(c[0]), F.lit(0).cast(e), lambda a, x: (a + x).cast(e))
+    e = _summed(t[0])
+    return F.aggregate(F.array_compact(c[0]), F.lit(0).cast(e), lambda a, x: (a + x.cast(e)).cast(e))
 
 
 @scalar("list_product")
 def list_product(c, t, v):
-    e = t[0].elementType
-    return F.aggregate(F.array_compact(c[0]), F.lit(1).cast(e), lambda a, x: (a * x).cast(e))
+    e = _summed(t[0])
+    return F.aggregate(F.array_compact(c[0]), F.lit(1).cast(e), lambda a, x: (a * x.cast(e)).cast(e))
 
 
 simple("list_distinct", lambda a: F.array_distinct(F.array_compact(a)))

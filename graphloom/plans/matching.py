@@ -92,6 +92,7 @@ class Matcher:
     def __init__(self, session, used: set[str]):
         self.session, self.used = session, used
         self.early: list = []  # conjuncts that a search need not wait for
+        self.demand: int | None = None  # how many paths of a search are enough
 
     def labels(self, node: A.NodePat) -> tuple:
         names = [self.session.catalog.node(x).name for x in node.labels]

@@ -127,7 +127,7 @@ def recursive_frame(matcher, state: State, source: Binding, kind: str, lo: int,
     elif "SHORTEST" in kind:
         found = _shortest(frontier, steps, kind, hi, track, cols)
     else:
-        found = _walks(frontier, steps, kind, lo, hi, track, cols)
+        found = _walks(frontier, steps, kind, lo, hi, track, cols, matcher.demand, labels)
     if labels:
         found = found.filter(F.col("fl").isin(*labels))
     out = {"src": fresh("s"), "src_label": fresh("sl"), "dst": fresh("d"), "dst_label": fresh("dl"), "len": fresh("n")}
@@ -165,7 +165,10 @@ def _step(frontier: DataFrame, steps: DataFrame, cols: dict, kind: str) -> DataF
     return met.select(*(c.alias(n) for n, c in new.items()))
 
 
-def _walks(frontier: DataFrame, steps: DataFrame, kind: str, lo: int, hi: int, track: bool, cols: dict) -> DataFrame:
+def _walks(frontier: DataFrame, steps: DataFrame, kind: str, lo: int, hi: int, track: bool, cols: dict, demand: int | None, labels: tuple) -> DataFrame:
+    """demand: so many paths to nodes of the labels are enough, and levels after those that have them aren't searched."""
+    from graphloom.plans.matching import union
+
     levels = [frontier] if lo == 0 else []
     deep = hi > FLAT
     if deep:
@@ -182,8 +185,10 @@ def _walks(frontier: DataFrame, steps: DataFrame, kind: str, lo: int, hi: int, t
             frontier = staged(frontier)
         if depth >= lo:
             levels.append(frontier)
-    from graphloom.plans.matching import union
-
+            if deep and demand is not None:
+                demand -= (frontier.filter(F.col("fl").isin(*labels)) if labels else frontier).limit(max(1, demand)).count()
+                if demand <= 0:
+                    break
     return union(levels) if levels else frontier.limit(0)
 
 

@@ -75,7 +75,7 @@ class Runner:
         state = State(self.session.one, {})
         self.session.tracked = tracked(clauses)
         self.matcher = Matcher(self.session, mentioned(clauses))
-        self.weight = None
+        self.weight, self.matcher.demand = None, self.demand(clauses)
         if len(clauses) > 1 and isinstance(clauses[0], A.Match) and isinstance(clauses[1], A.Project) and self.session.setting("enable_plan_optimizer"):
             found = weighted(self, *clauses[:2])
             if found is not None:
@@ -89,6 +89,19 @@ class Runner:
             return self.project(state, A.Project([A.Item(A.Star(), None, "*")], final=True))
         return self.result(state) if not isinstance(clauses[-1], A.Project) else state.df
 
+    def demand(self, clauses: list) -> int | None:
+        """How many paths are enough for a query that is one recursive relationship and a LIMIT, and nothing that could
+        drop, join or order paths."""
+        if len(clauses) != 2 or not isinstance(clauses[0], A.Match) or not isinstance(clauses[1], A.Project):
+            return None
+        m, p = clauses
+        if p.limit is None or p.distinct or p.order or m.optional or m.where is not None or len(m.paths) != 1 or len(m.paths[0].rels) != 1 or m.paths[0].rels[0].rec is None:
+            return None
+        nodes = m.paths[0].nodes
+        if nodes[0].props and nodes[1].props or nodes[0].var and nodes[0].var == nodes[1].var or any(has_aggregate(i.expr) or any(isinstance(x, A.Sub) for x in walk(i.expr)) for i in p.items):
+            return None
+        return self.number(p.limit, "limit") + (self.number(p.skip, "skip") if p.skip is not None else 0)
+
     def result(self, state: State) -> DataFrame:
         raise BindError("a query must end with RETURN or an update")
 

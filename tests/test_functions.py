@@ -6,7 +6,7 @@ import math
 import pytest
 
 CASES = [
-    ("1 + 2 * 3 ^ 2", 19.0), ("7 / 2", 3), ("-7 / 2", -3), ("7.0 / 2", 3.5), ("7 % 3", 1), ("'a' + 'b'", "ab"), ("5!", 120), ("abs(-3)", 3), ("ceil(1.2)", 2.0), ("floor(-1.2)", -2.0), ("even(3.0)", 4.0),
+    ("list_sum([])", 0), ("list_product([])", 1), ("list_sum([1, NULL, 2])", 3), ("1 + 2 * 3 ^ 2", 19.0), ("7 / 2", 3), ("-7 / 2", -3), ("7.0 / 2", 3.5), ("7 % 3", 1), ("'a' + 'b'", "ab"), ("5!", 120), ("abs(-3)", 3), ("ceil(1.2)", 2.0), ("floor(-1.2)", -2.0), ("even(3.0)", 4.0),
     ("round(2.567, 2)", 2.57), ("sign(-4)", -1), ("bitwise_and(6, 3)", 2), ("6 | 1", 7), ("bitwise_xor(6, 3)", 5), ("1 << 3", 8), ("16 >> 2", 4), ("cbrt(27.0)", 3.0), ("log2(8.0)", 3.0), ("ln(0.0)", -math.inf), ("degrees(pi())", 180.0),
     ("lgamma(5.0)", math.lgamma(5.0)), ("gamma(5.0)", 24.0), ("negate(3)", -3), ("atan2(0.0, 1.0)", 0.0),
     ("upper('ab')", "AB"), ("lcase('AB')", "ab"), ("left('hello', 2)", "he"), ("left('hello', -2)", "hel"), ("right('hello', 3)", "llo"), ("lpad('a', 3, 'x')", "xxa"), ("rpad('a', 3, 'x')", "axx"), ("trim('  a ')", "a"),

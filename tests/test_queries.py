@@ -147,3 +147,12 @@ def test_exists_is_a_semi_join(line):
     assert line.query("MATCH (a:N) WHERE NOT (a)-[:E]->(:N) RETURN count(*)").first()[0] == 39
     assert line.query("MATCH (a:N) WHERE (a)-[:E]->(:N) OR a.k = 99 RETURN count(*)").first()[0] == 62
     assert line.query("MATCH (a:N) WHERE NOT NOT EXISTS { MATCH (a)-[:E]->() } AND a.k > 50 RETURN count(*)").first()[0] == 10
+
+
+@pytest.mark.parametrize(("text", "rows", "levels"), [("MATCH (a:N {k: 0})-[e:E*1..30]->(b:N) RETURN b.k LIMIT 3", 3, 3), ("MATCH (a:N {k: 0})-[e:E*4..30]->(b) RETURN b.k SKIP 1 LIMIT 1", 1, 5), ("MATCH (a:N {k: 0})-[e:E*1..9]->(b:N) RETURN count(*) LIMIT 1", 1, 9), ("MATCH (a:N {k: 0})-[e:E*1..9]->(b:N) RETURN b.k ORDER BY b.k DESC LIMIT 2", 2, 9), ("MATCH (a:N)-[e:E*1..9]->(b:N {k: 9}) RETURN a.k LIMIT 9", 9, 9), ("MATCH (a:N {k: 0})-[e:E*1..9]->(b:M) RETURN b.k LIMIT 2", 0, 9)])
+def test_a_limit_ends_the_search(line, monkeypatch, text, rows, levels):
+    from graphloom.plans import paths
+
+    made = []
+    monkeypatch.setattr(paths, "_step", lambda *a, f=paths._step: made.append(1) or f(*a))
+    assert line.query(text).count() == rows and len(made) == levels
