@@ -50,10 +50,28 @@ def _weak(nodes: DataFrame, edges: DataFrame, rounds: int | None) -> DataFrame:
 
 
 def strongly_connected_components(nodes: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """(id, component): forward-backward colouring. Each round nodes without in- or out-edges leave, components of
-    their own; of the others every node gets the least id that reaches it; from each colour's root the nodes of the
-    colour that reach the root form a component and leave. Rounds go on until no node is left; a caller's own cap of
-    rounds raises if it is reached before."""
+    """(id, component): forward-backward colouring. Each round nodes without in- or out-edges leave, and with them the
+    chains that they begin or end, components of their own; of the others every node gets the least id that reaches it;
+    from each colour's root the nodes of the colour that reach the root form a component and leave. Rounds go on until no
+    node is left; a caller's own cap of rounds raises if it is reached before."""
+    return settled(lambda: _strong(nodes, edges, rounds))
+
+
+def _chains(left: DataFrame, arcs: DataFrame, end: str, other: str) -> DataFrame:
+    """Nodes that aren't the `end` of an edge, and those of which the only such edge leads, by only edges, to one. Pointers
+    along only edges are doubled, so a chain takes the logarithm of its length."""
+    one = arcs.groupBy(F.col(end).alias("id")).agg(F.count(F.lit(1)).alias("d"), F.min(other).alias("o"))
+    known = left.join(one, "id", "left")
+    to = staged(known.select("id", F.when(F.col("d") == 1, F.col("o")).otherwise(F.col("id")).alias("to"), F.col("d").isNull().alias("free")))
+    for _ in range(max(1, to.count()).bit_length() + 1):  # a ring never ends
+        far = to.select(F.col("id").alias("f"), F.col("to").alias("ft"), F.col("free").alias("ff"))
+        to = staged(to.join(far, F.col("to") == F.col("f")).select("id", F.col("ft").alias("to"), F.col("ff").alias("free"), (F.col("to") != F.col("ft")).alias("moved")))
+        if to.filter("moved").isEmpty():
+            break
+    return to.filter("free").select("id")
+
+
+def _strong(nodes: DataFrame, edges: DataFrame, rounds: int | None) -> DataFrame:
     left = staged(nodes.select("id"))
     arcs = staged(edges.select("src", "dst").filter("src <> dst").distinct())
     done, count = None, 0
@@ -61,8 +79,7 @@ def strongly_connected_components(nodes: DataFrame, edges: DataFrame, rounds: in
         if rounds is not None and count >= rounds:
             raise RunError(f"strongly connected components aren't complete after {rounds} rounds")
         count += 1
-        inner = arcs.select(F.col("src").alias("id")).intersect(arcs.select(F.col("dst").alias("id")))
-        lone = staged(left.join(inner, "id", "left_anti"))
+        lone = staged(_chains(left, arcs, "dst", "src").union(_chains(left, arcs, "src", "dst")).distinct())
         if not lone.isEmpty():
             found = lone.select("id", F.col("id").alias("component"))
             done = found if done is None else staged(done.unionByName(found))
@@ -111,7 +128,13 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
 
 
 def k_core(nodes: DataFrame, edges: DataFrame, k: int | None = None) -> DataFrame:
-    """(id, k_degree): the largest k whose core holds the node; with k given, the nodes of that core alone."""
+    """(id, k_degree): the largest k whose core holds the node; with k given, the nodes of that core alone. Nodes of the
+    least degree leave together; of degree 1 with the whole paths that they end, found as components of the nodes of at
+    most two edges."""
+    return settled(lambda: _cores(nodes, edges, k))
+
+
+def _cores(nodes: DataFrame, edges: DataFrame, k: int | None) -> DataFrame:
     arcs = staged(both_ways(edges))
     left, cores, level = staged(nodes.select("id")), None, 0
     while not left.isEmpty():
@@ -121,6 +144,11 @@ def k_core(nodes: DataFrame, edges: DataFrame, k: int | None = None) -> DataFram
         if gone.isEmpty():
             level = degree.agg(F.min("d")).first()[0]
             continue
+        if level == 1:
+            few = degree.filter("d <= 2")
+            within = arcs.join(few.select(F.col("id").alias("src")), "src", "left_semi").join(few.select(F.col("id").alias("dst")), "dst", "left_semi")
+            path = staged(weakly_connected_components(few.select("id"), within).join(few, "id"))
+            gone = path.join(path.filter("d <= 1").select("component").distinct(), "component", "left_semi").select("id")
         found = gone.withColumn("k_degree", F.lit(level).cast("long"))
         cores = found if cores is None else staged(cores.unionByName(found))
         left = staged(left.join(gone, "id", "left_anti"))

@@ -291,10 +291,12 @@ def test_strong_components_lose_no_node(spark):
     from graphloom.errors import RunError
     from graphloom.operators import algorithms as al
 
-    chain = spark.createDataFrame([(i, i + 1) for i in range(6)], "src long, dst long")
-    assert {r["id"]: r["component"] for r in al.strongly_connected_components(spark.range(7), chain, 4).collect()} == {i: i for i in range(7)}
+    chain = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(300, 301), (301, 302), (302, 300), (302, 303)], "src long, dst long")
+    assert {r["id"]: r["component"] for r in al.strongly_connected_components(spark.range(304), chain, 2).collect()} == {i: min(i, 300) if i < 303 else i for i in range(304)}
     with pytest.raises(RunError):
-        al.strongly_connected_components(spark.range(7), chain, 2)
+        al.strongly_connected_components(spark.range(304), chain, 1)
+    cores = {r["id"]: r["k_degree"] for r in al.k_core(spark.range(304), chain).collect()}
+    assert cores == {i: 2 if i in (300, 301, 302) else 1 for i in range(304)}
     deep = spark.createDataFrame([(i, j) for i in range(6) for j in range(i + 1, 6)] + [(5, 6), (6, 7), (7, 6)], "src long, dst long")
     assert {r["id"]: r["component"] for r in al.strongly_connected_components(spark.range(8), deep).collect()} == {i: min(i, 6) for i in range(8)}
 
