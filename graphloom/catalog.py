@@ -55,10 +55,15 @@ class RelTable:
     multiplicity: str = "MANY_MANY"
     comment: str = ""
     foreign: bool = False
+    single: tuple[str, ...] = ()  # ends of which the edge's identity is made: a node has one edge from there
 
     def __setattr__(self, name: str, value) -> None:
         super().__setattr__(name, Frames(value) if name == "frames" and not isinstance(value, Frames) else value)
 
+    def one_edge(self, end: str) -> bool:
+        """Whether a node has at most one edge whose `end` (_src or _dst) it is. Orders of joins rest on it, no results."""
+        return end in self.single or self.multiplicity in ("ONE_ONE", "MANY_ONE" if end == "_src" else "ONE_MANY")
+
 
 @dataclass
 class Sequence:

@@ -17,6 +17,7 @@ from graphloom.errors import BindError
 from graphloom.parser import ast as A
 from graphloom.plans.cycles import cycle
 from graphloom.plans.expressions import Compiler, names_in, walk
+from graphloom.plans.orders import better
 from graphloom.plans.paths import recursive_frame
 from graphloom.plans.scope import Binding, State, fresh
 
@@ -93,6 +94,7 @@ class Matcher:
         self.session, self.used = session, used
         self.early: list = []  # conjuncts that a search need not wait for
         self.demand: int | None = None  # how many paths of a search are enough
+        self.late: set[str] = set()  # nodes that are scanned when the pattern is joined
 
     def labels(self, node: A.NodePat) -> tuple:
         names = [self.session.catalog.node(x).name for x in node.labels]
@@ -169,15 +171,42 @@ class Matcher:
             for rel in path.rels:
                 if rel.var and (rel.var in state.scope or sum(r.var == rel.var for p in paths for r in p.rels) > 1):
                     raise BindError(f"bind relationship {rel.var} to relationship with same name is not supported")
+        self.used = self.used | {names[id(n)] for path in paths for n in path.nodes if n.props}
         labels, some = self.infer(paths, names, state.scope, hints)
         if self.session.setting("enable_plan_optimizer") and (found := cycle(self, state, paths, names, labels, some)) is not None:
             return found
+        if self.session.setting("enable_plan_optimizer") and (order := better(self, paths, names, some, set(state.scope))) is not None:
+            return self.ordered(state, order, names, labels, some)
         for path in paths:
             state = self.path(state, path, names, labels, some)
         return state
 
+    def ordered(self, state: State, order: list[tuple[A.RelPat, A.NodePat, A.NodePat, bool]], names: dict, labels: dict, some: dict) -> State:
+        """The relationships joined in this order; properties of nodes come last, when the cycle is closed."""
+        nodes = [n for _, near, far, _ in order for n in (near, far)]
+        given = {names[id(n)] for n in nodes if n.props} | set(state.scope)
+        outer, self.late = self.late, {names[id(n)] for n in nodes} - given
+        try:
+            for rel, near, far, forward in order:
+                if near.props and names[id(near)] not in state.scope:
+                    state = self.scan(state, names[id(near)], labels[names[id(near)]])
+                state = self.extend(state, rel, near, far, forward, names, labels, some, False)
+            late = self.late
+        finally:
+            self.late = outer
+        for n in nodes:
+            state = self.inline(state, n, names)
+        for v in sorted(late & self.used):
+            old = state.scope[v]
+            found, b = node_scan(self.session, labels[v])
+            test = same_key(state.df, old.key, found, b.key)
+            if len(labels[v]) > 1:
+                test = test & (F.col(old.label) == F.col(b.label))
+            state = state.with_(state.df.join(found, test), **{v: b})
+        return state
+
     def wants(self, var: str, node: A.NodePat) -> bool:
-        return bool(node.props) or var in self.used
+        return bool(node.props) or var in self.used and var not in self.late
 
     def path(self, state: State, path: A.Path, names: dict, labels: dict, some: dict) -> State:
         order = list(range(len(path.rels)))

@@ -123,9 +123,10 @@ class GraphSession:
             if known:
                 self.catalog.rels[known].pairs.append(pair)
                 self.catalog.rels[known].frames[pair] = made
+                self.catalog.rels[known].single = ()
             else:
                 self._free(name)
-                self.catalog.rels[name] = RelTable(name, [pair], {c: frame.schema[c].dataType for c in props}, {pair: made})
+                self.catalog.rels[name] = RelTable(name, [pair], {c: frame.schema[c].dataType for c in props}, {pair: made}, single=tuple(end for end, (_, c) in (("_src", src), ("_dst", dst)) if ids == [c]))
         return self
 
     def _free(self, name: str) -> None:
