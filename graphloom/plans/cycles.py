@@ -7,6 +7,10 @@ the edges are sorted adjacency lists: for two ends the shorter list is looked up
 work in proportion to n^1.5 and to its matches, in blocks of bounded size. The edges of a node of many edges are spread over
 the shares of their other ends.
 
+A cell's edges are copied to many cells, though. Four relationships have a second way: the two-step paths around two opposite
+nodes, from Spark's joins, meet on their ends. Which nodes, and whether these paths are fewer than the copies, is estimated
+from a sketch of the nodes' edges, so hubs on both sides go to the cells and everything else isn't copied.
+
 This is taken for a pattern that is such a cycle and nothing else, begins a query, and whose relationships are of one
 many-to-many table and not named elsewhere. Foreign keys, whose joins don't grow, stay with Spark's joins.
 """
@@ -21,11 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.errors import BindError
 from graphloom.parser import ast as A
+from graphloom.plans.expressions import Compiler, names_in, walk
 from graphloom.plans.scope import Binding, State, fresh
 
-#: Pairs that are looked at in one step; cells for each shuffle partition.
-BLOCK, CELLS = 1 << 18, 2
+#: Pairs that are looked at in one step; cells for each shuffle partition; sums of a sketch.
+BLOCK, CELLS, SUMS = 1 << 18, 2, 1 << 14
+BACK = {"in": "out", "out": "in", "both": "both"}
 
 
 def around(matcher, paths: list[A.Path], names: dict, labels: dict, some: dict) -> list[tuple[str, A.RelPat, str]] | None:
@@ -42,7 +49,7 @@ def around(matcher, paths: list[A.Path], names: dict, labels: dict, some: dict)
     first = at = names[id(paths[0].nodes[0])]
     out, left = [], list(rels)
     while left:
-        found = next(((x, x[2], x[0].direction) for x in left if x[1] == at), None) or next(((x, x[1], {"out": "in", "in": "out"}.get(x[0].direction, "both")) for x in left if x[2] == at), None)
+        found = next(((x, x[2], x[0].direction) for x in left if x[1] == at), None) or next(((x, x[1], BACK[x[0].direction]) for x in left if x[2] == at), None)
         if found is None or found[1] == at or any(v == found[1] for v, _, _ in out) and not (found[1] == first and len(left) == 1):
             return None
         out.append((at, found[0][0], found[2]))
@@ -113,24 +120,84 @@ def matches(edges: list[tuple[np.ndarray, np.ndarray]], width: int) -> Iterator[
         start = stop
 
 
-def cycle(matcher, state: State, paths: list[A.Path], names: dict, labels: dict, some: dict) -> State | None:
-    """The pattern's matches, or None if it isn't of this kind."""
-    from graphloom.plans.matching import node_scan, rel_scan, same_key
+def tested(matcher, df: DataFrame, keys: dict[str, str], labels: dict) -> DataFrame:
+    """df by those conjuncts of the WHERE, which is applied to the matches anyway, that only compare these nodes' keys."""
+    scope = {}
+    for v, key in keys.items():
+        table = matcher.session.catalog.node(labels[v][0])
+        if df.schema[key].dataType == table.key_type:
+            scope[v] = Binding("node", labels=labels[v], key=key, props={table.key: key})
+    for c in matcher.asked:
+        parts = list(walk(c))
+        bare = sum(isinstance(x, A.Var) for x in parts) != sum(isinstance(x, A.Prop) for x in parts)
+        if bare or not names_in(c) or not names_in(c) <= set(scope) or not all(isinstance(x, (A.Op, A.Prop, A.Var, A.Lit)) for x in parts):
+            continue
+        try:
+            df = df.filter(Compiler(matcher.session, State(df, scope)).boolean(c))
+        except BindError:  # about another property
+            continue
+    return df
 
-    found = around(matcher, paths, names, labels, some) if matcher.unit(state) else None
-    if found is None:
+
+def edge_sums(legs: dict[tuple, DataFrame]) -> tuple[dict[tuple, np.ndarray], dict[tuple, int]]:
+    """Of each leg sums of signed edges by a hash of the node they start at, and its edges. The product of two legs' sums
+    is near the number of their pairs of edges that start at one node."""
+    order = list(legs)
+    frames = [legs[x].select(F.lit(i).alias("leg"), F.pmod(F.xxhash64("u"), F.lit(SUMS)).cast("int").alias("at"), (F.pmod(F.xxhash64("u", F.lit(1)), F.lit(2)) * 2 - 1).alias("sign")) for i, x in enumerate(order)]
+    every = frames[0]
+    for df in frames[1:]:
+        every = every.unionByName(df)
+    sums, edges = {x: np.zeros(SUMS) for x in order}, dict.fromkeys(order, 0)
+    for r in every.groupBy("leg", "at").agg(F.sum("sign").alias("s"), F.count("*").alias("n")).toLocalIterator():  # at most SUMS rows for each leg
+        sums[order[r["leg"]]][r["at"]] = r["s"]
+        edges[order[r["leg"]]] += r["n"]
+    return sums, edges
+
+
+def paths_of_two(matcher, found: list[tuple[str, A.RelPat, str]], labels: dict, some: dict, shares: int, keys: dict[str, str]) -> DataFrame | None:
+    """The matches of a cycle of four by paths around two opposite nodes, or None if the cells' copies are fewer."""
+    from graphloom.plans.matching import rel_scan
+
+    legs: dict[tuple, DataFrame] = {}
+    of: dict[tuple[int, int], tuple] = {}
+    for i, (v, rel, direction) in enumerate(found):
+        j = (i + 1) % 4
+        for a, b, way in ((i, j, direction), (j, i, BACK[direction])):
+            fr_label, to_label = labels[found[a][0]][0], labels[found[b][0]][0]
+            of[a, b] = (tuple(some[id(rel)]), way, fr_label, to_label)
+            if of[a, b] not in legs:
+                df, _, (fr, frl, to, tol) = rel_scan(matcher.session, some[id(rel)], way)
+                legs[of[a, b]] = df.filter((F.col(frl) == fr_label) & (F.col(tol) == to_label)).select(F.col(fr).alias("u"), F.col(to).alias("v"))
+    if len({t for df in legs.values() for t in (df.schema["u"].dataType, df.schema["v"].dataType)}) > 1:
         return None
+    sums, edges = edge_sums(legs)
+    pairs = [max(0.0, float(sums[of[i, (i + 1) % 4]] @ sums[of[i, (i - 1) % 4]])) for i in range(4)]
+    middle = 0 if pairs[0] + pairs[2] <= pairs[1] + pairs[3] else 1
+    if pairs[middle] + pairs[middle + 2] > shares**2 * sum(edges[of[i, (i + 1) % 4]] for i in range(4)):
+        return None
+    name = [v for v, _, _ in found]
+    ends = sorted(((middle + 1) % 4, (middle + 3) % 4))
+    halves = []
+    for at in (middle, middle + 2):  # alike if their legs are alike, so that Spark shuffles once
+        cols = {name[i]: fresh("k") for i in (at, *ends)}
+        same = fresh("k")
+        one, two = (legs[of[at, e]].select(F.col("u").alias(c), F.col("v").alias(cols[name[e]])) for e, c in zip(ends, (cols[name[at]], same), strict=True))
+        halves.append((tested(matcher, one.join(two, F.col(cols[name[at]]) == F.col(same)).drop(same), cols, labels), cols))
+    (one, left), (two, right) = halves
+    df = one.join(two, [F.col(left[name[e]]) == F.col(right[name[e]]) for e in ends])
+    df = df.select(*(F.col({**right, **left}[v]).alias(keys[v]) for v in name))
+    return tested(matcher, df, keys, labels)
+
+
+def in_cells(matcher, found: list[tuple[str, A.RelPat, str]], labels: dict, some: dict, shares: int, keys: dict[str, str]) -> DataFrame | None:
+    """The matches by the hypercube, or None if the ends' keys aren't of one type."""
+    from graphloom.plans.matching import rel_scan
+
     k = len(found)
-    session = matcher.session
-    inline: dict[str, list] = {}
-    for p in paths:
-        for n in p.nodes:
-            inline.setdefault(names[id(n)], []).append(n)
-    shares = max(2, round((CELLS * int(session.spark.conf.get("spark.sql.shuffle.partitions"))) ** (1 / k)))
     frames, kinds = [], set()
     for i, (v, rel, direction) in enumerate(found):
         after = found[(i + 1) % k][0]
-        df, _, (fr, fr_label, to, to_label) = rel_scan(session, some[id(rel)], direction)
+        df, _, (fr, fr_label, to, to_label) = rel_scan(matcher.session, some[id(rel)], direction)
         df = df.filter((F.col(fr_label) == labels[v][0]) & (F.col(to_label) == labels[after][0])).select(F.col(fr).alias("u"), F.col(to).alias("v"))
         kinds |= {df.schema["u"].dataType, df.schema["v"].dataType}
         mine, next_ = F.pmod(F.xxhash64("u"), F.lit(shares)), F.pmod(F.xxhash64("v"), F.lit(shares))
@@ -143,7 +210,6 @@ def cycle(matcher, state: State, paths: list[A.Path], names: dict, labels: dict,
         frames.append(df.select(cell.cast("long").alias("cell"), F.lit(i).alias("edge"), "u", "v"))
     if len(kinds) > 1:
         return None
-    keys = {v: fresh("k") for v, _, _ in found}
     kind = next(iter(kinds)).simpleString()
     order = [keys[v] for v, _, _ in found]
     schema = ", ".join(f"{c} {kind}" for c in order)
@@ -162,7 +228,30 @@ def cycle(matcher, state: State, paths: list[A.Path], names: dict, labels: dict,
             out = out.unionByName(df)
         return out
 
-    state = State(union(frames).groupBy("cell").applyInArrow(local, schema), {})
+    return union(frames).groupBy("cell").applyInArrow(local, schema)
+
+
+def cycle(matcher, state: State, paths: list[A.Path], names: dict, labels: dict, some: dict) -> State | None:
+    """The pattern's matches, or None if it isn't of this kind."""
+    from graphloom.plans.matching import node_scan, same_key
+
+    found = around(matcher, paths, names, labels, some) if matcher.unit(state) else None
+    if found is None:
+        return None
+    k = len(found)
+    session = matcher.session
+    inline: dict[str, list] = {}
+    for p in paths:
+        for n in p.nodes:
+            inline.setdefault(names[id(n)], []).append(n)
+    shares = max(2, round((CELLS * int(session.spark.conf.get("spark.sql.shuffle.partitions"))) ** (1 / k)))
+    keys = {v: fresh("k") for v, _, _ in found}
+    df = paths_of_two(matcher, found, labels, some, shares, keys) if k == 4 else None
+    if df is None:
+        df = in_cells(matcher, found, labels, some, shares, keys)
+    if df is None:
+        return None
+    state = State(df, {})
     for v, _, _ in found:
         label = fresh("t")
         state = state.with_(state.df.withColumn(label, F.lit(labels[v][0])), **{v: Binding("node", labels=labels[v], key=keys[v], label=label, scanned=False)})

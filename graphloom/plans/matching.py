@@ -93,6 +93,7 @@ class Matcher:
     def __init__(self, session, used: set[str]):
         self.session, self.used = session, used
         self.early: list = []  # conjuncts that a search need not wait for
+        self.asked: list = []  # conjuncts that the caller applies to the pattern's matches
         self.demand: int | None = None  # how many paths of a search are enough
         self.late: set[str] = set()  # nodes that are scanned when the pattern is joined
 
@@ -137,11 +138,12 @@ class Matcher:
         """state joined with all paths (inner). Conjuncts of `where`, which the caller applies, restrict the nodes from
         which recursive relationships are searched."""
         recursive = any(r.rec is not None for path in paths for r in path.rels)
-        outer, self.early = self.early, [c for c in where or () if recursive and not any(isinstance(x, A.Sub) for x in walk(c))]
+        outer, plain = (self.early, self.asked), [c for c in where or () if not any(isinstance(x, A.Sub) for x in walk(c))]
+        self.early, self.asked = plain if recursive else [], plain
         try:
             return self.joined(state, paths, hints or {})
         finally:
-            self.early = outer
+            self.early, self.asked = outer
 
     def ready(self, state: State) -> State:
         """state filtered by the early conjuncts whose variables are all there."""

@@ -58,3 +58,24 @@ def test_matches_against_loops(edges, block):
         cycles.BLOCK = old
     want = sorted(tuple(e[0] for e in chosen) for chosen in product(*edges) if all(chosen[i][1] == chosen[(i + 1) % k][0] for i in range(k)))
     assert got == want
+
+
+BY_PATHS = [
+    "MATCH (a:L)-[:H]->(p:R)<-[:H]-(b:L)-[:H]->(q:R)<-[:H]-(a) WHERE a.k < b.k AND p.k < q.k RETURN p.v AS v, count(*) AS n, sum(b.k - a.k) AS s",
+    "MATCH (p:R)<-[:H]-(a:L)-[:H]->(q:R)<-[:H]-(b:L)-[:H]->(p) WHERE p.k <> q.k AND a.k + b.k > 9 AND b.v = 1 RETURN a.k AS a, b.k AS b, p.k AS p, q.k AS q",
+    "MATCH (a:L)-[:H]->(p:R {v: 1})<-[:H]-(b:L)-[:H]->(q:R)<-[:H]-(a) RETURN count(*) AS n, min(a.k) AS m, max(q.k) AS x",
+]
+
+
+@pytest.mark.parametrize("text", BY_PATHS)
+def test_cycles_of_four_without_copies(graph, spark, text):
+    r = random.Random(3)
+    for label, n in (("L", 90), ("R", 25)):
+        graph.add_nodes(label, spark.createDataFrame([(i, i % 3) for i in range(n)], "k long, v long"), "k")
+    edges = [(i, r.randrange(25), j) for i in range(90) for j in range(i % 4)] + [(4, 7, 10), (4, 7, 11), (5, 7, 12)]  # some twice
+    graph.add_rels("H", spark.createDataFrame(edges, "a long, b long, w long"), ("L", "a"), ("R", "b"), ["a", "w"])
+    df = graph.query(text)
+    assert "FlatMapGroupsInArrow" not in df._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted(map(repr, df.collect()))
+    graph.settings["enable_plan_optimizer"] = False
+    assert got == sorted(map(repr, graph.query(text).collect()))
