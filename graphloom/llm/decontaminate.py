@@ -5,13 +5,15 @@ The benchmark is the query set; it is taken in blocks of BLOCK_ITEMS items, each
 1. A text is read once into the stream of its words that the block's items use (ids and gaps, a few bytes a word).
 2. Passages are windows of words. Their term counts over all documents give the idf; terms in over COMMON of the
    passages are left out of the vectors unless they are among the KEY_TERMS rarest of an item.
-3. Randomised SVD of the TF-IDF matrix of all passages and, with the weight of all passages, the items: each
+3. Randomised SVD of the TF-IDF matrix of all passages and, weighted, the items: each
    partition sums its share of A'(A Omega), the shares are added by term, and a second pass with the orthonormal
    basis gives the projected Gram matrix, whose eigenvectors are the right singular vectors.
-4. Candidates are the (window, item) that share so many of the item's vector terms that a leak is possible at all,
-   whatever their cosine: common terms count as if all were there, so no leak of step 5 is lost. Windows are twice
-   the longest item and overlap by half, so every item-long stretch of words lies in one. The latent cosine is given
-   with each leak as evidence.
+4. Candidates are retrieved in the latent space: a window is compared with all items there, and its (window, item)
+   goes on if their cosine, times the window's length, reaches the least that a leak of step 5 can have. That least is
+   of each item: the lightest of its words that are enough for a leak, less what the item's part outside of the latent
+   space can make up; items weigh so much in the SVD that this part is small. So no leak is lost. Windows whose terms
+   can't reach any item's least aren't projected. Windows are twice the longest item and overlap by half, so every
+   item-long stretch of words lies in one. The cosine is given with each leak as well.
 5. A candidate's words around the item's rare terms are checked: the longest common subsequence in words over the
    item's length, and how many of the item's answer terms, its rarest words, are there. It is a leak if the
    subsequence covers SURE of the item, or LIKELY of it with ANSWERS of the answer terms. Where a window has no answer
@@ -38,6 +40,8 @@ from graphloom.llm.common import Memo, staged, texts
 
 BLOCK_ITEMS, COMMON, KEY_TERMS, SEED = 256, 0.01, 8, 11
 SURE, LIKELY, ANSWERS, EXTRA_RANK = 0.8, 0.5, 0.6, 24
+#: So many times the weight of all passages have the items in the SVD: they lie in the latent space but for a small part.
+ITEM_WEIGHT = 10_000.0
 MARKS = string.punctuation + "“”‘’«»…–—¿¡"
 NONE = 0xFFFFFFFF
 SCHEMA = "doc_id long, item_id long, cosine double, lcs double, answers double, at long"
@@ -47,6 +51,11 @@ def normal(word: str) -> str:
     return word.strip(MARKS).lower()
 
 
+def _many(x: float, sums: np.ndarray) -> int:
+    """The least number that is x or more, as an index of sums."""
+    return min(max(0, int(np.ceil(x - 1e-6))), len(sums) - 1)
+
+
 class Block:
     """Items of a block, their vocabulary, and the model once it is fitted."""
 
@@ -54,7 +63,7 @@ class Block:
         self.items = [(i, words) for i, t in items if len(words := [w for x in t.split() if (w := normal(x))]) >= 3]
         self.vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for _, words in self.items for w in words))}
         self.stride = max((len(w) for _, w in self.items), default=1)
-        self.idf = self.basis = self.latent = None
+        self.idf = self.basis = self.latent = self.inside = self.outside = None
 
     def weigh(self, counts: dict[int, int], passages: int) -> None:
         size = len(self.vocabulary)
@@ -75,25 +84,23 @@ class Block:
         self.post()
 
     def post(self) -> None:
-        """Of each vector term the items that hold it, how often, and whether as an answer term; and of each item how
-        many of its words and answer terms must be met in vector terms."""
-        term, item, need, answer = [], [], [], []
-        size = len(self.items)
-        self.sure, self.likely, self.asked = np.zeros(size), np.zeros(size), np.zeros(size)
+        """Of each item the least product with a window that holds enough of it for a leak; of each term the most that
+        one occurrence adds to any item's product, and how often it counts."""
+        size = len(self.vocabulary)
+        self.least, self.upper, self.most = np.zeros(len(self.items)), np.zeros(size), np.zeros(size)
         for i, (terms, needed) in enumerate(self.counts):
             kept = self.idf[terms] > 0
+            length = max(float(np.linalg.norm(needed * self.idf[terms])), 1e-12)
+            value = needed * self.idf[terms] ** 2 / length  # of one occurrence
             free = len(self.seqs[i]) - int(needed[kept].sum())
-            self.sure[i], self.likely[i] = SURE * len(self.seqs[i]) - free, LIKELY * len(self.seqs[i]) - free
+            words = np.append(0.0, np.cumsum(np.sort(np.repeat(value[kept], needed[kept]))))
+            answers = np.append(0.0, np.cumsum(np.sort(value[np.isin(terms, self.answers[i]) & kept])))
             wide = int((self.idf[self.answers[i]] == 0).sum())
-            self.asked[i] = ANSWERS * len(self.answers[i]) - wide
-            term.append(terms[kept])
-            need.append(needed[kept])
-            item.append(np.full(len(term[-1]), i))
-            answer.append(np.isin(term[-1], self.answers[i]))
-        term, item, need, answer = (np.concatenate(x) for x in (term, item, need, answer))
-        order = np.argsort(term, kind="stable")
-        self.item_of, self.need_of, self.answer_of = item[order], need[order], answer[order]
-        self.posted = np.searchsorted(term[order], np.arange(len(self.vocabulary) + 1))
+            asked = ANSWERS * len(self.answers[i]) - wide
+            sure, likely = (words[_many(share * len(self.seqs[i]) - free, words)] for share in (SURE, LIKELY))
+            self.least[i] = min(sure, max(likely, answers[_many(asked, answers)]))
+            self.upper[terms] = np.maximum(self.upper[terms], value)
+            self.most[terms] = np.maximum(self.most[terms], needed)
 
     def item_rows(self) -> np.ndarray:
         a = np.zeros((len(self.items), len(self.vocabulary)))
@@ -103,6 +110,9 @@ class Block:
         return a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12)
 
 
+#: Rounding of single precision.
+SLACK = 1e-3
+
 #: Cells whose rows of the basis are held at once: little enough for a core's cache.
 STEP = 1 << 11
 
@@ -155,24 +165,42 @@ def _transposed(row: np.ndarray, term: np.ndarray, weight: np.ndarray, y: np.nda
         total[t[start]] += np.add.reduceat(weight[i : i + STEP, None] * y[row[i : i + STEP]], start, axis=0)
 
 
+#: Windows that are compared with the items at once.
+WINDOWS = 1 << 12
+
+
 def _candidates(block: Block, row: np.ndarray, term: np.ndarray, weight: np.ndarray, doc: np.ndarray, win: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, first passage, item), sorted, of all windows of two passages in which a leak is possible: the item's
-    words met are counted by passage and added, which is no less than what the window has."""
-    begin, many = block.posted[term], block.posted[term + 1] - block.posted[term]
-    cell = np.repeat(np.arange(len(term)), many)
-    at = np.arange(len(cell)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin, many)
-    count = np.rint(weight / block.idf[term])
-    met, answer, size = np.minimum(count[cell], block.need_of[at]), block.answer_of[at], len(block.items)
-    span = int(win.max()) + 2  # windows begin at the passage before, too
-    key = ((doc * span + win)[row[cell]] + 1) * size + block.item_of[at]
-    key, met, answer = np.concatenate([key, key - size]), np.concatenate([met, met]), np.concatenate([answer, answer])
-    key, inverse = np.unique(key, return_inverse=True)
-    met, answer = np.bincount(inverse, met, len(key)), np.bincount(inverse, answer, len(key))
-    item, place = key % size, key // size
-    possible = (met >= block.sure[item] - 1e-6) | (met >= block.likely[item] - 1e-6) & (answer >= block.asked[item] - 1e-6)
-    place, item = place[possible], item[possible]
-    held = place % span > 0  # place 0 would begin before the text
-    return place[held] // span, place[held] % span - 1, item[held]
+    """(document, first passage, item), sorted, of all windows of two passages that come near enough to an item in the
+    latent space: projections of passages add up to windows."""
+    count = np.minimum(np.rint(weight / block.idf[term]), block.most[term])
+    weight = (count * block.idf[term]).astype(np.float32)
+    many = len(doc)
+    reach = np.append(np.bincount(row, count * block.upper[term], many), 0.0)
+    length = np.append(np.sqrt(np.bincount(row, weight.astype(np.float64) ** 2, many)), 0.0)
+    span = int(win.max()) + 2
+    place = doc * span + win
+    start = np.unique(np.concatenate([place, place[win > 0] - 1]))
+    first, second = (np.minimum(np.searchsorted(place, x), many - 1) for x in (start, start + 1))
+    first, second = np.where(place[first] == start, first, many), np.where(place[second] == start + 1, second, many)
+    near = reach[first] + reach[second] >= block.least.min() * (1 - SLACK)
+    start, first, second = start[near], first[near], second[near]
+    used = np.zeros(many + 1, bool)
+    used[first] = used[second] = True
+    used[many] = False
+    kept, new = used[row], np.cumsum(used) - 1
+    z = _project(new[row[kept]], term[kept], weight[kept], block.basis)
+    z = np.concatenate([z, np.zeros((1, block.basis.shape[1]), np.float32)])
+    new[many] = len(z) - 1
+    windows, items = [], []
+    for i in range(0, len(start), WINDOWS):
+        a, b = first[i : i + WINDOWS], second[i : i + WINDOWS]
+        cosine_times_length = (z[new[a]] + z[new[b]]) @ block.inside.T
+        least = block.least * (1 - SLACK) - (length[a] + length[b])[:, None] * block.outside
+        w, item = np.nonzero(cosine_times_length >= least)
+        windows.append(start[i + w])
+        items.append(item)
+    at, item = (np.concatenate(x) if x else np.zeros(0, int) for x in (windows, items))
+    return at // span, at % span, item
 
 
 def _cosines(block: Block, row: np.ndarray, term: np.ndarray, weight: np.ndarray, doc: np.ndarray, win: np.ndarray, leaks: list[tuple[int, int, int]]) -> list[float]:
@@ -269,7 +297,7 @@ def _gram_times(streams: DataFrame, block: Block, basis: np.ndarray, passages: i
     for r in streams.mapInArrow(run, schema).groupBy("term").applyInArrow(added, schema).toLocalIterator():  # one row for each word of the block
         total[r["term"]] = r["sums"]
     items = block.item_rows()
-    return total + max(1.0, passages / len(items)) * (items.T @ (items @ basis))
+    return total + ITEM_WEIGHT * max(1.0, passages / len(items)) * (items.T @ (items @ basis))
 
 
 def fit(streams: DataFrame, block: Block) -> Block:
@@ -281,7 +309,9 @@ def fit(streams: DataFrame, block: Block) -> Block:
     q, _ = np.linalg.qr(_gram_times(streams, block, draw * (block.idf > 0)[:, None], passages))
     _, turn = np.linalg.eigh(q.T @ _gram_times(streams, block, q, passages))
     block.basis = (q @ turn[:, ::-1]).astype(np.float32)
-    latent = block.item_rows() @ block.basis
+    rows = block.item_rows()
+    latent = rows @ block.basis
+    block.inside, block.outside = latent.astype(np.float32), np.linalg.norm(rows - latent @ block.basis.T, axis=1)
     block.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)).astype(np.float32)
     return block
 

@@ -81,6 +81,18 @@ def test_leaks_dense_and_mixed(frame, spark, corpus):
     assert found == every
 
 
+def test_candidates_come_from_the_latent_space(frame, corpus):
+    rows, items, want = corpus
+    block = decontaminate.Block(items)
+    streams = decontaminate.word_streams(frame(rows), block).persist()
+    decontaminate.fit(streams, block)
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.search(streams, block).collect()} == want
+    block.basis, block.latent = block.basis * 0, block.latent * 0
+    block.inside, block.outside = block.latent, np.zeros(len(items))
+    assert decontaminate.search(streams, block).count() == 0
+    streams.unpersist()
+
+
 def test_leaks_empty(frame, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert leaks(frame([(1, "x y z")]), none).count() == 0
